@@ -1,6 +1,6 @@
 """The queries of this subpackage."""
 
-from millrace.llm import chatformat, decontaminate, langid, linededup, quality
+from millrace.llm import chatformat, decontaminate, langid, linededup, ngramjoin, quality, toxicity
 from millrace.llm.oracles import ORACLES
 
 QUERIES = {
@@ -8,6 +8,8 @@ QUERIES = {
     "op2_quality_rules": quality.op2,
     "op4_benchmark_decontamination": decontaminate.op4,
     "op7_line_dedup": linededup.op7,
+    "op8_toxicity": toxicity.op8,
+    "op9_ngram_jaccard_join": ngramjoin.op9,
     "op10_language_id": langid.op10,
 }
 
