@@ -154,21 +154,21 @@ def _drop_joined(docs: DataFrame, frequent: DataFrame, text: str) -> DataFrame:
     return shared.with_fields(joined, made, FIELDS).select(*docs.columns, *FIELDS)
 
 
-def batches(docs: DataFrame, n: int) -> list[DataFrame]:
+def arrivals(docs: DataFrame, n: int) -> list[DataFrame]:
     """A table read from files, as up to n tables of some of its files each; docs must be the files' rows, unfiltered."""
     files = sorted(docs.inputFiles())
     reader = docs.sparkSession.read.schema(docs.schema)
     return [reader.parquet(*files[k::n]) for k in range(min(n, len(files)))] or [docs]
 
 
-def dedup(docs: DataFrame, least_docs: int = 10, n_batches: int = 4, text: str = "text") -> DataFrame:
-    """All batches added to new runs, then the lines of keys in least_docs documents or more dropped everywhere."""
+def dedup(docs: DataFrame, batches: list[DataFrame] | None = None, least_docs: int = 10, text: str = "text") -> DataFrame:
+    """Each batch (all of docs at once if not given) adds its run; then the lines of keys in least_docs documents or more are dropped everywhere."""
     runs = LineRuns(docs.sparkSession)
-    for batch in batches(docs, n_batches):
+    for batch in batches or [docs]:
         runs.add(batch, text)
     return drop(docs, runs.frequent(least_docs), text)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return dedup(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return dedup(docs, arrivals(docs, 4)).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))

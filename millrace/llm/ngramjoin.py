@@ -306,7 +306,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **more
     tagged = docs.withColumn("_cls", classify(RUN)(F.col(text))["cls"])
     blank = tagged.filter("_cls is null").drop("_cls")
     kept = tagged.filter("_cls is not null").join(stays, (F.col(doc_id).eqNullSafe(F.col("_least"))) & (tagged["_cls"] == stays["_cls"]), "left_semi")
-    return kept.dropDuplicates([doc_id, "_cls"]).drop("_cls").unionByName(blank)
+    return kept.dropDuplicates([doc_id, "_cls"]).drop("_cls").unionByName(blank).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,12 @@
 """The queries of this subpackage."""
 
-from millrace.llm import chatformat, decontaminate, langid, linededup, ngramjoin, quality, toxicity
+from millrace.llm import chatformat, decontaminate, langid, linededup, mixing, ngramjoin, quality, toxicity
 from millrace.llm.oracles import ORACLES
 
 QUERIES = {
     "op1_chat_formatting": chatformat.op1,
     "op2_quality_rules": quality.op2,
+    "op3_source_mixing": mixing.op3,
     "op4_benchmark_decontamination": decontaminate.op4,
     "op7_line_dedup": linededup.op7,
     "op8_toxicity": toxicity.op8,

@@ -70,10 +70,42 @@ def text_udf(work: Callable[[np.ndarray, np.ndarray], list[pa.Array]], ddl: str,
     return F.arrow_udf(run, kind).asNondeterministic()
 
 
+def logistic(rows: DataFrame, x: Column, y: Column, ridge: float = 1e-3, steps: int = 25) -> tuple[float, float]:
+    """Slope and offset by Newton's method; each step sums five numbers over the rows."""
+    rows = written(rows.select(x.alias("x"), y.cast("double").alias("y")), "calibration")
+    n, mean = rows.agg(F.count("*"), F.avg("y")).first()
+    if not n:
+        return 0.0, 0.0
+    if mean in (0.0, 1.0):
+        return 0.0, float(np.log((mean * n + 1) / ((1 - mean) * n + 1)))
+    a, b = 0.0, float(np.log(mean / (1 - mean)))
+    for _ in range(steps):
+        p = F.lit(1.0) / (1 + F.exp(-(F.col("x") * a + b)))
+        v = p * (1 - p)
+        g = rows.agg(F.avg((p - F.col("y")) * F.col("x")), F.avg(p - F.col("y")), F.avg(v * F.col("x") * F.col("x")), F.avg(v * F.col("x")), F.avg(v)).first()
+        m = np.array([[g[2] + ridge, g[3]], [g[3], g[4] + 1e-9]])
+        step = np.linalg.solve(m, np.array([g[0] + ridge * a, g[1]]))
+        a, b = a - float(np.clip(step[0], -5, 5)), b - float(np.clip(step[1], -5, 5))
+        if np.abs(step).max() < 1e-6:
+            break
+    return a, b
+
+
 def crc32_fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id written as text, mod n."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
 
 
+#: Up to so many labels are broadcast to the documents; more are joined by a shuffle.
+BROADCAST_LABELS = 2_000_000
+
+
+def with_label(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id") -> DataFrame:
+    """The documents that have the label, with it; an id's greatest label counts."""
+    one = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias(label))
+    small = labels.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
+    return docs.drop(label).join(F.broadcast(one) if small else one, key)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
