@@ -1,6 +1,6 @@
 """The queries of this subpackage."""
 
-from millrace.llm import chatformat, decontaminate, langid, linededup, mixing, ngramjoin, quality, toxicity
+from millrace.llm import chatformat, decontaminate, htmlmain, langid, linededup, mixing, ngramjoin, quality, tokencounts, toxicity
 from millrace.llm.oracles import ORACLES
 
 QUERIES = {
@@ -8,6 +8,8 @@ QUERIES = {
     "op2_quality_rules": quality.op2,
     "op3_source_mixing": mixing.op3,
     "op4_benchmark_decontamination": decontaminate.op4,
+    "op5_token_counts": tokencounts.op5,
+    "op6_html_extraction": htmlmain.op6,
     "op7_line_dedup": linededup.op7,
     "op8_toxicity": toxicity.op8,
     "op9_ngram_jaccard_join": ngramjoin.op9,
