@@ -4,7 +4,7 @@
    sums over all of them, its table of log odds has BUCKETS entries a domain and is part of the plan as a literal.
 2. Every document gets its posterior domain probabilities, calibrated on the labelled documents by logistic curves and
    rounded to 1 / GRID, so documents fall into a number of cells that is bounded whatever their number.
-3. Nonnegative rates r minimise sum_k (sum_i r_i tokens_i p_ik - T_k)^2 / T_k by projected gradient from r = 1, with
+3. Nonnegative rates r minimise sum_k (sum_i r_i tokens_i p_ik - T_k)^2 / s_k (s_k: the domain's sum of tokens_i p_ik^2) by projected gradient from r = 1, with
    steps of 1 / L and Nesterov's momentum. The gradient at a document is a product with its posteriors, so its rate is a function of its cell:
    each step is one distributed sum over the cells' token totals, which only K numbers leave.
 4. A document's copies are the whole part of its rate, and one more with the probability of the rest, decided by a
@@ -30,7 +30,7 @@ LEAST_ODDS = 0.8
 GRID = 100
 #: Cells up to this number are broadcast to the documents; with three domains there are 5151 at most.
 BROADCAST_CELLS = 200_000
-STEPS, TOLERANCE = 100, 1e-3
+STEPS, PATIENCE, TOLERANCE = 60, 8, 1e-3
 TARGETS = {"good": 0.85, "poor": 0.10, "toxic": 0.05}
 
 
@@ -47,6 +47,12 @@ def symbol_counts(text: Column) -> list[Column]:
     return [F.length(text) - F.length(F.replace(text, F.lit(s), F.lit(""))) for s in SYMBOLS]
 
 
+def toxic_or_good(labels: DataFrame) -> DataFrame:
+    """doc_id, domain (0 good, 1 toxic); poor documents have none."""
+    domain = F.when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 0)
+    return labels.select("doc_id", domain.alias("domain"))
+
+
 def domain_of(labels: DataFrame) -> DataFrame:
     """doc_id, domain (0 good, 1 poor, 2 toxic) of a table of quality and toxic."""
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 0)
@@ -130,33 +136,34 @@ def fit_rates(cells: DataFrame, names: list[str], targets: list[float]) -> DataF
     if not total:
         return cells.withColumn("rate", F.lit(1.0))
     m = np.array([float(x) for x in moments[1:]]).reshape(len(p), len(p)) / total
-    scale = 1 / np.maximum(want, 1e-9)
+    scale = 1 / np.maximum(np.diag(m), 1e-9)
     step = 1 / np.linalg.eigvalsh(np.sqrt(scale)[:, None] * m * np.sqrt(scale)[None, :]).max()
     history: list[np.ndarray] = []
+    losses: list[float] = []
 
-    def rate(field: str) -> Column:
-        """The rate after the steps so far (r), or the point ahead of it (y): a fold of the steps, told by the cell alone."""
+    def state() -> Column:
+        """The rate after the steps so far (r) and the point ahead of it (y): a fold of the steps, told by the cell alone."""
         if not history:
-            return F.lit(1.0)
-        width = len(names) + 1
-        steps = "cast(split('" + ",".join(repr(float(v)) for g in history for v in g) + "', ',') as array<double>)"
-        slope = " + ".join(f"p_{n} * get({steps}, i * {width} + {k})" for k, n in enumerate(names))
+            return F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
+        steps = "from_json('[" + ",".join("[" + ",".join(repr(float(v)) for v in g) + "]" for g in history) + "]', 'array<array<double>>')"
+        slope = " + ".join(f"p_{n} * get(g, {k})" for k, n in enumerate(names))
         r = f"greatest(0D, s.y - ({slope}))"
-        y = f"greatest(0D, {r} + get({steps}, i * {width} + {width - 1}) * ({r} - s.r))"
-        return F.expr(f"aggregate(sequence(0, {len(history) - 1}), named_struct('r', 1D, 'y', 1D), (s, i) -> named_struct('r', {r}, 'y', {y}), s -> s.{field})")
+        y = f"greatest(0D, {r} + get(g, {len(names)}) * ({r} - s.r))"
+        return F.expr(f"aggregate({steps}, named_struct('r', 1D, 'y', 1D), (s, g) -> named_struct('r', {r}, 'y', {y}))")
 
     for _ in range(STEPS):
-        made = cells.withColumns({"_r": rate("r"), "_y": rate("y")})
+        made = cells.withColumn("_s", state()).selectExpr("*", "_s.r as _r", "_s.y as _y")
         now = made.agg(*[F.sum(F.col("tokens") * F.col(x) * c) for x in ("_r", "_y") for c in p]).first()
         at, ahead = np.array([float(x) for x in now]).reshape(2, len(p)) / total - want
-        if np.abs(at).max() < TOLERANCE:
-            break
+        losses.append(float((scale * at * at).sum()))
+        if np.abs(at).max() < TOLERANCE or len(losses) > PATIENCE and min(losses[-PATIENCE:]) > 0.99 * min(losses[:-PATIENCE]):
+            break  # met, or as near as these documents come
         history.append(np.append(step * scale * ahead, len(history) / (len(history) + 3)))
-    return cells.withColumn("rate", rate("r"))
+    return cells.withColumn("rate", state()["r"])
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with n_tokens, p_NAME of each domain, rate and n_copies. labels: doc_id and domain, an index into targets."""
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """docs (of its columns those of keep, or all) with n_tokens, p_NAME of each domain, rate and n_copies. labels: doc_id and domain, an index into targets."""
     targets = targets or TARGETS
     names = list(targets)
     fields = ["n_tokens", *[f"p_{n}" for n in names], "rate", "n_copies"]
@@ -164,17 +171,21 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     one = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     labelled = shared.with_label(one, labels, "domain")
     odds = fit(labelled, len(names))
-    known = posteriors(docs, odds, calibrate(labelled, odds), names, text)
+    chance = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(1_000_000)) / 1_000_000
+    own = {f"_own{k}": F.col(f"`{c}`") for k, c in enumerate(keep or docs.columns)}
+    read = docs.select(F.col(text).alias("_text"), chance.alias("_chance"), *[c.alias(n) for n, c in own.items()])
+    # words are looked up once for each document: cells and copies are both drawn from this table
+    known = shared.written(posteriors(read, odds, calibrate(labelled, odds), names, "_text").drop("_text"), "posteriors")
     keys = [f"p_{n}" for n in names]
     cells = shared.written(known.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens")).coalesce(1), "cells")
     rates = shared.written(fit_rates(cells, names, list(targets.values())).drop("tokens").coalesce(1), "rates")
     small = rates.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
-    chance = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(1_000_000)) / 1_000_000
-    more = (chance < F.col("rate") - F.floor("rate")).cast("long")
+    more = (F.col("_chance") < F.col("rate") - F.floor("rate")).cast("long")
     out = known.join(F.broadcast(rates) if small else rates, keys, "left")
-    return out.withColumn("n_copies", F.floor("rate") + more).select(*[F.col(f"`{c}`") for c in docs.columns], *fields)
+    made = out.withColumn("n_copies", F.floor("rate") + more)
+    return made.select(*[F.col(n).alias(c) for n, c in zip(own, keep or docs.columns)], *fields)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return mix(docs, domain_of(shared.table(spark, sf_dir, "labels"))).drop("text")
+    return mix(docs, domain_of(shared.table(spark, sf_dir, "labels")), keep=["doc_id"])
