@@ -78,9 +78,7 @@ def parse(source: str) -> Page:
             if tag in BLOCKS:
                 page.pieces.append((open_[-1][1] if open_ else 0, " ", False))
 
-    for m in _TAG.finditer(source):
-        if m.start() < at:
-            continue
+    while m := _TAG.search(source, at):
         say(source[at : m.start()])
         at = m.end()
         if m.group(2) is None:
