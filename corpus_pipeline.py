@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 from millrace.llm import decontaminate, linededup, mixing, ngramjoin, quality, shared
 
 
+#: What is left after the other stages is mostly good; toxic documents are thinned out, good ones kept.
+TARGETS = {"good": 0.93, "toxic": 0.07}
+
+
 def _measured(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
@@ -44,8 +48,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labels = mixing.domain_of(shared.table(spark, sf_dir, "labels"))
-    return mixing.mix(docs, labels).filter("n_copies > 0")
+    labels = mixing.toxic_or_good(shared.table(spark, sf_dir, "labels"))
+    return mixing.mix(docs, labels, TARGETS).filter("n_copies > 0")
 
 
 STAGES = [("quality", quality_rules), ("line_dedup", line_dedup), ("ngram_join", ngram_join), ("decontaminate", decontaminated), ("mix", mix)]
