@@ -34,15 +34,23 @@ def _split(text: str, most: int, separators: list[str]) -> list[str]:
     if not separators:
         words = text.split()
         return [" ".join(words[i : i + most]) for i in range(0, len(words), most)]
+    mark = separators[0].rstrip()  # a full stop stays with what it ends
+    glue = separators[0][len(mark) :]
+    pieces = text.split(separators[0])
+    pieces = [p + mark for p in pieces[:-1]] + pieces[-1:]
     out: list[str] = []
     held: list[str] = []
-    for piece in text.split(separators[0]):
-        if sum(len(p.split()) for p in held) + len(piece.split()) > most and held:
-            out += _split(separators[0].join(held), most, separators[1:]) if len(held) == 1 else [separators[0].join(held)]
-            held = []
+
+    def give() -> None:
+        out.extend(_split(held[0], most, separators[1:]) if len(held) == 1 else [glue.join(held)])
+        held.clear()
+
+    for piece in pieces:
+        if held and sum(len(p.split()) for p in held) + len(piece.split()) > most:
+            give()
         held.append(piece)
     if held:
-        out += _split(separators[0].join(held), most, separators[1:]) if len(held) == 1 else [separators[0].join(held)]
+        give()
     return [x for x in out if x.strip()]
 
 
