@@ -330,16 +330,32 @@ def mmr(spark, d):
 _REL_SQL = "rel AS (SELECT b.item_id AS query_id, d.doc_id, 1 + coalesce(l.quality, 0) AS gain FROM benchmark b JOIN documents d ON contains(d.text, b.text) LEFT JOIN labels l USING (doc_id))"
 
 
-def _relevant(spark, d) -> DataFrame:
-    """Pairs of items and documents that hold them, found by a word window that they share, then verified."""
-    from functools import reduce
+#: Inner words of a passage that find the documents which may hold it.
+_WINDOW = 6
+
+
+def _holders(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """query_id, doc_id of passages and the documents that hold them: by a window of inner words that both have, then verified.
 
+    The first and last word of a passage may be parts of longer words, so the window leaves them out; passages that
+    are too short for one are looked for as they are.
+    """
+    words = items.withColumn("w", T.tokens(F.col("passage")))
+    keyed = words.filter(F.size("w") >= _WINDOW + 2).select("query_id", "passage", F.xxhash64(F.array_join(F.slice("w", 2, _WINDOW), " ")).alias("key"))
+    places = F.sequence(F.lit(1), F.size("w") - _WINDOW + 1)
+    windows = docs.select("doc_id", T.tokens(F.col("text")).alias("w")).filter(F.size("w") >= _WINDOW)
+    windows = windows.select("doc_id", F.explode(F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(_WINDOW)), " ")))).alias("key"))
+    met = windows.join(keyed, "key").select("doc_id", "query_id", "passage").distinct()
+    found = met.join(docs, "doc_id").filter(F.contains("text", "passage")).select("query_id", "doc_id")
+    short = [F.when(F.contains("text", F.lit(r.passage)), F.lit(r.query_id)) for r in words.filter(F.size("w") < _WINDOW + 2).select("query_id", "passage").toLocalIterator()]
+    if short:
+        found = found.unionByName(docs.select(F.explode(F.array_compact(F.array(*short))).alias("query_id"), "doc_id"))
+    return found
+
+
+def _relevant(spark, d) -> DataFrame:
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    rows = [(r.query_id, r.passage) for r in items.toLocalIterator()]
-    hits = [F.when(F.contains("text", F.lit(p)), F.lit(q)) for q, p in rows]
-    parts = [docs.select("doc_id", F.explode(F.array_compact(F.array(*hits[k : k + 100]))).alias("query_id")) for k in range(0, len(hits), 100)]
-    pairs = reduce(lambda a, b: a.unionByName(b), parts)
+    pairs = _holders(table(spark, d, "documents").select("doc_id", "text"), items)
     graded = pairs.join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
     return graded.select("query_id", "doc_id", (1 + F.coalesce("quality", F.lit(0))).alias("gain"))
 
