@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import uuid
+from functools import reduce
 from pathlib import Path
 
 import numpy as np
@@ -103,10 +104,7 @@ class TokenTotals:
         if not self._exists(f"{self.folder}/ledger/batch={batch}"):
             rows = [self._counted(x) for x in (inserts, revised) if x is not None]
             rows += [self._taken_back(x) for x in (deletes, revised) if x is not None]
-            one = self.spark.createDataFrame([], LEDGER)
-            for r in rows:
-                one = one.unionByName(r)
-            self._commit(one, "ledger", batch)
+            self._commit(reduce(DataFrame.unionByName, rows or [self.spark.createDataFrame([], LEDGER)]), "ledger", batch)
         mine = self.spark.read.schema(LEDGER).parquet(f"{self.folder}/ledger/batch={batch}")
         self._commit(mine.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")), "delta", batch)
         return True
@@ -124,10 +122,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals.commit("load", inserts=docs)
     seen = docs.select("doc_id", F.md5("text").alias("m"), F.xxhash64("text").alias("x"))
     first = seen.groupBy("m", "x").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    copies = seen.join(first, ["m", "x"]).filter("doc_id <> first").select("doc_id")
+    copies = shared.written(seen.join(first, ["m", "x"]).filter("doc_id <> first").select("doc_id"), "copies")
     totals.commit("copies", deletes=copies)
     once = F.array_join(F.array_distinct(F.split("text", "\n")), "\n")
     revised = docs.withColumn("_once", once).filter("_once <> text").join(copies, "doc_id", "left_anti").select("doc_id", F.col("_once").alias("text"), "source", "lang")
-    totals.commit("lines", revised=revised)
+    totals.commit("lines", revised=shared.written(revised, "revised"))
     totals.commit("copies", deletes=copies)
     return totals.totals()
