@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +14,7 @@ from millrace.operators import tables as O
 from millrace.plans.base import query
 from millrace.plans.graph import Graph
 from millrace.sources.store import PointStore
-from millrace.sources.tables import import_golden, read_files, table
+from millrace.sources.tables import import_golden, read_files, shared_folder, table
 from millrace.streaming.windows import ingest_new, run_available, stream_rate
 
 _TOK = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
@@ -26,11 +24,6 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all machines share."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/millrace/{name}-{uuid.uuid4().hex}"
-
-
 # content and hashing
 
 @query("hash_map", "SELECT doc_id, sha256(text) AS content_hash FROM documents")
@@ -290,7 +283,7 @@ def pipeline_graph(spark, d):
 def ns_roundtrip(spark, d):
     """A namespace is made, filled twice with the same points, thinned out by a condition and searched."""
     points = table(spark, d, "embeddings")
-    store = PointStore(spark, _folder(spark, "store"))
+    store = PointStore(spark, shared_folder(spark, "store"))
     store.ensure("vectors", 64)
     rows = points.select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").alias("dense"), F.to_json(F.struct(F.col("label"))).alias("payload"))
     store.upsert("vectors", rows)
@@ -303,7 +296,7 @@ def ns_roundtrip(spark, d):
 @query("obj_list", "SELECT lang || '.json' AS name, count(*) AS n FROM documents GROUP BY lang")
 def obj_list(spark, d):
     """Objects by key: one JSON file for each language, listed and counted again."""
-    folder = _folder(spark, "objects")
+    folder = shared_folder(spark, "objects")
     docs = _docs(spark, d).select("doc_id", "lang")
     docs.repartition("lang").withColumn("key", F.col("lang")).write.partitionBy("key").json(folder)
     back = spark.read.schema("doc_id long, lang string, key string").json(folder)
@@ -312,7 +305,7 @@ def obj_list(spark, d):
 
 @query("obj_head", "SELECT lang, count(*) > 0 AS there FROM documents GROUP BY lang")
 def obj_head(spark, d):
-    folder = _folder(spark, "heads")
+    folder = shared_folder(spark, "heads")
     _docs(spark, d).select("lang", "doc_id").repartition("lang").write.partitionBy("lang").json(folder)
     files = read_files(spark, folder, "binary").select("path", "length").filter("path LIKE '%lang=%'")
     return files.groupBy(F.regexp_extract("path", "lang=([a-z]+)", 1).alias("lang")).agg((F.sum("length") > 0).alias("there"))
@@ -322,7 +315,7 @@ def obj_head(spark, d):
 def src_upload_formats(spark, d):
     rows, out = table(spark, d, "customer").select("c_custkey", "c_name"), None
     for kind in ("csv", "json", "orc"):
-        path = _folder(spark, kind)
+        path = shared_folder(spark, kind)
         rows.write.format(kind).option("header", "true").save(path)
         one = read_files(spark, path, kind, "c_custkey long, c_name string").agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))
         out = one if out is None else out.unionByName(one)
@@ -331,7 +324,7 @@ def src_upload_formats(spark, d):
 
 @query("import_golden", "SELECT text AS query, item_id % 2 = 0 AS reviewed FROM benchmark")
 def import_golden_items(spark, d):
-    path = _folder(spark, "golden")
+    path = shared_folder(spark, "golden")
     table(spark, d, "benchmark").select(F.col("text").alias("query"), F.lit("a;b").alias("relevant_chunk_ids"), (F.col("item_id") % 2 == 0).alias("reviewed")).write.json(path)
     return import_golden(spark, path, "json")[0].select("query", "reviewed")
 
@@ -340,16 +333,16 @@ def import_golden_items(spark, d):
 def stream_rate_window(spark, d):
     """The stream over all events there are; complete mode, so its last result is the batch's."""
     events = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    staged = _folder(spark, "events")
+    staged = shared_folder(spark, "events")
     events.select("user_id", "ts").write.parquet(staged)
-    out = _folder(spark, "rates")
+    out = shared_folder(spark, "rates")
     stream = spark.readStream.schema("user_id long, ts timestamp").parquet(staged)
 
     def keep(batch: DataFrame, _: int) -> None:
         batch.write.mode("overwrite").parquet(out)
 
     rates = stream_rate(stream, 2)
-    rates.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", _folder(spark, "rates-state")).trigger(availableNow=True).start().awaitTermination()
+    rates.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", shared_folder(spark, "rates-state")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
@@ -357,7 +350,7 @@ def stream_rate_window(spark, d):
 def stream_ingest(spark, d):
     """Documents as a stream, each content hash once, the second half given again."""
     docs = _docs(spark, d).select("doc_id", F.sha2("text", 256).alias("content_hash"))
-    staged, out, state = _folder(spark, "docs"), _folder(spark, "ingested"), _folder(spark, "ingest-state")
+    staged, out, state = shared_folder(spark, "docs"), shared_folder(spark, "ingested"), shared_folder(spark, "ingest-state")
     docs.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id")).write.parquet(staged)
     docs.filter("doc_id % 2 = 0").groupBy("content_hash").agg(F.max("doc_id").alias("doc_id")).select("content_hash", "doc_id").write.mode("append").parquet(f"{staged}-again")
     schema = "content_hash string, doc_id long"
@@ -368,8 +361,8 @@ def stream_ingest(spark, d):
 
 @query("stream_append", "SELECT event_id FROM events WHERE event_type = 'click'")
 def stream_append(spark, d):
-    staged, out = _folder(spark, "clicks"), _folder(spark, "clicks-out")
+    staged, out = shared_folder(spark, "clicks"), shared_folder(spark, "clicks-out")
     table(spark, d, "events").select("event_id", "event_type").write.parquet(staged)
     stream = spark.readStream.schema("event_id long, event_type string").parquet(staged).filter("event_type = 'click'").select("event_id")
-    run_available(stream, out, _folder(spark, "clicks-state"))
+    run_available(stream, out, shared_folder(spark, "clicks-state"))
     return spark.read.schema("event_id long").parquet(out)

@@ -1,7 +1,7 @@
 """Point stores: namespaces of versioned Parquet generations below a folder, with a manifest that names the live one.
 
-Tables aren't changed in place. An upsert or delete writes a new generation beside the old and then replaces the
-manifest by a rename, so readers see one or the other; there is one writer for a namespace at a time.
+Tables aren't changed in place. An upsert or delete writes a new generation beside the old and then renames the next
+numbered manifest into place, so readers see one or the other; of two writers at once the second is told.
 """
 
 from __future__ import annotations
@@ -46,20 +46,30 @@ class PointStore:
             raise ValueError(f"not a namespace name: {ns!r}")
         return f"{self.folder}/{ns}"
 
+    def _latest(self, ns: str) -> int:
+        """The number of the newest manifest, 0 if there is none."""
+        fs, root = self._fs(self._root(ns))
+        names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+        return max((int(n[9:-5]) for n in names if n.startswith("manifest-") and n.endswith(".json")), default=0)
+
     def _manifest(self, ns: str) -> dict[str, Any]:
-        fs, p = self._fs(f"{self._root(ns)}/manifest.json")
-        if not fs.exists(p):
+        number = self._latest(ns)
+        if not number:
             raise NamespaceNotFound(ns)
-        return json.loads(self.spark.read.option("wholetext", "true").text(p.toString()).first()[0])
+        path = f"{self._root(ns)}/manifest-{number:08d}.json"
+        return json.loads(self.spark.read.option("wholetext", "true").text(path).first()[0]) | {"number": number}
 
     def _put(self, ns: str, manifest: dict[str, Any]) -> None:
-        fs, p = self._fs(f"{self._root(ns)}/manifest.json")
-        _, aside = self._fs(f"{self._root(ns)}/manifest-{uuid.uuid4().hex}.tmp")
+        """The next manifest, written aside and renamed into its number; a number that is taken means another writer."""
+        number = manifest.get("number", 0) + 1
+        fs, target = self._fs(f"{self._root(ns)}/manifest-{number:08d}.json")
+        _, aside = self._fs(f"{self._root(ns)}/aside-{uuid.uuid4().hex}")
         out = fs.create(aside, True)
-        out.write(bytearray(json.dumps(manifest).encode()))
+        out.write(bytearray(json.dumps({k: v for k, v in manifest.items() if k != "number"}).encode()))
         out.close()
-        fs.delete(p, False)
-        fs.rename(aside, p)
+        if fs.exists(target) or not fs.rename(aside, target):
+            fs.delete(aside, False)
+            raise RuntimeError(f"{ns} was changed by another writer")
 
     # namespaces
 
@@ -74,8 +84,7 @@ class PointStore:
             raise ValueError(f"{ns} has dimension {had['dim']} and metric {had['metric']}")
 
     def exists(self, ns: str) -> bool:
-        fs, p = self._fs(f"{self._root(ns)}/manifest.json")
-        return fs.exists(p)
+        return self._latest(ns) > 0
 
     def spec(self, ns: str) -> dict[str, Any]:
         return {k: v for k, v in self._manifest(ns).items() if k in ("dim", "metric", "options")}
