@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from millrace.functions import scalars, slots
 from millrace.functions import text as T
 from millrace.operators import evaluation, ingest, retrieval, search, tables
+from millrace.plans import queries_search
 from millrace.plans.graph import Graph
 from millrace.sources import versions
 from millrace.sources.store import DimensionError, NamespaceNotFound, PointStore, require
@@ -46,6 +47,16 @@ def test_inverted_lists_find_most_neighbours(spark, points):
     assert len(near & exact) >= 0.9 * len(exact)
 
 
+def test_the_registered_index_finds_nine_of_ten_neighbours(spark, folder):
+    rng = np.random.default_rng(4)
+    rows = [(k, [float(x) for x in v]) for k, v in enumerate(rng.normal(size=(1000, 64)).astype("float32"))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+    stored = spark.read.parquet(f"{folder}/embeddings.parquet")
+    near = {(r.query_id, r.vec_id) for r in queries_search.ann_index(spark, folder).collect()}
+    exact = {(r.query_id, r.vec_id) for r in search.dense_batch(stored, stored.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10, digits=5).collect()}
+    assert len(exact) == 200 and len(near & exact) >= 0.9 * len(exact)
+
+
 def hits(spark, rows):
     return spark.createDataFrame(rows, "query_id int, doc_id long, score double, rank int")
 
