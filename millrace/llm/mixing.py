@@ -162,8 +162,19 @@ def fit_rates(cells: DataFrame, names: list[str], targets: list[float]) -> DataF
     return cells.withColumn("rate", state()["r"])
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
-    """docs (of its columns those of keep, or all) with n_tokens, p_NAME of each domain, rate and n_copies. labels: doc_id and domain, an index into targets."""
+def thinned(cells: DataFrame, targets: dict[str, float], thin: tuple[str, ...]) -> dict[str, float]:
+    """targets with each share of a domain of thin lowered to what the cells have of it; the others take the rest as they stand to each other."""
+    sums = cells.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * F.col(f"p_{n}")) for n in thin]).first()
+    whole, total = sum(targets.values()), float(sums[0] or 0)
+    if not total:
+        return targets
+    least = {n: min(targets[n] / whole, float(x) / total) for n, x in zip(thin, sums[1:])}
+    others = sum(t for n, t in targets.items() if n not in least)
+    return {n: least[n] if n in least else (1 - sum(least.values())) * t / others for n, t in targets.items()}
+
+
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, thin: tuple[str, ...] = ()) -> DataFrame:
+    """docs (of its columns those of keep, or all) with n_tokens, p_NAME of each domain, rate and n_copies. labels: doc_id and domain, an index into targets. Domains of thin are never raised to their target."""
     targets = targets or TARGETS
     names = list(targets)
     fields = ["n_tokens", *[f"p_{n}" for n in names], "rate", "n_copies"]
@@ -178,7 +189,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     known = shared.written(posteriors(read, odds, calibrate(labelled, odds), names, "_text").drop("_text"), "posteriors")
     keys = [f"p_{n}" for n in names]
     cells = shared.written(known.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens")).coalesce(1), "cells")
-    rates = shared.written(fit_rates(cells, names, list(targets.values())).drop("tokens").coalesce(1), "rates")
+    wanted = thinned(cells, targets, thin) if thin else targets
+    rates = shared.written(fit_rates(cells, names, list(wanted.values())).drop("tokens").coalesce(1), "rates")
     small = rates.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
     more = (F.col("_chance") < F.col("rate") - F.floor("rate")).cast("long")
     out = known.join(F.broadcast(rates) if small else rates, keys, "left")

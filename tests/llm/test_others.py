@@ -79,6 +79,20 @@ def test_rates_are_the_least_squares_fit(spark):
     assert abs(unreachable[0].rate - 0.5) < 2e-3
 
 
+@pytest.mark.parametrize("n_toxic", [0, 9, 60])
+def test_the_pipeline_only_thins_toxic_documents(spark, folder, n_toxic):
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    plain, bad = [f"good{k}" for k in range(50)], [f"bad{k}" for k in range(10)]
+    rows = [(k, " ".join(rng.choice(bad if k < n_toxic and j % 2 else plain) for j in range(40))) for k in range(300)]
+    spark.createDataFrame([(k, 1, int(k < n_toxic)) for k, _ in rows if k % 2], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    got = {r.doc_id: r for r in corpus_pipeline.mix(spark, spark.createDataFrame(rows, "doc_id long, text string"), folder).collect()}
+    assert all(k in got and got[k].rate >= 1 for k in range(n_toxic, 300))
+    toxic = sum(got[k].n_copies for k in range(n_toxic) if k in got)
+    assert toxic == n_toxic if n_toxic < 0.07 * 300 else toxic < 0.5 * n_toxic
+
+
 def test_mixing_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, domain int")
     docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
