@@ -81,6 +81,34 @@ def test_quality_bands(spark):
     assert kept.columns == ["doc_id", "text"] and [r.doc_id for r in kept.collect()] == [0]
 
 
+HINDI = """भारत एक विशाल देश है जहाँ अनेक भाषाएँ बोली जाती हैं और हर प्रदेश की अपनी अलग संस्कृति दिखाई देती है। उत्तर में हिमालय की ऊँची चोटियाँ बर्फ से ढकी रहती हैं, जबकि दक्षिण के समुद्र तटों पर नारियल के पेड़ हवा में झूमते हैं। गाँवों में किसान सुबह जल्दी उठकर खेतों की ओर निकल पड़ते हैं और शाम तक मेहनत करते हैं। शहरों की सड़कों पर गाड़ियों का शोर सुनाई देता है, लोग दफ्तर पहुँचने की जल्दी में रहते हैं। बच्चों को विद्यालय भेजने के बाद माताएँ घर के काम निपटाती हैं। पिछले कुछ वर्षों में तकनीक ने जीवन को बहुत बदल दिया है; अब छोटे दुकानदार भी मोबाइल से भुगतान स्वीकार करते हैं। मेरे दादाजी कहा करते थे कि पढ़ाई का कोई विकल्प नहीं होता, इसलिए उन्होंने अपनी ज़मीन बेचकर हमें पढ़ाया। त्योहारों के समय पूरा मोहल्ला रोशनी से जगमगा उठता है और मिठाइयों की खुशबू चारों ओर फैल जाती है। बरसात में नदियाँ उफान पर होती हैं तो पुल पार करना कठिन हो जाता है। वैज्ञानिकों का मानना है कि जलवायु परिवर्तन के कारण मौसम का चक्र अनियमित हुआ है। एक पुरानी लोककथा के अनुसार राजा ने अपने तीनों पुत्रों की परीक्षा लेने के लिए उन्हें जंगल भेजा था। सबसे छोटा राजकुमार एक घायल पक्षी की सेवा में रुक गया और उसी दया के कारण उसे राजगद्दी मिली।"""
+#: First letter, number of letters, signs that follow a letter.
+SCRIPTS = {"hi": (0x915, 35, "ािीुूेैोौं्"), "ta": (0xB95, 30, "ாிீுூெேைொோ்"), "th": (0xE01, 40, "ะาิีึืุู่้"), "ru": (0x430, 32, ""), "el": (0x3B1, 25, "")}
+
+
+def prose_of(script, n_bytes, seed=0):
+    """Words of a script, drawn from a vocabulary as uneven as that of prose."""
+    first, n, signs = SCRIPTS[script]
+    rng = random.Random(f"{script}{seed}")
+    letters = [chr(c) for c in range(first, first + n) if chr(c).isalpha()]
+    often = [1 / (k + 3) for k in range(len(letters))]
+    part = lambda: rng.choices(letters, often)[0] + (rng.choice(signs) if signs and rng.random() < 0.6 else "")
+    words = ["".join(part() for _ in range(rng.randrange(1, 3) + min(k // 40, rng.randrange(0, 4)))) for k in range(8000)]
+    text = " ".join(rng.choices(words, [1 / (k + 3) for k in range(len(words))], k=n_bytes // 3))
+    return text.encode()[:n_bytes].decode("utf-8", "ignore")
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_clean_texts_of_any_script_fit_the_bands(spark, script):
+    sizes = [512, 1500, 2100, 4300, 8500, 17000, 40000, 65000, 66000]
+    texts = [prose_of(script, n) for n in sizes] + ([HINDI, HINDI[:820]] if script == "hi" else [])
+    twice = [prose_of(script, n // 2, 1) + " " + prose_of(script, n // 2, 1) for n in sizes[2:6]]
+    rows = list(enumerate(texts + [" ".join([HINDI[:90]] * 40)] + twice))
+    got = {r.doc_id: r for r in quality.quality_columns(spark.createDataFrame(rows, "doc_id long, text string"), base=quality.Base(repeat_share=1.0)).collect()}
+    assert [(k, got[k].zstd_ratio) for k in range(len(texts)) if not got[k].kept] == []
+    assert [(k, got[k].zstd_ratio) for k in range(len(texts), len(rows)) if got[k].kept] == []
+
+
 def brute_hits(texts, items, n=10):
     windows = {}
     for i, t in items:
