@@ -17,6 +17,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Their content isn't text of the page.
 SKIPPED = frozenset("script style noscript template head title iframe object svg math canvas select textarea button".split())
 RAW = frozenset("script style title textarea noscript iframe template".split())
+#: Searched in the source itself: lower() can change a text's length, and with it all places after that.
+_ENDS = {t: re.compile("</" + t, re.I | re.A) for t in RAW}
 BLOCKS = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address header footer nav aside form fieldset details summary center hgroup menu dialog".split()
 )
@@ -63,7 +65,6 @@ def parse(source: str) -> Page:
     page = Page()
     open_: list[tuple[str, int]] = [("html", 0)]  # (tag, node of the text inside)
     at, skip, links = 0, 0, 0
-    lower = None
 
     def say(text: str) -> None:
         if text and not skip:
@@ -136,9 +137,8 @@ def parse(source: str) -> Page:
         skip += tag in SKIPPED
         links += tag == "a"
         if tag in RAW:
-            lower = source.lower() if lower is None else lower
-            end = lower.find("</" + tag, at)
-            at = len(source) if end < 0 else end
+            end = _ENDS[tag].search(source, at)
+            at = end.start() if end else len(source)
     say(source[at:])
     return page
 

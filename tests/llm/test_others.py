@@ -198,6 +198,12 @@ def test_parser_reads_entities_and_broken_markup():
     assert htmltree.text_of(page, np.ones(len(page.parent), bool)) == html.unescape("a &lt;b&gt; cd ef h i é")
 
 
+@pytest.mark.parametrize("tag", sorted(htmltree.RAW))
+def test_letters_that_grow_in_lower_case_lose_no_text(tag):
+    page = htmltree.parse(f"<body><article><p>{'İ' * 12}stanbul</p><{tag}>x<y</{tag.upper()}><p>after</p></article><p>end</p></body>")
+    assert htmltree.text_of(page, np.ones(len(page.parent), bool)) == f"{'İ' * 12}stanbul after end"
+
+
 def test_no_pages_to_learn_from(spark):
     none = spark.createDataFrame([], "page_id long, html string")
     model = htmlmain.fit(none)
