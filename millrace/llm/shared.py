@@ -14,13 +14,24 @@ from pyspark.sql import functions as F
 from millrace.llm import textnum
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset (as in tests), below a temporary one of this process."""
+def _base(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
+    if base:
+        return base.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    base = tempfile.mkdtemp(prefix="millrace-")  # one machine runs all tasks, so its own folder is shared
+    spark.conf.set("spark.checkpoint.dir", base)
+    return base
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below spark.checkpoint.dir, which goes when the application ends; where that is unset and all tasks run on this machine (as in tests), below a temporary folder."""
+    mine = f"{_base(spark)}/millrace/{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(mine)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{mine}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -37,10 +48,23 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns by their names, whatever characters these hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like name that df has not."""
+    taken = {c.lower() for c in df.columns}
+    while f"_{name}" in taken:
+        name = f"_{name}"
+    return f"_{name}"
+
+
 def with_fields(df: DataFrame, made: Column, fields: list[str]) -> DataFrame:
     """df with the fields of a struct column as columns; columns of those names are replaced."""
-    kept = without(df, fields)
-    return kept.withColumn("_made", made).select(*kept.columns, *[F.col(f"_made.{f}").alias(f) for f in fields])
+    kept, name = without(df, fields), free_name(df, "made")
+    return kept.withColumn(name, made).select(*columns(kept), *[F.col(f"{name}.{f}").alias(f) for f in fields])
 
 
 def text_udf(work: Callable[[np.ndarray, np.ndarray], list[pa.Array]], ddl: str, most: int = textnum.CHUNK_BYTES):
@@ -91,13 +115,33 @@ def logistic(rows: DataFrame, x: Column, y: Column, ridge: float = 1e-3, steps:
     return a, b
 
 
+def logistic_rows(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> tuple[float, float, float]:
+    """Slope, offset and mean loss by Newton's method, of a bounded sample in memory."""
+    n = len(y)
+    if not n:
+        return 0.0, 0.0, 0.0
+    if y.min() == y.max():
+        return 0.0, float(np.log((y.sum() + 1) / (n - y.sum() + 1))), 0.0
+    a, b = 0.0, float(np.log(y.mean() / (1 - y.mean())))
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(a * x + b, -40, 40)))
+        v = p * (1 - p)
+        m = np.array([[(v * x * x).mean() + ridge, (v * x).mean()], [(v * x).mean(), v.mean() + 1e-9]])
+        step = np.clip(np.linalg.solve(m, np.array([((p - y) * x).mean() + ridge * a, (p - y).mean()])), -5, 5)
+        a, b = a - float(step[0]), b - float(step[1])
+        if np.abs(step).max() < 1e-7:
+            break
+    z = np.clip(a * x + b, -40, 40)
+    return a, b, float((np.logaddexp(0, z) - y * z).mean())
+
+
 def crc32_fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id written as text, mod n."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(n))
 
 
-#: Up to so many labels are broadcast to the documents; more are joined by a shuffle.
-BROADCAST_LABELS = 2_000_000
+#: Up to so many labels (an id and a number, 16 bytes: 16 MB) are broadcast to the documents; more are joined by a shuffle.
+BROADCAST_LABELS = 1_000_000
 
 
 def with_label(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id") -> DataFrame:

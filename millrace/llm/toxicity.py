@@ -1,25 +1,33 @@
-"""Toxicity by class-conditional Kneser-Ney models.
-
-Each class (toxic, ordinary) has an interpolated Kneser-Ney word model: a word counts by the number of different words
-that it follows, less a discount, and the discounted mass goes to a backoff shared by both classes (the continuation
-counts of all labelled text together). Continuation counts don't grow with copies of a document. Expressions that are
-rare in both classes, or of which the classes' probabilities differ little, are taken from the shared backoff alone,
-so they cancel. A text's evidence is the difference of its two log-likelihoods divided by its number of words, and a
-logistic curve fitted on the learning rows turns it into a score.
-
-Words are hashed into 2**BITS buckets, so the broadcast table of log ratios is bounded by that parameter, while the
-counts behind it cover every labelled text and are summed by Spark. Whole bigram estimates are left out: they learn
-copied documents by heart (on held-out labels their area under the curve is lower).
-
-Edge cases: null or empty texts score like a text without evidence; rows without label are not learned from; labels
-of an id that disagree count as toxic; a table without labels, or of one class, gives every text 0.5 or the class's
-share. Columns with a result's name are replaced.
+"""Toxicity by class-conditional Kneser-Ney bigram models.
+
+Counts are Kneser-Ney's continuation counts: a bigram counts by the number of different words before it, a word by the
+number of different words that it follows, so copies of a passage add nothing. Each class (toxic, ordinary) has
+
+    P_c(w | v) = max(n_c(v, w) - D2, 0) / n_c(v) + B_c(v) * P_c(w)      B_c(v): the mass that the discounts leave
+    P_c(w)     = max(n_c(w) - D1, 0) / n_c + G_c * P_shared(w)          G_c: likewise
+
+so an expression that is rare in a class is smoothed away by its discount, down to counts that both classes share.
+Toxic text is ordinary text with some toxic expressions in it, so its model is the mixture (1 - M) P_ordinary + M P_toxic.
+A text's evidence is the difference of its log-likelihoods under that mixture and under P_ordinary, divided by its number
+of words; a logistic curve turns it into a score.
+
+D1, D2, M and the curve are chosen inside the learning rows: at most SAMPLE_ROWS of them (by a hash of the text) are split in
+halves by another hash, each half is scored by the model of the other, and the choice of least logistic loss wins.
+The model itself counts all learning rows, in Spark.
+
+Words are numbered by BITS bits of their hashes, so the word tables have 2**BITS entries each. Bigrams have 64-bit keys;
+those that outlast their discount are broadcast in blocks of at most BLOCK_PAIRS (24 bytes each), one block at a time,
+whose evidences add up: any number of them is used.
+
+Edge cases: null or empty texts have no evidence and get the score of evidence 0; rows without label are not learned
+from; labels of an id that disagree count as toxic; no labels give every text 0.5, one class gives its share; equal texts
+score alike; texts of any length are scored whole, in one pass of arrays. Columns with a result's name are replaced, no other is touched.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -29,102 +37,258 @@ from pyspark.sql import functions as F
 from millrace.llm import shared, textnum
 
 BITS = 20
-DISCOUNT = 0.75
-#: A word in fewer contexts than this, both classes together, is rare.
-LEAST_CONTEXTS = 6
-#: Natural log of the ratio from which on the classes differ.
-LEAST_RATIO = 3.0
+#: Candidates of D1, D2 and M.
+WORD_DISCOUNTS = (0.75, 2.0, 4.0, 8.0)
+PAIR_DISCOUNTS = (4.0, 16.0)
+SHARES = (0.0003, 0.003)
+#: Learning rows that choose among them.
+SAMPLE_ROWS = 20_000
+#: Tasks that score them; they are too few for their files to tell.
+HALVES_PARTS = 16
+BLOCK_PAIRS = 4_000_000
 FIELDS = ["score", "predicted"]
+_LOW = np.uint64((1 << BITS) - 1)
 
 
-@dataclass(frozen=True)
-class Model:
-    #: Log ratio of each bucket, 0 where the shared backoff alone speaks.
-    ratios: np.ndarray
-    slope: float
-    offset: float
+def _pairs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each word the key of (previous word, word) and the hash of the word before both; and the words before each text.
+
+    The key's low BITS bits number the word, the next BITS bits the previous one.
+    """
+    data = textnum.ASCII_LOWER[data]
+    starts, ends, counts = textnum.words(data, offsets, textnum.ALNUM)
+    h = textnum.word_hashes(data, starts, ends)
+    first = counts[:-1][np.diff(counts) > 0]
+    one = np.concatenate([[np.uint64(0)], h[:-1]]) if len(h) else h
+    one[first] = 0
+    two = np.concatenate([[np.uint64(0)], one[:-1]]) if len(h) else h
+    two[first] = 0
+    key = textnum.mix(one ^ textnum.mix(h)) << np.uint64(2 * BITS) | (one & _LOW) << np.uint64(BITS) | (h & _LOW)
+    return key, two, counts
 
 
 def _contexts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """toxic, pair: the different (previous word, word) pairs of each run of texts; the low BITS bits are the word's bucket."""
-    low = np.uint64((1 << BITS) - 1)
+    """grp, pair, context: the different (word, word, word) of each run of texts; grp is the first column."""
     for part in parts:
-        toxic = part.column(0).to_numpy(zero_copy_only=False).astype(bool)
+        grp = part.column(0).to_numpy(zero_copy_only=False).astype(np.int32)
         data, offsets = textnum.utf8(part.column(1))
         for i, j in textnum.chunks(offsets):
-            starts, ends, counts = textnum.words(textnum.ASCII_LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i], textnum.ALNUM)
-            h = textnum.word_hashes(textnum.ASCII_LOWER[data[offsets[i] : offsets[j]]], starts, ends)
-            if not len(h):
+            key, before, counts = _pairs(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            if not len(key):
                 continue
-            before = np.concatenate([[np.uint64(0)], h[:-1]])
-            before[counts[:-1][np.diff(counts) > 0]] = 0
-            pair = (textnum.mix(before ^ textnum.mix(h)) & ~low) | (h & low)
-            own = toxic[i:j][textnum.owners(counts)]
-            for label in (False, True):
-                found = np.unique(pair[own == label])
-                if len(found):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), label)), pa.array(found.view(np.int64))], ["toxic", "pair"])
+            own = grp[i:j][textnum.owners(counts)]
+            context = (textnum.mix(before) >> np.uint64(32)).astype(np.uint32)
+            _, at = np.unique(textnum.mix(key ^ textnum.mix(context.astype(np.uint64) << np.uint64(8) | own.astype(np.uint64))), return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(key[at].view(np.int64)), pa.array(context[at].view(np.int32))], ["grp", "pair", "context"])
 
 
-def context_counts(labelled: DataFrame, text: str = "text", toxic: str = "toxic") -> DataFrame:
-    """bucket, ordinary, toxic: in how many contexts each bucket's words stand, by class, over all labelled texts."""
-    rows = labelled.select((F.col(toxic) == 1).alias("toxic"), F.col(text).alias("text"))
-    pairs = rows.mapInArrow(_contexts, "toxic boolean, pair long").distinct()
-    bucket = F.col("pair").bitwiseAND(F.lit((1 << BITS) - 1)).alias("bucket")
-    return pairs.groupBy(bucket).agg(F.count_if(~F.col("toxic")).alias("ordinary"), F.count_if("toxic").alias("toxic"))
+def pair_counts(rows: DataFrame, grp: Column, text: str = "text") -> DataFrame:
+    """grp, pair, n: in how many contexts each bigram stands, by group, over all texts."""
+    seen = rows.select(grp.cast("int").alias("grp"), F.col(text).alias("text")).mapInArrow(_contexts, "grp int, pair long, context int")
+    return seen.distinct().groupBy("grp", "pair").agg(F.count("*").alias("n"))
 
 
-def log_ratios(counts: DataFrame) -> np.ndarray:
-    """The log ratio of each bucket, toxic over ordinary."""
-    counts = shared.written(counts, "contexts")
-    ratios = np.zeros(1 << BITS, np.float32)
-    whole = counts.agg(F.sum("ordinary"), F.sum("toxic"), F.count_if(F.col("ordinary") > 0), F.count_if(F.col("toxic") > 0)).first()
-    if not whole[0] or not whole[1]:
-        return ratios
-    shared_ = (F.col("ordinary") + F.col("toxic") + 0.5) / F.lit(float(whole[0] + whole[1] + 0.5 * (1 << BITS)))
+def summed(pairs: DataFrame) -> DataFrame:
+    """kind, grp, id, n, kept: of words (kind 0) and of previous words (1) the sums over their bigrams, with the sum of what each discount leaves; and the bigrams that outlast the least discount (2)."""
+    mask = F.lit((1 << BITS) - 1)
+    word, before = F.col("pair").bitwiseAND(mask), F.shiftrightunsigned("pair", BITS).bitwiseAND(mask)
+    left = F.array(*[F.greatest(F.col("n") - d, F.lit(0.0)) for d in PAIR_DISCOUNTS])
+    none = F.array(*[F.lit(0.0) for _ in PAIR_DISCOUNTS])
+    one = F.array(
+        F.struct(F.lit(0).alias("kind"), word.alias("id"), F.lit(1).cast("long").alias("n"), none.alias("left")),
+        F.struct(F.lit(1).alias("kind"), before.alias("id"), F.col("n"), left.alias("left")),
+    )
+    more = F.array(F.struct(F.lit(2).alias("kind"), F.col("pair").alias("id"), F.col("n"), left.alias("left")))
+    each = pairs.select("grp", F.explode(F.when(F.col("n") > min(PAIR_DISCOUNTS), F.concat(one, more)).otherwise(one)).alias("x")).select("grp", "x.*")
+    kept = [F.sum(F.col("left")[k]).alias(f"left{k}") for k in range(len(PAIR_DISCOUNTS))]
+    return each.groupBy("kind", "grp", "id").agg(F.sum("n").alias("n"), *kept)
 
-    def p(name: str, total: int, kinds: int) -> Column:
-        return F.greatest(F.col(name) - DISCOUNT, F.lit(0.0)) / float(total) + F.lit(DISCOUNT * kinds / total) * shared_
 
-    ratio = F.log(p("toxic", whole[1], whole[3]) / p("ordinary", whole[0], whole[2]))
-    told = counts.filter(F.col("ordinary") + F.col("toxic") >= LEAST_CONTEXTS).select("bucket", ratio.alias("r")).filter(F.abs("r") >= LEAST_RATIO).toArrow()
-    ratios[told["bucket"].to_numpy()] = told["r"].to_numpy()
-    return ratios
+@dataclass
+class Words:
+    """The word tables of both classes, ordinary first, of one pair discount."""
+
+    word: np.ndarray
+    backoff: np.ndarray
+    total: np.ndarray
+
+
+@dataclass
+class Pairs:
+    """A block of bigrams: sorted keys and their discounted probabilities in both classes."""
+
+    keys: np.ndarray
+    value: np.ndarray
+
+
+@dataclass
+class Model:
+    words: Words
+    #: Blocks of bigrams are read from this table: id, left of the ordinary class, left of the toxic class.
+    pairs: DataFrame | None
+    n_pairs: int
+    share: float
+    slope: float
+    offset: float
+    chosen: dict = field(default_factory=dict)
 
 
-def evidence(docs: DataFrame, ratios: np.ndarray, text: str, name: str) -> DataFrame:
-    """docs with the difference of the log-likelihoods per word."""
-    sent = docs.sparkSession.sparkContext.broadcast(ratios)
+def word_tables(sums: DataFrame, groups: tuple[int, int], k: int, discounts: tuple[float, ...]) -> list[Words]:
+    """For each word discount, from the rows of `summed`; groups: those of the ordinary and of the toxic class; k: which pair discount."""
+    n, size = np.zeros((2, 1 << BITS)), 1 << BITS
+    before, left = np.zeros((2, size)), np.zeros((2, size))
+    found = sums.filter((F.col("kind") < 2) & F.col("grp").isin(*groups)).select("kind", (F.col("grp") == groups[1]).cast("int").alias("c"), F.col("id").cast("int").alias("id"), F.col("n").cast("double").alias("n"), F.col(f"left{k}").alias("left")).toArrow()
+    kind, c, i, m, kept = (found[x].to_numpy() for x in ("kind", "c", "id", "n", "left"))
+    n[c[kind == 0], i[kind == 0]] = m[kind == 0]
+    before[c[kind == 1], i[kind == 1]] = m[kind == 1]
+    left[c[kind == 1], i[kind == 1]] = kept[kind == 1]
+    pooled = n.sum(axis=0) + 0.5
+    pooled /= pooled.sum()
+    backoff, total, out = (1 - left / np.maximum(before, 1)).astype(np.float32), np.maximum(before, 1).astype(np.float32), []
+    for discount in discounts:
+        own = np.maximum(n - discount, 0) / np.maximum(n.sum(axis=1, keepdims=True), 1)
+        out.append(Words((own + (1 - own.sum(axis=1, keepdims=True)) * pooled).astype(np.float32), backoff, total))
+    return out
 
-    def work(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
-        data = textnum.ASCII_LOWER[data]
-        starts, ends, counts = textnum.words(data, offsets, textnum.ALNUM)
-        r = sent.value[(textnum.word_hashes(data, starts, ends) & np.uint64((1 << BITS) - 1)).astype(np.int64)]
-        total = np.concatenate([[0.0], np.cumsum(r, dtype=np.float64)])
-        return [pa.array((total[counts[1:]] - total[counts[:-1]]) / np.maximum(np.diff(counts), 1))]
 
-    return docs.withColumn(name, shared.text_udf(work, "e double")(F.col(text))["e"])
+def _blocks(pairs: DataFrame | None, n_pairs: int, words: Words) -> Iterator[Pairs]:
+    """Blocks of the bigrams, by their keys."""
+    if pairs is None or not n_pairs:
+        return
+    n = -(-n_pairs // max(1, BLOCK_PAIRS // 2))
+    for b in range(n):
+        part = pairs if n == 1 else pairs.filter(F.pmod(F.xxhash64("id"), F.lit(n)) == b)
+        found = part.toArrow()
+        keys = found["id"].to_numpy().astype(np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        keys = keys[order]
+        before = (keys >> np.uint64(BITS) & _LOW).astype(np.int64)
+        value = np.stack([found[f"c{c}"].to_numpy()[order] / words.total[c][before] for c in (0, 1)])
+        yield Pairs(keys, value.astype(np.float32))
 
 
-def _feature(e: Column) -> Column:
-    return F.signum(e) * F.log1p(F.abs(e) * 1000)
+def frequent_pairs(sums: DataFrame, groups: tuple[int, int], k: int) -> DataFrame:
+    """id, c0, c1: the bigrams that outlast discount k in some class, with what is left in each."""
+    some = sums.filter((F.col("kind") == 2) & F.col("grp").isin(*groups) & (F.col(f"left{k}") > 0))
+    left = [F.sum(F.when(F.col("grp") == g, F.col(f"left{k}")).otherwise(0.0)).alias(f"c{c}") for c, g in enumerate(groups)]
+    return some.groupBy("id").agg(*left)
+
+
+def ratios(words: Words, pairs: Pairs | None, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """P_toxic / P_ordinary of each word without the block's bigrams; where bigrams of the block are, and the ratio there."""
+    w, v = (key & _LOW).astype(np.int64), (key >> np.uint64(BITS) & _LOW).astype(np.int64)
+    p = words.backoff[:, v] * words.word[:, w]
+    plain = p[1].astype(np.float64) / p[0]
+    if pairs is None or not len(pairs.keys):
+        return plain, np.zeros(0, np.int64), np.zeros(0)
+    at = np.searchsorted(pairs.keys, key)
+    at[at == len(pairs.keys)] = 0
+    hit = np.flatnonzero(pairs.keys[at] == key)
+    q = p[:, hit] + pairs.value[:, at[hit]]
+    return plain, hit, q[1].astype(np.float64) / q[0]
+
+
+def evidence_of(share: float, plain: np.ndarray, hit: np.ndarray, found: np.ndarray, more_only: bool = False) -> np.ndarray:
+    """The evidence of each word; more_only: what the block's bigrams add to the evidence without them."""
+    out = np.log1p(share * (plain - 1))
+    told = np.log1p(share * (found - 1))
+    if more_only:
+        told, out = told - out[hit], np.zeros(len(out))
+    out[hit] = told
+    return out
+
+
+def _per_text(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0.0], np.cumsum(values)])
+    return (total[counts[1:]] - total[counts[:-1]]) / np.maximum(np.diff(counts), 1)
+
+
+def _feature(e, share: float):
+    return np.sign(e) * np.log1p(np.abs(e) / share)
+
+
+def choose(sample: DataFrame, text: str, toxic: str) -> dict:
+    """The discounts, share, slope and offset of the least logistic loss, each half of the sample scored by the other's model."""
+    half = F.pmod(F.xxhash64(F.lit(2), F.col(text)), F.lit(2))
+    rows = shared.written(sample.select(F.col(text).alias("text"), (F.col(toxic) == 1).cast("int").alias("y"), half.cast("int").alias("half")).repartition(HALVES_PARTS), "halves")
+    sums = shared.written(summed(pair_counts(rows, F.col("half") * 2 + F.col("y"))), "sums")
+    spark, best = sample.sparkSession, None
+    tried = [(d, share) for d in range(len(WORD_DISCOUNTS)) for share in SHARES]
+    for k, discount in enumerate(PAIR_DISCOUNTS):
+        models = []
+        for other in (1, 0):  # the model that scores half 0 is that of half 1
+            groups = other * 2, other * 2 + 1
+            words = word_tables(sums, groups, k, WORD_DISCOUNTS)
+            # a sample's bigrams are as bounded as the sample, so they are one block
+            models.append((words, next(_blocks(frequent_pairs(sums, groups, k), 1, words[0]), None)))
+        sent = spark.sparkContext.broadcast(models)
+
+        def work(data: np.ndarray, offsets: np.ndarray, sent=sent) -> list[pa.Array]:
+            key, _, counts = _pairs(data, offsets)
+            each = []
+            for words, pairs in sent.value:
+                told = [ratios(x, pairs, key) for x in words]
+                each.append([_per_text(evidence_of(share, *told[d]), counts) for d, share in tried])
+            return [pa.FixedSizeListArray.from_arrays(pa.array(np.stack(e, axis=1).ravel()), len(tried)).cast(pa.list_(pa.float64())) for e in each]
+
+        made = rows.withColumn("e", shared.text_udf(work, "e0 array<double>, e1 array<double>")(F.col("text")))
+        found = made.select("y", F.when(F.col("half") == 0, F.col("e.e0")).otherwise(F.col("e.e1")).alias("x")).toArrow()
+        y = found["y"].to_numpy().astype(float)
+        x = found["x"].combine_chunks().flatten().to_numpy().reshape(-1, len(tried))
+        for at, (d, share) in enumerate(tried):
+            slope, offset, loss = shared.logistic_rows(_feature(x[:, at], share), y)
+            if best is None or loss < best["loss"] - 1e-9:
+                best = {"place": k, "pair_discount": discount, "word_discount": WORD_DISCOUNTS[d], "share": share, "slope": slope, "offset": offset, "loss": loss, "rows": len(y)}
+        sent.unpersist()
+    return best
 
 
 def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic") -> Model:
     """labelled: texts with toxic 0 or 1, all of which count."""
-    labelled = labelled.filter(F.col(toxic).isNotNull())
-    ratios = log_ratios(context_counts(labelled, text, toxic))
-    seen = evidence(labelled.select(text, toxic), ratios, text, "_e")
-    return Model(ratios, *shared.logistic(seen, _feature(F.col("_e")), F.col(toxic)))
+    rows = labelled.filter(F.col(toxic).isNotNull()).select(F.col(text).alias("text"), F.col(toxic).alias("toxic"))
+    n = rows.count()
+    sample = rows if n <= SAMPLE_ROWS else rows.filter(F.pmod(F.xxhash64(F.lit(1), F.col("text")), F.lit(1_000_000)) < int(1_000_000 * SAMPLE_ROWS / n))
+    chosen = choose(sample, "text", "toxic")
+    k = chosen["place"]
+    sums = shared.written(summed(pair_counts(rows, (F.col("toxic") == 1))), "sums")
+    words = word_tables(sums, (0, 1), k, (chosen["word_discount"],))[0]
+    pairs = shared.written(frequent_pairs(sums, (0, 1), k), "pairs")
+    return Model(words, pairs, pairs.count(), chosen["share"], chosen["slope"], chosen["offset"], chosen)
+
+
+def evidence(docs: DataFrame, model: Model, text: str, name: str) -> DataFrame:
+    """docs with the evidence as column `name`: one pass for each block of bigrams, each written before the next is broadcast."""
+    spark, share, made = docs.sparkSession, model.share, docs
+    blocks = _blocks(model.pairs, model.n_pairs, model.words)
+    first = next(blocks, None)
+    for k, block in enumerate([first]) if first is None else enumerate(_chain(first, blocks)):
+        sent = spark.sparkContext.broadcast((Words(model.words.word, model.words.backoff, np.zeros(0)), block))
+
+        def work(data: np.ndarray, offsets: np.ndarray, sent=sent, k=k) -> list[pa.Array]:
+            key, _, counts = _pairs(data, offsets)
+            return [pa.array(_per_text(evidence_of(share, *ratios(*sent.value, key), k > 0), counts))]
+
+        told = shared.text_udf(work, "e double")(F.col(text))["e"]
+        if k:
+            made = shared.written(made, "evidence")
+        made = made.withColumn(name, F.col(name) + told if k else told)
+    return made
+
+
+def _chain(first, rest):
+    yield first
+    yield from rest
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with score and predicted."""
     docs = shared.without(docs, FIELDS)
-    made = evidence(docs, model.ratios, text, "_e")
-    score = F.lit(1.0) / (1 + F.exp(-(_feature(F.col("_e")) * model.slope + model.offset)))
-    made = made.withColumn("score", score).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
-    return made.select(*docs.columns, *FIELDS)
+    name = shared.free_name(docs, "evidence")
+    made = evidence(docs, model, text, name)
+    e = F.col(name)
+    x = F.signum(e) * F.log1p(F.abs(e) / model.share)
+    score = F.lit(1.0) / (1 + F.exp(-(x * model.slope + model.offset)))
+    return made.select(*shared.columns(docs), score.alias("score"), (score >= 0.5).cast("int").alias("predicted"))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, langid, linededup, quality, shared, textnum, toxicity
+from millrace.llm import decontaminate, langid, linededup, quality, shared, textnum
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -201,45 +201,6 @@ def test_crc32_fold(spark):
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in rows)
 
 
-def toxic_rows(n=240):
-    rng = random.Random(3)
-    words = [f"plain{k}" for k in range(200)]
-    rows = []
-    for k in range(n):
-        w = [rng.choice(words) for _ in range(rng.randrange(20, 60))]
-        toxic = k % 4 == 0
-        for _ in range(3 * toxic):
-            w.insert(rng.randrange(len(w)), rng.choice(["vile", "rotten"]))
-        rows.append((k, " ".join(w), int(toxic)))
-    return rows
-
-
-def test_toxicity_on_held_out_rows(spark):
-    rows = toxic_rows()
-    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    model = toxicity.fit(docs.filter("doc_id % 3 <> 0"))
-    extra = spark.createDataFrame([(1000, None, None), (1001, "", None)], "doc_id long, text string, toxic int")
-    got = {r.doc_id: r for r in toxicity.predict(docs.drop("toxic").unionByName(extra.drop("toxic")), model).collect()}
-    held = [(got[k].predicted, t) for k, _, t in rows if k % 3 == 0]
-    assert sum(p == t for p, t in held) >= 0.97 * len(held)
-    assert all(0 <= r.score <= 1 for r in got.values()) and got[1000].predicted == 0 and got[1000].score == got[1001].score
-
-
-def test_continuation_counts_are_exact(spark):
-    rows = [("a b a b", 0), ("c b", 0), ("A b", 1), (None, 1), ("", 0)]
-    counts = toxicity.context_counts(spark.createDataFrame(rows, "text string, toxic int"))
-    got = sorted((r.ordinary, r.toxic) for r in counts.collect())
-    assert got == sorted([(2, 1), (2, 1), (1, 0)])  # a: after start and b | start; b: after a, c | a; c: after start
-
-
-def test_toxicity_without_labels(spark):
-    docs = spark.createDataFrame([(1, "x"), (2, None)], "doc_id long, text string")
-    model = toxicity.fit(spark.createDataFrame([], "doc_id long, text string, toxic int"))
-    assert [r.score for r in toxicity.predict(docs, model).collect()] == [0.5, 0.5]
-    one = toxicity.fit(spark.createDataFrame([(1, "x y", 0)], "doc_id long, text string, toxic int"))
-    assert all(r.score < 0.5 for r in toxicity.predict(docs, one).collect())
-
-
 def test_labels_join_either_way(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0), (1, 1), (2, None), (None, 1)], "doc_id long, toxic int")
