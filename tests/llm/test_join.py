@@ -74,11 +74,22 @@ def test_all_links_are_found(spark, monkeypatch, blocks):
 
 def test_one_of_each_group_stays(spark):
     rows = table(8, 9)
-    docs = spark.createDataFrame([(i, t, "x") for i, t in rows] + [rows[0] + ("x",)], "doc_id long, text string, _cls string")
+    names = ["doc_id", "text", "_cls", "_one", "_two", "_id", "root", "a.b"]
+    docs = spark.createDataFrame([(i, t, *"xxxxxx") for i, t in rows] + [rows[0] + tuple("xxxxxx")], names)
     want = brute(rows)
-    kept = ngramjoin.keep_one(docs.withColumnRenamed("_cls", "source"))
-    ids = sorted(r.doc_id for r in kept.collect())
-    assert ids == sorted({v[1] for v in want.values()}) and kept.columns == ["doc_id", "text", "source"]
+    kept = ngramjoin.keep_one(docs)
+    found = kept.collect()
+    assert sorted(r.doc_id for r in found) == sorted({v[1] for v in want.values()}) and kept.columns == names
+    assert all(r[2:] == tuple("xxxxxx") for r in found)
+
+
+def test_copies_without_ids_meet_no_cross_join(spark):
+    text, other = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(30))
+    rows = [(None, text)] * 50 + [(None, text + " more")] * 50 + [(None, other)] * 20 + [(None, None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r.n_links for r in ngramjoin.similar(docs).collect())
+    assert got == [0] * 22 + [1] * 100
+    assert sorted(str(r.text)[:1] for r in ngramjoin.keep_one(docs).collect()) == ["N", "N", "a", "b"]
 
 
 def test_null_ids_keep_their_links(spark):
@@ -92,7 +103,32 @@ def test_depth_meets_the_target():
     for threshold in (0.5, 0.8, 0.95):
         d = ngramjoin.depth_for(threshold, 0.999)
         assert d == 1 or 1 - (1 - threshold**d) ** ngramjoin.TREES >= 0.999
-        assert d == ngramjoin.MAX_DEPTH or 1 - (1 - threshold ** (d + 1)) ** ngramjoin.TREES < 0.999
+        assert d == ngramjoin.DEEPEST or 1 - (1 - threshold ** (d + 1)) ** ngramjoin.TREES < 0.999
+
+
+def test_only_classes_whose_links_are_far_stay_open(spark):
+    near = [(b"x", 9, 4), (b"x", 7, 1)]  # similarity 0.98 and 0.94
+    far = [(b"y", 9, 4), (b"y", 0, 1)]  # one at 0.8: 7 of 100 such are missed at depth 10
+    rows = spark.createDataFrame(near + far, "a binary, bin int, n long")
+    assert [bytes(r.cls) for r in ngramjoin.settled(rows, 10, 0.8, 0.99, 24).collect()] == [b"x"]
+    assert {bytes(r.cls) for r in ngramjoin.settled(rows, 6, 0.8, 0.99, 24).collect()} == {b"x", b"y"}
+
+
+def test_shorter_prefixes_find_what_deep_ones_miss(spark, monkeypatch):
+    rng = random.Random(21)
+    rows = []
+    for g in range(60):
+        base = [f"g{g}w{k}" for k in range(200)]
+        other = list(base)
+        for k in rng.sample(range(5, 195, 10), 4):
+            other[k] = f"c{g}x{k}"  # about 0.82 similar
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    links = lambda: sum(r.n_links for r in ngramjoin.similar(docs).collect())
+    assert links() == sum(v[2] for v in want.values()) == 120
+    monkeypatch.setattr(ngramjoin, "depth_for", lambda *_: 10)
+    assert links() < 120
 
 
 def test_exact_matches_against_sets():
