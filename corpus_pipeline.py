@@ -26,6 +26,10 @@ from millrace.llm import decontaminate, linededup, mixing, ngramjoin, quality, s
 TARGETS = {"good": 0.93, "toxic": 0.07}
 
 
+#: The documents' files reach the line runs in so many batches.
+BATCHES = 4
+
+
 def _measured(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
@@ -35,7 +39,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = linededup.dedup(docs.withColumns({f"_own{k}": F.col(f"`{c}`") for k, c in enumerate(docs.columns)}))
+    batches = linededup.arrivals(docs, BATCHES)
+    found = linededup.dedup(docs.select(*[c.alias(f"_own{k}") for k, c in enumerate(shared.columns(docs))], "text"), batches)
     own = [F.col("kept_text").alias(c) if c == "text" else F.col(f"_own{k}").alias(c) for k, c in enumerate(docs.columns)]
     return _measured(found.select(*own))
 

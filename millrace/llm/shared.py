@@ -42,6 +42,43 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def create_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file unless there is one: of several writers one is told True. (HDFS and local folders create exclusively; a store must do so too.)"""
+    fs, p = _file(spark, path)
+    fs.mkdirs(p.getParent())
+    try:
+        out = fs.create(p, False)
+    except Exception as e:
+        if fs.exists(p):
+            return False
+        raise e
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    fs, p = _file(spark, path)
+    if not fs.exists(p):
+        return None
+    given = fs.open(p)
+    try:
+        return bytes(given.readAllBytes()).decode()
+    finally:
+        given.close()
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """The files and folders of a folder, in order; none if there is no such folder."""
+    fs, p = _file(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """df less the columns that a result column of an operator replaces."""
     taken = {x.lower() for x in names}

@@ -156,20 +156,41 @@ def brute_lines(texts, least):
     return out
 
 
-@pytest.mark.parametrize("broadcast_keys", [1000, 1])
-def test_line_dedup(spark, texts, broadcast_keys):
-    rows = [*texts, *[f"Common Line \n own {k}" for k in range(5)], *["twice\ntwice"] * 2]
-    docs = frame(spark, rows)
-    runs = linededup.LineRuns(spark, fanout=2)
+@pytest.mark.parametrize(("broadcast_keys", "hot_share"), [(1000, 1), (1, 1), (1, 20)])
+def test_line_dedup(spark, texts, broadcast_keys, hot_share):
+    rows = [*texts, *[f"Common Line \n own {k}" for k in range(5)], *["twice\ntwice"] * 2, "line\n" * 20_000]
+    docs = frame(spark, rows).withColumns({"_made": F.lit(1), "_key": F.lit(2), "_found": F.lit(3), "N_Lines": F.lit(4)})
+    runs = linededup.LineRuns(spark, least_docs=3, fanout=2)
     for k in range(3):
-        runs.add(docs.filter(F.col("doc_id") % 3 == k))
-    assert max(level for level, _ in runs.runs) >= 1
-    got = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_text) for r in linededup.drop(docs, runs.frequent(3), broadcast_keys=broadcast_keys).collect()}
-    assert got == dict(enumerate(brute_lines(rows, 3)))
+        assert runs.add(docs.filter(F.col("doc_id") % 3 == k), batch_id=str(k))
+    assert not runs.add(docs, batch_id="1") and max(runs.levels) >= 1
+    got = {r.doc_id: r for r in linededup.drop(docs, runs.frequent(), broadcast_keys=broadcast_keys, hot_share=hot_share).collect()}
+    assert {k: (r.n_lines, r.n_dropped, r.kept_text) for k, r in got.items()} == dict(enumerate(brute_lines(rows, 3)))
+    assert all((r._made, r._key, r._found) == (1, 2, 3) for r in got.values())
     assert runs.novel(docs).count() == 0
     assert runs.novel(spark.createDataFrame([(1, "quite new\ncommon line")], "doc_id long, text string")).count() == 1
 
 
+def test_line_runs_are_found_again_and_only_batches_are_shuffled(spark):
+    docs = lambda *t: spark.createDataFrame([*enumerate(t)], "doc_id long, text string")
+    first = linededup.LineRuns(spark, least_docs=2, fanout=2)
+    first.add(docs("a\nb", "c"), batch_id="x")
+    late = linededup.LineRuns(spark, first.folder, least_docs=2, fanout=2)
+    first.add(docs("b"), batch_id="y")
+    with pytest.raises(RuntimeError):
+        late.add(docs("c"), batch_id="z")
+    again = linededup.LineRuns(spark, first.folder, least_docs=2, fanout=2)  # after a compaction
+    assert again.levels == [1] and not again.add(docs("a"), batch_id="y")
+    for k, t in enumerate(("b", "a\nb", "d", "c")):
+        again.add(docs(t), batch_id=str(k))
+    assert again.frequent().count() == 3 and again.novel(docs("d\ne")).count() == 1
+    assert again.frequent().select("a", "b").distinct().count() == 3  # each key ripens once
+    plan = again.novel(docs("d\ne"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("SortMergeJoin") == len(again.levels)  # of the batch alone
+    with pytest.raises(ValueError):
+        linededup.LineRuns(spark, first.folder, least_docs=5)
+
+
 def test_line_dedup_of_an_empty_table(spark):
     assert linededup.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
