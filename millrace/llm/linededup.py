@@ -26,7 +26,6 @@ in exactly least_docs documents is dropped. An empty table adds an empty run. Co
 from __future__ import annotations
 
 import hashlib
-import json
 import uuid
 from collections.abc import Iterator
 
@@ -84,17 +83,15 @@ class LineRuns:
     def __init__(self, spark: SparkSession, folder: str | None = None, least_docs: int = 10, fanout: int = FANOUT):
         self.spark, self.fanout = spark, fanout
         self.folder = (folder or shared.shared_folder(spark, "lines")).rstrip("/")
-        self.state = self._latest() or {"number": 0, "least_docs": least_docs, "ranges": int(spark.conf.get("spark.sql.shuffle.partitions")), "runs": [], "batches": []}
+        self.manifest = shared.Manifest(spark, self.folder)
+        first = {"least_docs": least_docs, "ranges": int(spark.conf.get("spark.sql.shuffle.partitions")), "runs": [], "batches": []}
+        self.state = first | self.manifest.load()
         if self.state["least_docs"] != least_docs:
             raise ValueError(f"these runs count to {self.state['least_docs']} documents")
 
-    def _latest(self) -> dict | None:
-        names = [x for x in shared.names_in(self.spark, self.folder) if x.startswith("manifest-")]
-        return json.loads(shared.read_text(self.spark, f"{self.folder}/{names[-1]}")) if names else None
-
     def _commit(self, **changed) -> None:
-        state = self.state | changed | {"number": self.state["number"] + 1}
-        if not shared.create_new(self.spark, f"{self.folder}/manifest-{state['number']:08d}.json", json.dumps(state)):
+        state = self.manifest.commit(self.state, **changed)
+        if state is None:
             raise RuntimeError("another writer has changed these runs")
         self.state = state
 

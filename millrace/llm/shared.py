@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -79,6 +80,27 @@ def names_in(spark: SparkSession, path: str) -> list[str]:
     return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
 
 
+class Manifest:
+    """What a store holds, as numbered small files of which each is created once: a change is in as a whole, and of two writers of one number one is told."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def load(self) -> dict:
+        names = [x for x in names_in(self.spark, self.folder) if x.startswith("manifest-")]
+        return json.loads(read_text(self.spark, f"{self.folder}/{names[-1]}")) if names else {"number": 0}
+
+    def commit(self, state: dict, **changed) -> dict | None:
+        """The new state, or None if another writer was first."""
+        new = state | changed | {"number": state["number"] + 1}
+        return new if create_new(self.spark, f"{self.folder}/manifest-{new['number']:08d}.json", json.dumps(new)) else None
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _file(spark, path)
+    fs.delete(p, True)
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """df less the columns that a result column of an operator replaces."""
     taken = {x.lower() for x in names}

@@ -2,14 +2,21 @@
 
 A batch of changes becomes a ledger table of signed rows: +1 for a document that came, -1 (with the counts it had) for
 one that went, both for one that was revised. Its sum by key is the batch's delta, and totals are sums of deltas, so
-they are additive whatever the order of batches. Both tables are written aside and renamed into place under the
-batch's id: a batch is in or out as a whole, and giving it again changes nothing.
+they are additive whatever the order of batches. Each tokenizer version has a store of its own below the folder, so a
+recount under a new version gives the same batches again.
+
+Both tables are written to new folders and named by the next manifest, which only one writer can create: a batch is in
+or out as a whole, giving it again changes nothing, and tables that no manifest names are never read. A writer that
+was overtaken works its batch out anew on what is there then.
 
 Texts are counted once, when they come: deletes and revisions take the old counts from the ledger by a join on the id.
+The ledger is laid out in PARTS folders by the id's hash, so a join with few ids reads their parts only; `compact` makes
+one ledger of live rows and one delta of all.
 
 Edge cases: null and empty texts have no tokens but count as documents; null keys are keys of their own; each row of a
-batch counts, and a delete or a revision takes back all live rows of its id; an unknown id, or a null one, takes back
-nothing; an empty batch commits with no rows. Other columns are ignored.
+batch counts; a delete or a revision, or both in one batch, takes back all live rows of its id once; an unknown id, or a
+null one, takes back nothing; an empty batch commits with no rows; a text of any length is counted whole. Other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +37,11 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the byte-level vocabulary cuts texts before it merges bytes (fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 KEYS = ["source", "lang", "tokenizer"]
-LEDGER = "doc_id string, source string, lang string, tokenizer string, docs long, tokens long"
+LEDGER = "doc_id string, source string, lang string, tokenizer string, docs long, tokens long, part int"
+#: Folders of a ledger.
+PARTS = 32
+#: Times that an overtaken writer tries again.
+TRIES = 5
 DELTA = "source string, lang string, tokenizer string, docs long, tokens long"
 
 
@@ -55,34 +66,22 @@ def token_count(path: str = TOKENIZER):
 
 
 class TokenTotals:
-    """The ledger and the deltas of one corpus, below a folder that all machines share."""
+    """The ledgers and the deltas of one corpus, below a folder that all machines share."""
 
     def __init__(self, spark: SparkSession, folder: str, tokenizer: str = TOKENIZER, version: str | None = None):
         self.spark, self.folder, self.path = spark, folder.rstrip("/"), tokenizer
         self.version = version or Path(tokenizer).stem
+        self.manifest = shared.Manifest(spark, f"{self.folder}/{self.version}")
+
+    def _state(self, version: str | None = None) -> dict:
+        manifest = shared.Manifest(self.spark, f"{self.folder}/{version}") if version else self.manifest
+        return {"batches": [], "ledgers": [], "deltas": []} | manifest.load()
 
-    def _fs(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def _exists(self, path: str) -> bool:
-        fs, p = self._fs(path)
-        return fs.exists(p)
-
-    def _commit(self, df: DataFrame, kind: str, batch: str) -> None:
-        """Writes aside and renames; of two writers of a batch one wins, and the other's rows go."""
-        made, to = f"{self.folder}/aside/{kind}-{batch}-{uuid.uuid4().hex}", f"{self.folder}/{kind}/batch={batch}"
-        df.write.parquet(made)
-        fs, source = self._fs(made)
-        _, target = self._fs(to)
-        fs.mkdirs(target.getParent())
-        if fs.exists(target) or not fs.rename(source, target):
-            fs.delete(source, True)
-
-    def _read(self, kind: str, schema: str) -> DataFrame:
-        if not self._exists(f"{self.folder}/{kind}"):
+    def _read(self, paths: list[str], schema: str) -> DataFrame:
+        if not paths:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.folder}/{kind}")
+        out = [self.spark.read.schema(schema).parquet(p) for p in paths]  # each has its own parts
+        return reduce(DataFrame.unionByName, out)
 
     def _counted(self, docs: DataFrame) -> DataFrame:
         return docs.select(
@@ -90,31 +89,58 @@ class TokenTotals:
             F.lit(self.version).alias("tokenizer"), F.lit(1).cast("long").alias("docs"), token_count(self.path)(F.col("text")).alias("tokens"),
         )
 
-    def _taken_back(self, ids: DataFrame) -> DataFrame:
-        """What is live of the ids, with the opposite sign."""
-        ids = ids.select(F.col("doc_id").cast("string").alias("doc_id")).distinct()
-        had = self._read("ledger", LEDGER).filter(F.col("tokenizer") == self.version).join(ids, "doc_id")
+    def _taken_back(self, ids: DataFrame, state: dict) -> DataFrame:
+        """What is live of the ids, with the opposite sign; ids: doc_id, each once."""
+        keys = ids.withColumn("part", _part())
+        had = self._read(state["ledgers"], LEDGER).join(keys, ["part", "doc_id"])
         live = had.groupBy("doc_id", *KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0")
         return live.select("doc_id", *KEYS, (-F.col("docs")).alias("docs"), (-F.col("tokens")).alias("tokens"))
 
+    def _written(self, rows: DataFrame) -> tuple[str, str]:
+        """The folders of a ledger and of its sums."""
+        ledger, delta = (f"{self.folder}/{self.version}/{kind}-{uuid.uuid4().hex}" for kind in ("ledger", "delta"))
+        rows.withColumn("part", _part()).repartition(PARTS, "part").write.partitionBy("part").parquet(ledger)
+        mine = self._read([ledger], LEDGER)
+        mine.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.parquet(delta)
+        return ledger, delta
+
     def commit(self, batch: str, inserts: DataFrame | None = None, deletes: DataFrame | None = None, revised: DataFrame | None = None) -> bool:
         """inserts, revised: doc_id, text, source, lang; deletes: doc_id. False if the batch was in already."""
-        if self._exists(f"{self.folder}/delta/batch={batch}"):
-            return False
-        if not self._exists(f"{self.folder}/ledger/batch={batch}"):
+        counted = None
+        for _ in range(TRIES):
+            state = self._state()
+            if batch in state["batches"]:
+                return False
             rows = [self._counted(x) for x in (inserts, revised) if x is not None]
-            rows += [self._taken_back(x) for x in (deletes, revised) if x is not None]
-            self._commit(reduce(DataFrame.unionByName, rows or [self.spark.createDataFrame([], LEDGER)]), "ledger", batch)
-        mine = self.spark.read.schema(LEDGER).parquet(f"{self.folder}/ledger/batch={batch}")
-        self._commit(mine.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")), "delta", batch)
-        return True
+            gone = [x.select(F.col("doc_id").cast("string").alias("doc_id")) for x in (deletes, revised) if x is not None]
+            if gone:
+                rows.append(self._taken_back(reduce(DataFrame.union, gone).filter("doc_id IS NOT NULL").distinct(), state))
+            counted = self._written(reduce(DataFrame.unionByName, rows or [self.spark.createDataFrame([], LEDGER).drop("part")]))
+            if self.manifest.commit(state, batches=[*state["batches"], batch], ledgers=[*state["ledgers"], counted[0]], deltas=[*state["deltas"], counted[1]]):
+                return True
+            for path in counted:
+                shared.delete(self.spark, path)
+        raise RuntimeError(f"batch {batch} was overtaken {TRIES} times")
+
+    def compact(self) -> None:
+        """One ledger of the live rows and one delta; what they replace stays on disk for those who read it."""
+        state = self._state()
+        live = self._read(state["ledgers"], LEDGER).groupBy("doc_id", *KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0")
+        ledger, delta = self._written(live)
+        if not self.manifest.commit(state, ledgers=[ledger], deltas=[delta]):
+            raise RuntimeError("another writer has changed this store")
 
     def totals(self) -> DataFrame:
-        """source, lang, tokenizer, n_docs, n_tokens of all committed batches; keys without a document left out."""
-        whole = self._read("delta", DELTA).groupBy(*KEYS).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
+        """source, lang, tokenizer, n_docs, n_tokens of all committed batches of all versions; keys without a document left out."""
+        deltas = [p for v in shared.names_in(self.spark, self.folder) for p in self._state(v)["deltas"]]
+        whole = self._read(deltas, DELTA).groupBy(*KEYS).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
         return whole.filter("n_docs <> 0 OR n_tokens <> 0")
 
 
+def _part():
+    return F.when(F.col("doc_id").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))).otherwise(F.floor(F.rand(1) * PARTS)).cast("int")
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents come; later copies of a text go; texts that repeat lines are revised to have each once; a batch is sent twice."""
     docs = shared.table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
@@ -122,6 +148,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals.commit("load", inserts=docs)
     seen = docs.select("doc_id", F.md5("text").alias("m"), F.xxhash64("text").alias("x"))
     first = seen.groupBy("m", "x").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    first = shared.written(first, "first")  # so both sides of the join are plain, and Spark splits a text with many copies
     copies = shared.written(seen.join(first, ["m", "x"]).filter("doc_id <> first").select("doc_id"), "copies")
     totals.commit("copies", deletes=copies)
     once = F.array_join(F.array_distinct(F.split("text", "\n")), "\n")

@@ -123,12 +123,61 @@ def test_token_deltas(spark, folder):
     assert totals_of(store) == {("a", "en"): (2, n("hello world") + n("no id")), ("a", "de"): (1, n("kürzer")), ("b", None): (1, 0)}
 
 
-def test_a_commit_that_broke_off_is_finished(spark, folder):
-    schema = "doc_id long, text string, source string, lang string"
-    docs = spark.createDataFrame([(1, "hello", "a", "en")], schema)
+SCHEMA = "doc_id long, text string, source string, lang string"
+
+
+def test_an_id_deleted_and_revised_in_one_batch_is_taken_back_once(spark, folder):
     store = tokencounts.TokenTotals(spark, folder)
-    store._commit(store._counted(docs), "ledger", "1")  # the delta is missing, as after a crash
-    assert store.commit("1", inserts=docs) and totals_of(store)[("a", "en")][0] == 1
+    docs = spark.createDataFrame([(1, "hello", "a", "en"), (2, "world", "a", "en")], SCHEMA)
+    store.commit("1", inserts=docs)
+    store.commit("2", deletes=docs.select("doc_id").filter("doc_id = 1"), revised=docs.filter("doc_id = 1"))
+    assert totals_of(store) == {("a", "en"): (2, 2)}
+
+
+def test_of_two_writers_of_a_batch_one_wins(spark, folder, monkeypatch):
+    docs = spark.createDataFrame([(1, "hello", "a", "en")], SCHEMA)
+    one, two = tokencounts.TokenTotals(spark, folder), tokencounts.TokenTotals(spark, folder)
+    write = one._written
+
+    def late(rows):
+        made = write(rows)
+        monkeypatch.setattr(one, "_written", write)
+        assert two.commit("1", inserts=docs)  # the other comes first, after both found the batch missing
+        return made
+
+    monkeypatch.setattr(one, "_written", late)
+    assert not one.commit("1", inserts=docs) and totals_of(two) == {("a", "en"): (1, 1)}
+
+
+def test_an_overtaken_writer_sees_what_the_other_took_back(spark, folder, monkeypatch):
+    docs = spark.createDataFrame([(1, "hello", "a", "en"), (2, "x", "a", "en")], SCHEMA)
+    one, two = tokencounts.TokenTotals(spark, folder), tokencounts.TokenTotals(spark, folder)
+    one.commit("1", inserts=docs)
+    ids, write = docs.select("doc_id").filter("doc_id = 1"), one._written
+
+    def late(rows):
+        made = write(rows)
+        monkeypatch.setattr(one, "_written", write)
+        two.commit("2", deletes=ids)
+        return made
+
+    monkeypatch.setattr(one, "_written", late)
+    assert one.commit("3", deletes=ids) and totals_of(one) == {("a", "en"): (1, 1)}
+
+
+def test_versions_and_compaction(spark, folder):
+    docs = spark.createDataFrame([(1, "hello", "a", "en"), (2, "x y", "a", "en"), (None, "z", "a", "en")], SCHEMA).withColumns({"part": F.lit(9), "tokens": F.lit("x")})
+    old, new = tokencounts.TokenTotals(spark, folder, version="v1"), tokencounts.TokenTotals(spark, folder, version="v2")
+    assert old.commit("1", inserts=docs) and new.commit("1", inserts=docs)
+    old.commit("2", deletes=docs.select("doc_id").filter("doc_id = 1"))
+    want = {(r.tokenizer): (r.n_docs, r.n_tokens) for r in old.totals().collect()}
+    assert want == {"v1": (2, 3), "v2": (3, 4)}
+    old.compact()
+    assert {(r.tokenizer): (r.n_docs, r.n_tokens) for r in old.totals().collect()} == want and not old.commit("2", inserts=docs)
+    old.commit("3", deletes=docs.select("doc_id"))
+    assert {(r.tokenizer): r.n_docs for r in new.totals().collect()} == {"v1": 1, "v2": 3}
+    empty = tokencounts.TokenTotals(spark, folder, version="v3")
+    assert empty.commit("1", inserts=docs.limit(0)) and empty.commit("2") and empty.totals().count() == 2
 
 
 PAGES = [
