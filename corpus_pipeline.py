@@ -35,7 +35,8 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.keep_good(docs)
+    bands = quality.fit_bands(quality.good_texts(docs, shared.table(spark, sf_dir, "labels")))
+    return quality.keep_good(docs, bands=bands)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

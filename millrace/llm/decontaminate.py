@@ -4,10 +4,13 @@ Words are runs of letters and digits with A-Z lower-cased. A window is n consecu
 fewer words is one window. Document windows are looked up by a 64-bit hash, and every hit is verified by its words.
 
 The set of windows is broadcast in blocks of at most BLOCK_WORDS benchmark words (a stated query set against all
-rows), so its size is bounded however large the benchmark is: one block needs no shuffle, more blocks are merged by row.
+rows). One block needs no shuffle. More are worked one after the other: what a block finds is written (a row for each
+different text with a hit, so little), its broadcast is taken back, and the finds of all blocks are joined to the
+documents by their texts at the end. So memory is that of one block however large the benchmark is.
 
 Edge cases: null or empty texts have no words and no hits; an item without words has no window; items that repeat a
-window are all reported; repeated document rows are judged one by one; columns with a result's name are replaced.
+window are all reported; repeated document rows are judged one by one; a text of any length is scanned whole; an empty
+benchmark hits nothing. Columns with a result's name are replaced, no other is touched.
 """
 
 from __future__ import annotations
@@ -116,20 +119,48 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = 10, text: str = "t
     """docs with n_words, n_hit, n_items, items (ids as sorted strings) and spans (code points of runs of hit words)."""
     spark = docs.sparkSession
     docs = shared.without(docs, FIELDS)
-    parts = [shared.text_udf(scan(spark.sparkContext.broadcast(b)), DDL) for b in blocks(items, item_id, item_text, n, block_words)]
-    if len(parts) == 1:
-        return shared.with_fields(docs, parts[0](F.col(text)), FIELDS)
-    each = [F.col(f"_b{k}") for k in range(len(parts))]
-    made = docs
-    for k, part in enumerate(parts):
-        made = made.withColumn(f"_b{k}", part(F.col(text)))
-    spans = _merged(F.flatten(F.array(*[c["spans"] for c in each])))
-    names = F.array_sort(F.array_distinct(F.flatten(F.array(*[c["items"] for c in each]))))
-    made = made.select(*docs.columns, each[0]["n_words"].alias("n_words"), names.alias("items"), spans.alias("spans"))
+    each = blocks(items, item_id, item_text, n, block_words)
+    first = next(each)
+    second = next(each, None)
+    sent = spark.sparkContext.broadcast(first)
+    if second is None:
+        return shared.with_fields(docs, shared.text_udf(scan(sent), DDL)(F.col(text)), FIELDS)
+    found = [_finds(docs, sent, text)]
+    while second is not None:
+        sent.unpersist()
+        sent = spark.sparkContext.broadcast(second)
+        found.append(_finds(docs, sent, text))
+        second = next(each, None)
+    sent.unpersist()
+    return _joined(docs, found, text)
+
+
+def _text_key(text: Column) -> Column:
+    """128 bits of a text."""
+    return F.struct(F.xxhash64(F.lit(1), text).alias("x"), F.xxhash64(F.lit(2), text, F.lit(3)).alias("y"))
+
+
+def _finds(docs: DataFrame, block, text: str) -> DataFrame:
+    """key, items, spans of each different text with a hit in the block."""
+    made = docs.select(_text_key(F.col(text)).alias("key"), shared.text_udf(scan(block), DDL)(F.col(text)).alias("m")).filter("m.n_hit > 0")
+    return shared.written(made.select("key", "m.items", "m.spans").dropDuplicates(["key"]), "hits")
+
+
+def _joined(docs: DataFrame, found: list[DataFrame], text: str) -> DataFrame:
+    """docs with the finds of all blocks."""
+    hits = found[0]
+    for more in found[1:]:
+        hits = hits.unionByName(more)
+    merged = hits.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), _merged(F.flatten(F.collect_list("spans"))).alias("spans"))
+    key, hit = shared.free_name(docs, "key"), shared.free_name(docs, "hit")
+    merged = shared.written(merged.select(F.col("key").alias(key), F.struct("items", "spans").alias(hit)), "hits")
+    made = docs.withColumn(key, _text_key(F.col(text))).join(merged, key, "left")
+    items = F.coalesce(F.col(hit)["items"], F.expr("cast(array() as array<string>)"))
+    spans = F.coalesce(F.col(hit)["spans"], F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"))
+    inside = F.array_join(F.transform(spans, lambda s: F.substring(F.col(text), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))), " ")
     count = shared.text_udf(_count, "n long")
-    inside = F.transform("spans", lambda s: F.substring(F.col(text), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
-    made = made.withColumn("n_hit", count(F.array_join(inside, " "))["n"]).withColumn("n_items", F.size("items").cast("long"))
-    return made.select(*docs.columns, *FIELDS)
+    fields = {"n_words": count(F.col(text))["n"], "n_hit": count(inside)["n"], "n_items": F.size(items).cast("long"), "items": items, "spans": spans}
+    return made.select(*shared.columns(docs), *[c.alias(f) for f, c in fields.items()])
 
 
 def _count(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
@@ -148,7 +179,7 @@ def _merged(spans: Column) -> Column:
 
 def remove_spans(docs: DataFrame, items: DataFrame, n: int = 10, text: str = "text", drop_share: float = 0.5, **more) -> DataFrame:
     """docs without benchmark passages: a document of which more than drop_share of the words are hit goes, others lose the hit spans (a space stands for each)."""
-    found = contamination(docs.withColumns({f"_own{k}": F.col(f"`{c}`") for k, c in enumerate(docs.columns)}), items, n, text, **more)
+    found = contamination(docs.select(*[c.alias(f"_own{k}") for k, c in enumerate(shared.columns(docs))], F.col(text)), items, n, text, **more)
     kept = found.filter(F.col("n_hit") <= drop_share * F.col("n_words"))
     rest = F.aggregate(
         "spans",

@@ -81,6 +81,40 @@ def test_quality_bands(spark):
     assert kept.columns == ["doc_id", "text"] and [r.doc_id for r in kept.collect()] == [0]
 
 
+def prose(rng, n):
+    return " ".join("".join(rng.choice(["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha"]) for _ in range(rng.randrange(1, 5))) for _ in range(n))
+
+
+def test_learned_bands_against_brute_force(spark):
+    import zstandard
+
+    rng = random.Random(8)
+    good = [prose(rng, int(2 ** rng.uniform(5, 9))) for _ in range(400)]
+    bands = quality.fit_bands(spark.createDataFrame([(t,) for t in good + [None, ""]], "text string"))
+    assert len(bands.knots) > 3 and all(a < b for a, b in zip(bands.low, bands.high))
+    decorated = [" ".join(w + "***" for w in prose(rng, n).split()) for n in (60, 120, 300)]
+    fresh = [prose(rng, n) for n in (60, 120, 300)]
+    texts = fresh + decorated + [prose(rng, 4000), prose(rng, 900) + " " + "ab " * 9000, "é" * 40, None, prose(rng, 60_000)]
+    docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, _quality int")
+    got = {r.doc_id: r for r in quality.quality_columns(docs, bands=bands, base=quality.Base(0, 8, 1.0)).collect()}
+    z = zstandard.ZstdCompressor(level=bands.level, write_content_size=False, write_checksum=False)
+
+    def fits(b):
+        low, high = (float(x[0]) for x in bands.limits(np.array([len(b)])))
+        return low <= len(b) / len(z.compress(b)) <= high * (1 + bands.wide[0] * max(0, len(b) / len(b.decode("utf-8", "replace")) - bands.wide[1]))
+
+    for k, t in enumerate(texts):
+        b = (t or "").encode()
+        chunks = [c for i in range(0, len(b), bands.chunk_bytes) if len(c := b[i : i + bands.chunk_bytes]) >= quality.LEAST_CHUNK] if len(b) > bands.chunk_bytes else []
+        odd = sum(not fits(c) for c in chunks)
+        assert (got[k].n_chunks, got[k].n_odd_chunks) == (len(chunks), odd), k
+        assert got[k].kept == ((fits(b) if b else True) and (odd < 2 or odd <= bands.odd_share * len(chunks))), k
+    assert all(got[k].kept for k in range(3)) and not any(got[k].kept for k in range(3, 6)) and not got[7].kept
+    kept = quality.keep_good(docs, bands=bands, base=quality.Base(0, 8, 1.0))
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {k for k, r in got.items() if r.kept}
+    assert quality.quality_columns(docs.limit(0)).count() == 0
+
+
 HINDI = """भारत एक विशाल देश है जहाँ अनेक भाषाएँ बोली जाती हैं और हर प्रदेश की अपनी अलग संस्कृति दिखाई देती है। उत्तर में हिमालय की ऊँची चोटियाँ बर्फ से ढकी रहती हैं, जबकि दक्षिण के समुद्र तटों पर नारियल के पेड़ हवा में झूमते हैं। गाँवों में किसान सुबह जल्दी उठकर खेतों की ओर निकल पड़ते हैं और शाम तक मेहनत करते हैं। शहरों की सड़कों पर गाड़ियों का शोर सुनाई देता है, लोग दफ्तर पहुँचने की जल्दी में रहते हैं। बच्चों को विद्यालय भेजने के बाद माताएँ घर के काम निपटाती हैं। पिछले कुछ वर्षों में तकनीक ने जीवन को बहुत बदल दिया है; अब छोटे दुकानदार भी मोबाइल से भुगतान स्वीकार करते हैं। मेरे दादाजी कहा करते थे कि पढ़ाई का कोई विकल्प नहीं होता, इसलिए उन्होंने अपनी ज़मीन बेचकर हमें पढ़ाया। त्योहारों के समय पूरा मोहल्ला रोशनी से जगमगा उठता है और मिठाइयों की खुशबू चारों ओर फैल जाती है। बरसात में नदियाँ उफान पर होती हैं तो पुल पार करना कठिन हो जाता है। वैज्ञानिकों का मानना है कि जलवायु परिवर्तन के कारण मौसम का चक्र अनियमित हुआ है। एक पुरानी लोककथा के अनुसार राजा ने अपने तीनों पुत्रों की परीक्षा लेने के लिए उन्हें जंगल भेजा था। सबसे छोटा राजकुमार एक घायल पक्षी की सेवा में रुक गया और उसी दया के कारण उसे राजगद्दी मिली।"""
 #: First letter, number of letters, signs that follow a letter.
 SCRIPTS = {"hi": (0x915, 35, "ािीुूेैोौं्"), "ta": (0xB95, 30, "ாிீுூெேைொோ்"), "th": (0xE01, 40, "ะาิีึืุู่้"), "ru": (0x430, 32, ""), "el": (0x3B1, 25, "")}
@@ -138,6 +172,17 @@ def test_contamination(spark, texts, block_words):
     assert any(v[1] for v in want.values()) and any(not v[1] for v in want.values())
 
 
+def test_contamination_of_empty_tables_long_texts_and_clashing_names(spark):
+    words = " ".join(f"w{k}" for k in range(50_000))
+    docs = spark.createDataFrame([(1, words, 7, 8, 9), (2, None, 7, 8, 9), (1, words, 7, 8, 9)], "doc_id long, text string, _b0 int, n_hit int, _made int")
+    bench = spark.createDataFrame([(1, "w5 w6 w7"), (2, "w40000")], "item_id long, text string")
+    for block_words in (1000, 1):
+        got = decontaminate.contamination(docs, bench, block_words=block_words).collect()
+        assert sorted((r.doc_id, r.n_words, r.n_hit, r._b0, r._made) for r in got) == [(1, 50_000, 4, 7, 9)] * 2 + [(2, 0, 0, 7, 9)]
+    assert decontaminate.contamination(docs.limit(0), bench).count() == 0
+    assert [r.n_hit for r in decontaminate.contamination(docs, bench.limit(0)).collect()] == [0, 0, 0]
+
+
 def test_spans_are_cut_out(spark):
     passage = "alpha Beta gamma delta epsilon zeta eta theta iota kappa lambda"
     docs = spark.createDataFrame([(1, f"Größe über alles hier und dort noch mehr Worte dazu, ja viele! {passage}. end of it"), (2, passage), (3, "clean"), (4, None)], "doc_id long, text string")
