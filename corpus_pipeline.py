@@ -21,11 +21,9 @@ from pyspark.sql import functions as F
 from millrace.llm import decontaminate, linededup, mixing, ngramjoin, quality, shared
 
 
-#: The most of toxic tokens that the mix may have. Where the documents have less, that is the target: they are thinned
-#: out or left as they are, never raised, and the rate of good documents is 1 at least.
-TARGETS = {"good": 0.93, "toxic": 0.07}
-
-
+#: The most of poor and of toxic tokens that the mix may have. Where the documents have less, that is the target: they
+#: are thinned out or left as they are, never raised, and the rate of good documents is 1 at least.
+TARGETS = {"good": 0.92, "poor": 0.02, "toxic": 0.06}
 #: The documents' files reach the line runs in so many batches.
 BATCHES = 4
 
@@ -55,8 +53,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labels = mixing.toxic_or_good(shared.table(spark, sf_dir, "labels"))
-    return mixing.mix(docs, labels, TARGETS, thin=("toxic",)).filter("n_copies > 0")
+    labels = mixing.domain_of(shared.table(spark, sf_dir, "labels"))
+    return mixing.mix(docs, labels, TARGETS, thin=("poor", "toxic")).filter("n_copies > 0")
 
 
 STAGES = [("quality", quality_rules), ("line_dedup", line_dedup), ("ngram_join", ngram_join), ("decontaminate", decontaminated), ("mix", mix)]

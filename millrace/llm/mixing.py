@@ -1,22 +1,35 @@
 """Mixing to target weights by soft membership, in DataFrame functions only.
 
 1. A naive Bayes classifier over hashed words and counted symbols is fitted on the labelled documents: its counts are
-   sums over all of them, its table of log odds has BUCKETS entries a domain and is part of the plan as a literal.
-2. Every document gets its posterior domain probabilities, calibrated on the labelled documents by logistic curves and
-   rounded to 1 / GRID, so documents fall into a number of cells that is bounded whatever their number.
-3. Nonnegative rates r minimise sum_k (sum_i r_i tokens_i p_ik - T_k)^2 / s_k (s_k: the domain's sum of tokens_i p_ik^2) by projected gradient from r = 1, with
-   steps of 1 / L and Nesterov's momentum. The gradient at a document is a product with its posteriors, so its rate is a function of its cell:
-   each step is one distributed sum over the cells' token totals, which only K numbers leave.
-4. A document's copies are the whole part of its rate, and one more with the probability of the rest, decided by a
+   sums over all of them, its table of log odds has BUCKETS entries a domain and is part of the plan as a literal. Odds
+   nearer to 0 than LEAST_ODDS are taken for 0 (noise of rare words), and a document's sum of odds is divided by the
+   square root of its number of words (words of a text aren't independent): so it is an evidence, not yet a posterior.
+2. Every document gets its posterior domain probabilities: its evidence through logistic curves that are fitted on the
+   labelled documents. They are rounded to 1 / GRID, so documents fall into a number of cells that is bounded whatever
+   their number (5151 for three domains).
+3. Nonnegative rates r minimise (x - T)' W (x - T), where x_k is the share of tokens sum_i r_i tokens_i p_ik that domain
+   k is expected to get, T the targets and W the inverse of the domains' second moments sum_i tokens_i p_ik p_il. (If the
+   targets can be met, every W has the same minimum, 0; this one makes the steps short.) It is a projected gradient
+   from r = 1 with steps of 1 and Nesterov's momentum. The gradient at a document is a product with its posteriors, so
+   its rate is a function of its cell: each step is one distributed sum over the cells' token totals, which only
+   2 K + 1 numbers leave.
+4. The fit ends when every domain is within MET of its target, or when the gradient step moves the rates by less than
+   STILL (root mean square over tokens): then they are the nearest that nonnegative rates reach, which `Fit` reports
+   (met, settled, shares, gap, steps). After STEPS it ends unsettled, and says so.
+5. A document's copies are the whole part of its rate, and one more with the probability of the rest, decided by a
    hash of its id and text.
 
 Edge cases: null or empty texts have no tokens and a posterior from the curves' offsets; labels of an id that disagree count as the
 later domain of the list; a table without labels gives every domain the same posterior; a domain that no posterior
-reaches keeps its residual; repeated rows are drawn alike. Columns with a result's name are replaced.
+reaches keeps its gap; no tokens at all give rate 1; repeated rows are drawn alike; ties don't arise, as nothing is
+ranked; a text of any length is read whole. Columns with a result's name are replaced.
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +43,22 @@ LEAST_ODDS = 0.8
 GRID = 100
 #: Cells up to this number are broadcast to the documents; with three domains there are 5151 at most.
 BROADCAST_CELLS = 200_000
-STEPS, PATIENCE, TOLERANCE = 60, 8, 1e-3
-TARGETS = {"good": 0.85, "poor": 0.10, "toxic": 0.05}
+#: Tables of so many cells at most are one file.
+ONE_FILE = 200_000
+STEPS, MET, STILL = 400, 1e-3, 1e-4
+#: Far from the natural shares: poor documents nearly all go, toxic ones are wanted several times.
+TARGETS = {"good": 0.65, "poor": 0.01, "toxic": 0.34}
+
+
+@dataclass(frozen=True)
+class Fit:
+    """How a fit of rates ended: whether the targets are met, whether it came to rest, each domain's share of tokens, the largest gap to a target, the steps taken."""
+
+    met: bool
+    settled: bool
+    shares: dict[str, float]
+    gap: float
+    steps: int
 
 
 def words(text: Column) -> Column:
@@ -47,12 +74,6 @@ def symbol_counts(text: Column) -> list[Column]:
     return [F.length(text) - F.length(F.replace(text, F.lit(s), F.lit(""))) for s in SYMBOLS]
 
 
-def toxic_or_good(labels: DataFrame) -> DataFrame:
-    """doc_id, domain (0 good, 1 toxic); poor documents have none."""
-    domain = F.when(F.col("toxic") == 1, 1).when(F.col("quality") == 1, 0)
-    return labels.select("doc_id", domain.alias("domain"))
-
-
 def domain_of(labels: DataFrame) -> DataFrame:
     """doc_id, domain (0 good, 1 poor, 2 toxic) of a table of quality and toxic."""
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 0)
@@ -63,15 +84,13 @@ def fit(labelled: DataFrame, n_domains: int, text: str = "text", domain: str = "
     """Log odds against domain 0 by domain and bucket; the symbols' buckets come last."""
     body = F.coalesce(F.col(text), F.lit(""))
     one = labelled.select(F.col(domain).alias("d"), body.alias("t"))
-    of = [F.count_if(F.col("d") == k).alias(f"d{k}") for k in range(n_domains)]
-    seen = one.select("d", F.explode(buckets(F.col("t"))).alias("b")).groupBy("b").agg(*of).collect()  # BUCKETS rows at most
-    signs = one.groupBy("d").agg(*[F.sum(c).alias(f"s{k}") for k, c in enumerate(symbol_counts(F.col("t")))]).collect()
+    words_ = F.transform(buckets(F.col("t")), lambda b: F.struct(b.alias("b"), F.lit(1).alias("n")))
+    signs = F.array(*[F.struct(F.lit(BUCKETS + k).alias("b"), c.alias("n")) for k, c in enumerate(symbol_counts(F.col("t")))])
+    of = [F.sum(F.when(F.col("d") == k, F.col("n")).otherwise(0)).alias(f"d{k}") for k in range(n_domains)]
+    seen = one.select("d", F.explode(F.concat(words_, signs)).alias("x")).select("d", "x.*").groupBy("b").agg(*of).collect()  # BUCKETS + SYMBOLS rows at most
     counts = np.zeros((n_domains, BUCKETS + len(SYMBOLS)))
     for r in seen:
         counts[:, r.b] = [r[f"d{k}"] for k in range(n_domains)]
-    for r in signs:
-        if r.d is not None and 0 <= r.d < n_domains:
-            counts[r.d, BUCKETS:] = [r[f"s{k}"] or 0 for k in range(len(SYMBOLS))]
     # half of each word's probability is that of all domains together, so a rare word says little about any
     pooled = counts.sum(axis=0) + smoothing
     pooled /= pooled.sum()
@@ -127,39 +146,37 @@ def posteriors(docs: DataFrame, odds: np.ndarray, curves: list[tuple[float, floa
     return made.select(*[F.col(f"`{c}`") for c in docs.columns], "n_tokens", *[(F.col(f"_c{k}") / GRID).alias(f"p_{n}") for k, n in enumerate(names)])
 
 
-def fit_rates(cells: DataFrame, names: list[str], targets: list[float]) -> DataFrame:
-    """The cells (p_NAME, tokens) with their rates; targets: shares of all tokens."""
+def fit_rates(cells: DataFrame, names: list[str], targets: list[float]) -> tuple[DataFrame, Fit]:
+    """The cells (p_NAME, tokens) with their rates, and how the fit ended; targets: shares of all tokens."""
     p = [F.col(f"p_{n}") for n in names]
     moments = cells.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * a * b) for a in p for b in p]).first()
     total = float(moments[0] or 0)
     want = np.array(targets, float) / sum(targets)
     if not total:
-        return cells.withColumn("rate", F.lit(1.0))
+        return cells.withColumn("rate", F.lit(1.0)), Fit(False, True, dict.fromkeys(names, 0.0), float(want.max()), 0)
     m = np.array([float(x) for x in moments[1:]]).reshape(len(p), len(p)) / total
-    scale = 1 / np.maximum(np.diag(m), 1e-9)
-    step = 1 / np.linalg.eigvalsh(np.sqrt(scale)[:, None] * m * np.sqrt(scale)[None, :]).max()
+    weights = np.linalg.inv(m + 1e-7 * np.trace(m) * np.eye(len(p)))
     history: list[np.ndarray] = []
-    losses: list[float] = []
 
     def state() -> Column:
-        """The rate after the steps so far (r) and the point ahead of it (y): a fold of the steps, told by the cell alone."""
+        """After the steps so far the rate (r), the point ahead of it (y) and the last step (m): a fold of the steps, told by the cell alone."""
         if not history:
-            return F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
+            return F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"), F.lit(1.0).alias("m"))
         steps = "from_json('[" + ",".join("[" + ",".join(repr(float(v)) for v in g) + "]" for g in history) + "]', 'array<array<double>>')"
         slope = " + ".join(f"p_{n} * get(g, {k})" for k, n in enumerate(names))
         r = f"greatest(0D, s.y - ({slope}))"
         y = f"greatest(0D, {r} + get(g, {len(names)}) * ({r} - s.r))"
-        return F.expr(f"aggregate({steps}, named_struct('r', 1D, 'y', 1D), (s, g) -> named_struct('r', {r}, 'y', {y}))")
+        return F.expr(f"aggregate({steps}, named_struct('r', 1D, 'y', 1D, 'm', 1D), (s, g) -> named_struct('r', {r}, 'y', {y}, 'm', {r} - s.y))")
 
-    for _ in range(STEPS):
-        made = cells.withColumn("_s", state()).selectExpr("*", "_s.r as _r", "_s.y as _y")
-        now = made.agg(*[F.sum(F.col("tokens") * F.col(x) * c) for x in ("_r", "_y") for c in p]).first()
-        at, ahead = np.array([float(x) for x in now]).reshape(2, len(p)) / total - want
-        losses.append(float((scale * at * at).sum()))
-        if np.abs(at).max() < TOLERANCE or len(losses) > PATIENCE and min(losses[-PATIENCE:]) > 0.99 * min(losses[:-PATIENCE]):
-            break  # met, or as near as these documents come
-        history.append(np.append(step * scale * ahead, len(history) / (len(history) + 3)))
-    return cells.withColumn("rate", state()["r"])
+    for step in range(STEPS + 1):
+        made = cells.withColumn("_s", state()).selectExpr("*", "_s.r as _r", "_s.y as _y", "_s.m as _m")
+        now = made.agg(*[F.sum(F.col("tokens") * F.col(x) * c) for x in ("_r", "_y") for c in p], F.sum(F.col("tokens") * F.col("_m") * F.col("_m"))).first()
+        shares, ahead = np.array([float(x) for x in now[:-1]]).reshape(2, len(p)) / total
+        gap, move = float(np.abs(shares - want).max()), math.sqrt(float(now[-1]) / total)
+        if gap < MET or move < STILL or step == STEPS:
+            break
+        history.append(np.append(weights @ (ahead - want), step / (step + 3)))
+    return cells.withColumn("rate", state()["r"]), Fit(gap < MET, gap < MET or move < STILL, dict(zip(names, shares.tolist())), gap, step)
 
 
 def thinned(cells: DataFrame, targets: dict[str, float], thin: tuple[str, ...]) -> dict[str, float]:
@@ -174,28 +191,32 @@ def thinned(cells: DataFrame, targets: dict[str, float], thin: tuple[str, ...])
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, thin: tuple[str, ...] = ()) -> DataFrame:
-    """docs (of its columns those of keep, or all) with n_tokens, p_NAME of each domain, rate and n_copies. labels: doc_id and domain, an index into targets. Domains of thin are never raised to their target."""
+    """docs (of its columns those of keep, or all) with n_tokens, p_NAME of each domain, rate, n_copies, fit_met, fit_settled and fit_gap (how the fit ended, the same in every row). labels: doc_id and domain, an index into targets. Domains of thin are never raised to their target."""
     targets = targets or TARGETS
     names = list(targets)
-    fields = ["n_tokens", *[f"p_{n}" for n in names], "rate", "n_copies"]
+    fields = ["n_tokens", *[f"p_{n}" for n in names], "rate", "n_copies", "fit_met", "fit_settled", "fit_gap"]
     docs = shared.without(docs, fields)
+    kept = keep or docs.columns
     one = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     labelled = shared.with_label(one, labels, "domain")
     odds = fit(labelled, len(names))
     chance = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(1_000_000)) / 1_000_000
-    own = {f"_own{k}": F.col(f"`{c}`") for k, c in enumerate(keep or docs.columns)}
+    own = {f"_own{k}": F.col("`" + c.replace("`", "``") + "`") for k, c in enumerate(kept)}
     read = docs.select(F.col(text).alias("_text"), chance.alias("_chance"), *[c.alias(n) for n, c in own.items()])
     # words are looked up once for each document: cells and copies are both drawn from this table
     known = shared.written(posteriors(read, odds, calibrate(labelled, odds), names, "_text").drop("_text"), "posteriors")
     keys = [f"p_{n}" for n in names]
-    cells = shared.written(known.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens")).coalesce(1), "cells")
+    few = math.comb(GRID + len(names) - 1, len(names) - 1) <= ONE_FILE
+    packed = (lambda df: df.coalesce(1)) if few else (lambda df: df)
+    cells = shared.written(packed(known.groupBy(*keys).agg(F.sum("n_tokens").alias("tokens"))), "cells")
     wanted = thinned(cells, targets, thin) if thin else targets
-    rates = shared.written(fit_rates(cells, names, list(wanted.values())).drop("tokens").coalesce(1), "rates")
+    rated, ended = fit_rates(cells, names, list(wanted.values()))
+    rates = shared.written(packed(rated.drop("tokens")), "rates")
     small = rates.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
     more = (F.col("_chance") < F.col("rate") - F.floor("rate")).cast("long")
     out = known.join(F.broadcast(rates) if small else rates, keys, "left")
-    made = out.withColumn("n_copies", F.floor("rate") + more)
-    return made.select(*[F.col(n).alias(c) for n, c in zip(own, keep or docs.columns)], *fields)
+    made = out.withColumns({"n_copies": F.floor("rate") + more, "fit_met": F.lit(ended.met), "fit_settled": F.lit(ended.settled), "fit_gap": F.lit(ended.gap)})
+    return made.select(*[F.col(n).alias(c) for n, c in zip(own, kept)], *fields)
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,11 +72,53 @@ def test_mixing_meets_its_targets(spark):
 
 def test_rates_are_the_least_squares_fit(spark):
     cells = spark.createDataFrame([(1.0, 0.0, 70), (0.0, 1.0, 20), (0.5, 0.5, 10)], "p_a double, p_b double, tokens long")
-    got = mixing.fit_rates(cells, ["a", "b"], [0.5, 0.5]).collect()
+    rated, ended = mixing.fit_rates(cells, ["a", "b"], [0.5, 0.5])
+    got = rated.collect()
     shares = [sum(r.rate * r.tokens * r[f"p_{k}"] for r in got) / 100 for k in "ab"]
-    assert np.allclose(shares, [0.5, 0.5], atol=2e-3) and all(r.rate >= 0 for r in got)
-    unreachable = mixing.fit_rates(spark.createDataFrame([(1.0, 0.0, 100)], "p_a double, p_b double, tokens long"), ["a", "b"], [0.5, 0.5]).collect()
-    assert abs(unreachable[0].rate - 0.5) < 2e-3
+    assert np.allclose(shares, [0.5, 0.5], atol=1e-3) and all(r.rate >= 0 for r in got) and ended.met and ended.gap < 1e-3
+    unreachable, ended = mixing.fit_rates(spark.createDataFrame([(1.0, 0.0, 100)], "p_a double, p_b double, tokens long"), ["a", "b"], [0.5, 0.5])
+    assert abs(unreachable.first().rate - 0.5) < 2e-3 and not ended.met and abs(ended.gap - 0.5) < 2e-3
+
+
+def test_rates_of_zero_where_targets_ask_for_less_than_none(spark):
+    rng = np.random.default_rng(5)
+    p = np.concatenate([rng.dirichlet([60, 0.5, 0.5], 150), rng.dirichlet([0.5, 10, 1], 30), rng.dirichlet([0.5, 0.5, 10], 20)])
+    tokens = rng.integers(1, 500, 200)
+    want = np.array([0.65, 0.015, 0.335])
+    cells = spark.createDataFrame([(*map(float, x), int(n)) for x, n in zip(p, tokens)], "p_a double, p_b double, p_c double, tokens long")
+    rated, ended = mixing.fit_rates(cells, ["a", "b", "c"], list(want))
+    got = {(r.p_a, r.p_b): r.rate for r in rated.collect()}
+    rate = np.array([got[x[0], x[1]] for x in p])
+    assert (rate == 0).sum() > 10 and rate.max() > 3 and ended.settled
+    # against plain projected gradient in memory
+    n = tokens / tokens.sum()
+    w = np.linalg.inv((p * n[:, None]).T @ p)
+    r = np.ones(200)
+    for _ in range(20_000):
+        r = np.maximum(0, r - p @ (w @ ((r * n) @ p - want)))
+    loss = lambda x: float(((x * n) @ p - want) @ w @ ((x * n) @ p - want))
+    assert abs(loss(rate) - loss(r)) < 1e-4 and ended.met and ended.gap < mixing.MET
+
+
+def test_posteriors_against_brute_force(spark):
+    rows = mixing_rows()
+    labelled = spark.createDataFrame([(t, y) for _, t, y in rows], "text string, domain int")
+    odds = mixing.fit(labelled, 2)
+    word = {r.w: r.b for r in spark.createDataFrame([(w,) for w in {w for _, t, _ in rows for w in t.split()}], "w string").select("w", mixing.buckets(F.col("w"))[0].alias("b")).collect()}
+    counts = np.zeros((2, mixing.BUCKETS + len(mixing.SYMBOLS)))
+    for _, t, y in rows:
+        for w in t.split():
+            counts[y, word[w]] += 1
+        for k, c in enumerate(mixing.SYMBOLS):
+            counts[y, mixing.BUCKETS + k] += t.count(c)
+    pooled = counts.sum(axis=0) + 0.5
+    logs = np.log(0.5 * counts / counts.sum(axis=1, keepdims=True) + 0.5 * pooled / pooled.sum())
+    want = np.where(np.abs(logs[1] - logs[0]) < mixing.LEAST_ODDS, 0, logs[1] - logs[0])
+    assert np.allclose(odds[1], want)
+    got = mixing._evidence(spark.createDataFrame([(k, t) for k, t, _ in rows[:40]], "k int, text string"), odds, "text").collect()
+    for r in got:
+        ids = [word[w] for w in rows[r.k][1].split()]
+        assert r.n_tokens == len(ids) and abs(r._x1 - odds[1][ids].sum() / len(ids) ** 0.5) < 1e-2
 
 
 @pytest.mark.parametrize("n_toxic", [0, 9, 60])
@@ -90,7 +132,7 @@ def test_the_pipeline_only_thins_toxic_documents(spark, folder, n_toxic):
     got = {r.doc_id: r for r in corpus_pipeline.mix(spark, spark.createDataFrame(rows, "doc_id long, text string"), folder).collect()}
     assert all(k in got and got[k].rate >= 1 for k in range(n_toxic, 300))
     toxic = sum(got[k].n_copies for k in range(n_toxic) if k in got)
-    assert toxic == n_toxic if n_toxic < 0.07 * 300 else toxic < 0.5 * n_toxic
+    assert toxic == n_toxic if n_toxic < 0.06 * 300 else toxic < 0.5 * n_toxic
 
 
 def test_mixing_without_labels_or_rows(spark):
