@@ -15,8 +15,8 @@ D1, D2, M and the curve are chosen inside the learning rows: at most SAMPLE_ROWS
 halves by another hash, each half is scored by the model of the other, and the choice of least logistic loss wins.
 The model itself counts all learning rows, in Spark.
 
-Words are numbered by BITS bits of their hashes, so the word tables have 2**BITS entries each. Bigrams have 64-bit keys;
-those that outlast their discount are broadcast in blocks of at most BLOCK_PAIRS (24 bytes each), one block at a time,
+Words are numbered by BITS bits of their hashes, so the word tables have 2**BITS entries each. Bigrams are two such numbers;
+those that outlast their discount are broadcast in blocks of about BLOCK_PAIRS (12 bytes each), one block at a time,
 whose evidences add up: any number of them is used.
 
 Edge cases: null or empty texts have no evidence and get the score of evidence 0; rows without label are not learned
@@ -37,15 +37,17 @@ from pyspark.sql import functions as F
 from millrace.llm import shared, textnum
 
 BITS = 20
+#: Bits of the hash of the word before a bigram.
+CONTEXT = 21
 #: Candidates of D1, D2 and M.
-WORD_DISCOUNTS = (0.75, 2.0, 4.0, 8.0)
+WORD_DISCOUNTS = (0.75, 2.0, 4.0)
 PAIR_DISCOUNTS = (4.0, 16.0)
 SHARES = (0.0003, 0.003)
 #: Learning rows that choose among them.
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 10_000
 #: Tasks that score them; they are too few for their files to tell.
 HALVES_PARTS = 16
-BLOCK_PAIRS = 4_000_000
+BLOCK_PAIRS = 2_000_000
 FIELDS = ["score", "predicted"]
 _LOW = np.uint64((1 << BITS) - 1)
 
@@ -53,7 +55,7 @@ _LOW = np.uint64((1 << BITS) - 1)
 def _pairs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each word the key of (previous word, word) and the hash of the word before both; and the words before each text.
 
-    The key's low BITS bits number the word, the next BITS bits the previous one.
+    The key's low BITS bits number the word, the next BITS bits the previous one; the start of a text is a word too.
     """
     data = textnum.ASCII_LOWER[data]
     starts, ends, counts = textnum.words(data, offsets, textnum.ALNUM)
@@ -63,62 +65,68 @@ def _pairs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     one[first] = 0
     two = np.concatenate([[np.uint64(0)], one[:-1]]) if len(h) else h
     two[first] = 0
-    key = textnum.mix(one ^ textnum.mix(h)) << np.uint64(2 * BITS) | (one & _LOW) << np.uint64(BITS) | (h & _LOW)
+    key = (one & _LOW) << np.uint64(BITS) | (h & _LOW)
     return key, two, counts
 
 
 def _contexts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """grp, pair, context: the different (word, word, word) of each run of texts; grp is the first column."""
+    """The different (bigram, group, context) of each run of texts, in one number: 2 * BITS bits, 2 bits and CONTEXT bits of a hash."""
     for part in parts:
-        grp = part.column(0).to_numpy(zero_copy_only=False).astype(np.int32)
+        grp = part.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)
         data, offsets = textnum.utf8(part.column(1))
         for i, j in textnum.chunks(offsets):
             key, before, counts = _pairs(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            if not len(key):
-                continue
             own = grp[i:j][textnum.owners(counts)]
-            context = (textnum.mix(before) >> np.uint64(32)).astype(np.uint32)
-            _, at = np.unique(textnum.mix(key ^ textnum.mix(context.astype(np.uint64) << np.uint64(8) | own.astype(np.uint64))), return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(own[at]), pa.array(key[at].view(np.int64)), pa.array(context[at].view(np.int32))], ["grp", "pair", "context"])
+            context = textnum.mix(before) >> np.uint64(64 - CONTEXT)
+            seen = np.unique(key << np.uint64(CONTEXT + 2) | own << np.uint64(CONTEXT) | context)
+            yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64))], ["x"])
 
 
 def pair_counts(rows: DataFrame, grp: Column, text: str = "text") -> DataFrame:
-    """grp, pair, n: in how many contexts each bigram stands, by group, over all texts."""
-    seen = rows.select(grp.cast("int").alias("grp"), F.col(text).alias("text")).mapInArrow(_contexts, "grp int, pair long, context int")
-    return seen.distinct().groupBy("grp", "pair").agg(F.count("*").alias("n"))
+    """grp (0 to 3), pair, n: in how many contexts each bigram stands, by group, over all texts."""
+    seen = rows.select(grp.cast("int").alias("grp"), F.col(text).alias("text")).mapInArrow(_contexts, "x long").distinct()
+    counts = seen.groupBy(F.shiftright("x", CONTEXT).alias("k")).agg(F.count("*").alias("n"))
+    return counts.select(F.col("k").bitwiseAND(F.lit(3)).cast("int").alias("grp"), F.shiftright("k", 2).alias("pair"), "n")
 
 
 def summed(pairs: DataFrame) -> DataFrame:
-    """kind, grp, id, n, kept: of words (kind 0) and of previous words (1) the sums over their bigrams, with the sum of what each discount leaves; and the bigrams that outlast the least discount (2)."""
+    """kind, grp, id, n, left0..: of words (kind 0) and of previous words (1) the sums over their bigrams, with the sum of what each discount leaves; and the bigrams that outlast the least discount (2)."""
     mask = F.lit((1 << BITS) - 1)
-    word, before = F.col("pair").bitwiseAND(mask), F.shiftrightunsigned("pair", BITS).bitwiseAND(mask)
-    left = F.array(*[F.greatest(F.col("n") - d, F.lit(0.0)) for d in PAIR_DISCOUNTS])
-    none = F.array(*[F.lit(0.0) for _ in PAIR_DISCOUNTS])
-    one = F.array(
-        F.struct(F.lit(0).alias("kind"), word.alias("id"), F.lit(1).cast("long").alias("n"), none.alias("left")),
-        F.struct(F.lit(1).alias("kind"), before.alias("id"), F.col("n"), left.alias("left")),
-    )
-    more = F.array(F.struct(F.lit(2).alias("kind"), F.col("pair").alias("id"), F.col("n"), left.alias("left")))
-    each = pairs.select("grp", F.explode(F.when(F.col("n") > min(PAIR_DISCOUNTS), F.concat(one, more)).otherwise(one)).alias("x")).select("grp", "x.*")
-    kept = [F.sum(F.col("left")[k]).alias(f"left{k}") for k in range(len(PAIR_DISCOUNTS))]
-    return each.groupBy("kind", "grp", "id").agg(F.sum("n").alias("n"), *kept)
+    word, before = F.col("pair").bitwiseAND(mask), F.shiftright("pair", BITS)
+    left = [F.greatest(F.col("n") - int(d), F.lit(0)) for d in PAIR_DISCOUNTS]
+    name = lambda kind, at: (F.shiftleft(F.lit(kind).cast("long") * 4 + F.col("grp"), 2 * BITS) + at).alias("k")
+    fields = [f"left{k}" for k in range(len(left))]
+    row = lambda kind, at, n, more: F.struct(name(kind, at), n.cast("long").alias("n"), *[x.cast("long").alias(f) for x, f in zip(more, fields)])
+    one = F.array(row(0, word, F.lit(1), [F.lit(0)] * len(left)), row(1, before, F.col("n"), left))
+    each = F.when(F.col("n") > min(PAIR_DISCOUNTS), F.concat(one, F.array(row(2, F.col("pair"), F.col("n"), left)))).otherwise(one)
+    sums = pairs.select(F.explode(each).alias("x")).select("x.*").groupBy("k").agg(*[F.sum(c).alias(c) for c in ("n", *fields)])
+    top = F.shiftright("k", 2 * BITS)
+    return sums.select(F.shiftright(top, 2).cast("int").alias("kind"), top.bitwiseAND(F.lit(3)).cast("int").alias("grp"), F.col("k").bitwiseAND(F.lit((1 << 2 * BITS) - 1)).alias("id"), "n", *fields)
 
 
 @dataclass
 class Words:
-    """The word tables of both classes, ordinary first, of one pair discount."""
+    """The word tables of both classes, ordinary first, of one pair discount; they stay on the driver."""
 
     word: np.ndarray
     backoff: np.ndarray
     total: np.ndarray
 
 
+@dataclass
+class Ratios:
+    """What tasks get: P_toxic / P_ordinary of words and of what discounts leave to a previous word, float32 each."""
+
+    word: np.ndarray
+    backoff: np.ndarray
+
+
 @dataclass
 class Pairs:
-    """A block of bigrams: sorted keys and their discounted probabilities in both classes."""
+    """A block of bigrams: sorted keys and P_toxic / P_ordinary of each, for each word discount."""
 
     keys: np.ndarray
-    value: np.ndarray
+    ratio: list[np.ndarray]
 
 
 @dataclass
@@ -137,55 +145,58 @@ def word_tables(sums: DataFrame, groups: tuple[int, int], k: int, discounts: tup
     """For each word discount, from the rows of `summed`; groups: those of the ordinary and of the toxic class; k: which pair discount."""
     n, size = np.zeros((2, 1 << BITS)), 1 << BITS
     before, left = np.zeros((2, size)), np.zeros((2, size))
-    found = sums.filter((F.col("kind") < 2) & F.col("grp").isin(*groups)).select("kind", (F.col("grp") == groups[1]).cast("int").alias("c"), F.col("id").cast("int").alias("id"), F.col("n").cast("double").alias("n"), F.col(f"left{k}").alias("left")).toArrow()
+    found = sums.filter((F.col("kind") < 2) & F.col("grp").isin(*groups)).select("kind", (F.col("grp") == groups[1]).cast("int").alias("c"), F.col("id").cast("int").alias("id"), F.col("n").cast("double").alias("n"), F.col(f"left{k}").cast("double").alias("left")).toArrow()
     kind, c, i, m, kept = (found[x].to_numpy() for x in ("kind", "c", "id", "n", "left"))
     n[c[kind == 0], i[kind == 0]] = m[kind == 0]
     before[c[kind == 1], i[kind == 1]] = m[kind == 1]
     left[c[kind == 1], i[kind == 1]] = kept[kind == 1]
     pooled = n.sum(axis=0) + 0.5
     pooled /= pooled.sum()
-    backoff, total, out = (1 - left / np.maximum(before, 1)).astype(np.float32), np.maximum(before, 1).astype(np.float32), []
+    backoff, total, out = 1 - left / np.maximum(before, 1), np.maximum(before, 1), []
     for discount in discounts:
         own = np.maximum(n - discount, 0) / np.maximum(n.sum(axis=1, keepdims=True), 1)
-        out.append(Words((own + (1 - own.sum(axis=1, keepdims=True)) * pooled).astype(np.float32), backoff, total))
+        out.append(Words(own + (1 - own.sum(axis=1, keepdims=True)) * pooled, backoff, total))
     return out
 
 
-def _blocks(pairs: DataFrame | None, n_pairs: int, words: Words) -> Iterator[Pairs]:
-    """Blocks of the bigrams, by their keys."""
+def ratios_of(words: Words) -> Ratios:
+    return Ratios(*((x[1] / x[0]).astype(np.float32) for x in (words.word, words.backoff)))
+
+
+def _blocks(pairs: DataFrame | None, n_pairs: int, words: list[Words]) -> Iterator[Pairs]:
+    """Blocks of the bigrams, by their keys; words: the tables of each word discount."""
     if pairs is None or not n_pairs:
         return
-    n = -(-n_pairs // max(1, BLOCK_PAIRS // 2))
+    n = -(-n_pairs // max(1, BLOCK_PAIRS))
     for b in range(n):
         part = pairs if n == 1 else pairs.filter(F.pmod(F.xxhash64("id"), F.lit(n)) == b)
         found = part.toArrow()
         keys = found["id"].to_numpy().astype(np.int64).view(np.uint64)
         order = np.argsort(keys)
         keys = keys[order]
-        before = (keys >> np.uint64(BITS) & _LOW).astype(np.int64)
-        value = np.stack([found[f"c{c}"].to_numpy()[order] / words.total[c][before] for c in (0, 1)])
-        yield Pairs(keys, value.astype(np.float32))
+        left = np.stack([found[f"c{c}"].to_numpy()[order] for c in (0, 1)])
+        w, v = (keys & _LOW).astype(np.int64), (keys >> np.uint64(BITS) & _LOW).astype(np.int64)
+        whole = [left / x.total[:, v] + x.backoff[:, v] * x.word[:, w] for x in words]
+        yield Pairs(keys, [(p[1] / p[0]).astype(np.float32) for p in whole])
 
 
 def frequent_pairs(sums: DataFrame, groups: tuple[int, int], k: int) -> DataFrame:
     """id, c0, c1: the bigrams that outlast discount k in some class, with what is left in each."""
     some = sums.filter((F.col("kind") == 2) & F.col("grp").isin(*groups) & (F.col(f"left{k}") > 0))
-    left = [F.sum(F.when(F.col("grp") == g, F.col(f"left{k}")).otherwise(0.0)).alias(f"c{c}") for c, g in enumerate(groups)]
+    left = [F.sum(F.when(F.col("grp") == g, F.col(f"left{k}")).otherwise(0)).cast("double").alias(f"c{c}") for c, g in enumerate(groups)]
     return some.groupBy("id").agg(*left)
 
 
-def ratios(words: Words, pairs: Pairs | None, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """P_toxic / P_ordinary of each word without the block's bigrams; where bigrams of the block are, and the ratio there."""
+def ratios(words: Ratios, pairs: Pairs | None, key: np.ndarray, d: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """P_toxic / P_ordinary of each word without the block's bigrams; where bigrams of the block are, and the ratio there; d: which word discount."""
     w, v = (key & _LOW).astype(np.int64), (key >> np.uint64(BITS) & _LOW).astype(np.int64)
-    p = words.backoff[:, v] * words.word[:, w]
-    plain = p[1].astype(np.float64) / p[0]
+    plain = words.backoff[v].astype(np.float64) * words.word[w]
     if pairs is None or not len(pairs.keys):
         return plain, np.zeros(0, np.int64), np.zeros(0)
     at = np.searchsorted(pairs.keys, key)
     at[at == len(pairs.keys)] = 0
     hit = np.flatnonzero(pairs.keys[at] == key)
-    q = p[:, hit] + pairs.value[:, at[hit]]
-    return plain, hit, q[1].astype(np.float64) / q[0]
+    return plain, hit, pairs.ratio[d][at[hit]].astype(np.float64)
 
 
 def evidence_of(share: float, plain: np.ndarray, hit: np.ndarray, found: np.ndarray, more_only: bool = False) -> np.ndarray:
@@ -220,14 +231,14 @@ def choose(sample: DataFrame, text: str, toxic: str) -> dict:
             groups = other * 2, other * 2 + 1
             words = word_tables(sums, groups, k, WORD_DISCOUNTS)
             # a sample's bigrams are as bounded as the sample, so they are one block
-            models.append((words, next(_blocks(frequent_pairs(sums, groups, k), 1, words[0]), None)))
+            models.append(([ratios_of(x) for x in words], next(_blocks(frequent_pairs(sums, groups, k), 1, words), None)))
         sent = spark.sparkContext.broadcast(models)
 
         def work(data: np.ndarray, offsets: np.ndarray, sent=sent) -> list[pa.Array]:
             key, _, counts = _pairs(data, offsets)
             each = []
             for words, pairs in sent.value:
-                told = [ratios(x, pairs, key) for x in words]
+                told = [ratios(x, pairs, key, d) for d, x in enumerate(words)]
                 each.append([_per_text(evidence_of(share, *told[d]), counts) for d, share in tried])
             return [pa.FixedSizeListArray.from_arrays(pa.array(np.stack(e, axis=1).ravel()), len(tried)).cast(pa.list_(pa.float64())) for e in each]
 
@@ -239,7 +250,7 @@ def choose(sample: DataFrame, text: str, toxic: str) -> dict:
             slope, offset, loss = shared.logistic_rows(_feature(x[:, at], share), y)
             if best is None or loss < best["loss"] - 1e-9:
                 best = {"place": k, "pair_discount": discount, "word_discount": WORD_DISCOUNTS[d], "share": share, "slope": slope, "offset": offset, "loss": loss, "rows": len(y)}
-        sent.unpersist()
+        sent.destroy()  # its files too
     return best
 
 
@@ -259,18 +270,20 @@ def fit(labelled: DataFrame, text: str = "text", toxic: str = "toxic") -> Model:
 def evidence(docs: DataFrame, model: Model, text: str, name: str) -> DataFrame:
     """docs with the evidence as column `name`: one pass for each block of bigrams, each written before the next is broadcast."""
     spark, share, made = docs.sparkSession, model.share, docs
-    blocks = _blocks(model.pairs, model.n_pairs, model.words)
+    blocks = _blocks(model.pairs, model.n_pairs, [model.words])
     first = next(blocks, None)
+    sent = None
     for k, block in enumerate([first]) if first is None else enumerate(_chain(first, blocks)):
-        sent = spark.sparkContext.broadcast((Words(model.words.word, model.words.backoff, np.zeros(0)), block))
+        if sent is not None:
+            made = shared.written(made, "evidence")
+            sent.destroy()
+        sent = spark.sparkContext.broadcast((ratios_of(model.words), block))
 
         def work(data: np.ndarray, offsets: np.ndarray, sent=sent, k=k) -> list[pa.Array]:
             key, _, counts = _pairs(data, offsets)
             return [pa.array(_per_text(evidence_of(share, *ratios(*sent.value, key), k > 0), counts))]
 
         told = shared.text_udf(work, "e double")(F.col(text))["e"]
-        if k:
-            made = shared.written(made, "evidence")
         made = made.withColumn(name, F.col(name) + told if k else told)
     return made
 
