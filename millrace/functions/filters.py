@@ -81,20 +81,31 @@ def _compares(v: Column, op: str, value: Any) -> Column:
     return _sure(kind & getattr(stored, ORDERED[op])(F.lit(value)))
 
 
-def _promoted(c: Column, op: str, value: Any) -> Column:
-    """The same on a typed column, whose comparisons reach the scan."""
+#: What Python types the values of a promoted column's kind have.
+KINDS: dict[str, tuple[type, ...]] = {"string": (str,), "number": (int, float), "boolean": (bool,), "time": (datetime, date)}
+
+
+def _fits(kind: str, value: Any) -> bool:
+    return isinstance(value, KINDS[kind]) and (kind == "boolean" or not isinstance(value, bool))
+
+
+def _promoted(c: Column, kind: str, op: str, value: Any) -> Column:
+    """The same on a typed column, whose comparisons reach the scan; a value of another type is no match. (A column has one null for missing and stored null.)"""
     if op == "$exists":
         return c.isNotNull() if value else c.isNull()
     if op in ("$eq", "$ne"):
-        same = c.isNull() if value is None else c == F.lit(value)
+        same = c.isNull() if value is None else c == F.lit(value) if _fits(kind, value) else F.lit(False)
         return same if op == "$eq" and value is not None else _sure(same) if op == "$eq" else ~_sure(same)
     if op in ("$in", "$nin"):
-        some = c.isin(list(value)) if value else F.lit(False)
+        known = [x for x in value if _fits(kind, x)]
+        some = c.isin(known) if known else F.lit(False)
+        if any(x is None for x in value):
+            some = _sure(some) | c.isNull()
         return some if op == "$in" else ~_sure(some)
-    return getattr(c, ORDERED[op])(F.lit(value))
+    return getattr(c, ORDERED[op])(F.lit(value)) if _fits(kind, value) else F.lit(False)
 
 
-def _leaf(payload: Column, path: str, op: str, value: Any, promoted: Mapping[str, Column]) -> Column:
+def _leaf(payload: Column, path: str, op: str, value: Any, promoted: Mapping[str, tuple[Column, str]]) -> Column:
     if op not in OPERATORS:
         raise FilterError(f"unknown operator {op}")
     if op in ("$in", "$nin") and (not isinstance(value, Sequence) or isinstance(value, str)):
@@ -102,7 +113,7 @@ def _leaf(payload: Column, path: str, op: str, value: Any, promoted: Mapping[str
     if op == "$exists" and not isinstance(value, bool):
         raise FilterError("$exists needs true or false")
     if path in promoted:
-        return _promoted(promoted[path], op, value)
+        return _promoted(*promoted[path], op, value)
     if isinstance(value, (date, datetime)):
         raise FilterError("times are compared on promoted columns")
     v = _field(payload, path)
@@ -119,8 +130,8 @@ def _leaf(payload: Column, path: str, op: str, value: Any, promoted: Mapping[str
     return held if op == "$in" else ~held
 
 
-def compile_filter(condition: Mapping[str, Any] | None, payload: Column, promoted: Mapping[str, Column] | None = None) -> Column:
-    """The condition as a boolean Column. promoted: typed columns for some paths, so that Parquet sees the predicate."""
+def compile_filter(condition: Mapping[str, Any] | None, payload: Column, promoted: Mapping[str, tuple[Column, str]] | None = None) -> Column:
+    """The condition as a boolean Column. promoted: typed columns for some paths, with their kinds (string, number, boolean, time), so that Parquet sees the predicate."""
     if not condition:
         return F.lit(True)
     promoted = promoted or {}

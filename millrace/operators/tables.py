@@ -37,9 +37,13 @@ def live_grant(now: Column) -> Column:
     return F.col("revoked_at").isNull() & (F.col("expires_at").isNull() | (F.col("expires_at") > now))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of new replace rows of old with the same key; the rest of both stays."""
-    return old.join(new.select(*key), key, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
+def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
+    """Rows of new replace rows of old with the same key; the rest of both stays. Of rows of new that repeat a key the last by order (then by all columns) stays."""
+    rest = [c for c in old.columns if c not in key]
+    by = [F.col(order)] if order else []
+    last = new.groupBy(*key).agg(F.max(F.struct(*by, *[F.col(c).alias(f"_{k}") for k, c in enumerate(rest)])).alias("_row"))
+    rows = last.select(*key, *[F.col(f"_row._{k}").alias(c) for k, c in enumerate(rest)])
+    return old.join(rows.select(*key), key, "left_anti").select(*old.columns).unionByName(rows)
 
 
 def dedupe_new(new: DataFrame, existing: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -50,13 +54,15 @@ def dedupe_new(new: DataFrame, existing: DataFrame, key: list[str], order: str)
     return made.withColumn("status", F.when(F.col("_first") & F.col("_known").isNull(), "accepted").otherwise("skipped")).drop("_first", "_known")
 
 
-def claim(tasks: DataFrame, limits: DataFrame, now: Column, batch: int, workspace: str = "workspace_id", task: str = "id", spread: int = 64) -> DataFrame:
-    """The ready tasks to run: highest priority, then oldest; no workspace beyond its free places.
+def claim(tasks: DataFrame, limits: DataFrame, now: Column, batch: int, workspace: str = "workspace_id", task: str = "id", spread: int = 64, queues: list[str] | None = None) -> DataFrame:
+    """The ready tasks to run, of the queues if they are named: highest priority, then oldest; no workspace beyond its free places.
 
     A workspace's rank is found in two steps (within a slice of its tasks, then over what the slices leave), so one
     workspace with most tasks doesn't meet in one task: a slice leaves no more rows than the batch.
     """
     order = [F.col("priority").desc(), F.col(task).asc()]
+    if queues is not None:
+        tasks = tasks.filter(allowed(queues, "queue"))
     ready = tasks.filter((F.col("state") == "ready") & (F.col("run_after") <= now)).join(limits, workspace).filter("running < concurrency_limit")
     free = F.col("concurrency_limit") - F.col("running")
     sliced = ready.withColumn("_slice", F.pmod(F.xxhash64(task), F.lit(spread)))
@@ -90,6 +96,8 @@ def fail_route(retryable: list[str], terminal: list[str]) -> Column:
 
 def depth_and_age(tasks: DataFrame, queues: DataFrame, now: Column) -> DataFrame:
     """queue, depth, oldest_seconds of ready tasks; queues without any have depth 0."""
+    if queues is not None:
+        tasks = tasks.filter(allowed(queues, "queue"))
     ready = tasks.filter((F.col("state") == "ready") & (F.col("run_after") <= now)).groupBy("queue").agg(F.count("*").alias("depth"), F.min("created_at").alias("oldest"))
     age = F.round((F.unix_timestamp(now) - F.unix_timestamp("oldest")).cast("double"), 1)
     return queues.join(ready, "queue", "left").select("queue", F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), age.alias("oldest_seconds"))

@@ -108,9 +108,10 @@ def fn_truncate(spark, d):
     return _docs(spark, d).select("doc_id", T.token_count(T.truncated(F.col("text"), 50)).alias("n"))
 
 
-@query("fn_redact")
+@query("fn_redact", """SELECT event_id, '{"a":{"X-Api-Key":"[redacted]","list":[{"Session Id":"[redacted]","k":' || event_id || '}]},"passwd":"[redacted]","n":1}' AS detail FROM events""")
 def fn_redact(spark, d):
-    made = F.concat(F.lit('{"a":{"api_key":"x'), F.col("event_id").cast("string"), F.lit('"},"n":1}'))
+    n = F.col("event_id").cast("string")
+    made = F.concat(F.lit('{"a":{"X-Api-Key":"x'), n, F.lit('","list":[{"Session Id":7,"k":'), n, F.lit('}]},"passwd":{"b":1},"n":1}'))
     return table(spark, d, "events").select("event_id", S.redacted(made).alias("detail"))
 
 
@@ -127,9 +128,18 @@ def fn_blocked_address(spark, d):
     return table(spark, d, "events").select("event_id", S.blocked_address(ip).alias("blocked"), S.allowed_address(ip, ["16.0.0.0/4"]).alias("allowed"))
 
 
-@query("fn_password_rules", "SELECT c_custkey, length(c_name) < 12 AS short FROM customer")
+_PASSWORD_SQL = "(SELECT c_custkey, c_name, CASE c_custkey % 4 WHEN 0 THEN c_name || '!' WHEN 1 THEN 'short1' WHEN 2 THEN '12Letmein99!' ELSE repeat('aB3', 60) END AS p FROM customer)"
+
+
+@query("fn_password_rules", f"""SELECT c_custkey, concat_ws(',',
+    CASE WHEN length(p) < 12 THEN 'TOO_SHORT' END, CASE WHEN length(p) > 128 THEN 'TOO_LONG' END,
+    CASE WHEN regexp_matches(p, '[a-z]')::INT + regexp_matches(p, '[A-Z]')::INT + regexp_matches(p, '[0-9]')::INT + regexp_matches(p, '[^A-Za-z0-9]')::INT < 3 THEN 'INSUFFICIENT_CHARACTER_CLASSES' END,
+    CASE WHEN regexp_replace(lower(p), '^[^a-z]+|[^a-z]+$', '', 'g') IN ('letmein', 'password') OR lower(p) IN ('letmein', 'password') THEN 'COMMON_PASSWORD' END,
+    CASE WHEN length(c_name) >= 3 AND contains(lower(p), lower(c_name)) THEN 'CONTAINS_USERNAME' END) AS broken FROM {_PASSWORD_SQL}""")
 def fn_password_rules(spark, d):
-    return table(spark, d, "customer").select("c_custkey", F.array_contains(S.password_report(F.col("c_name")), "too_short").alias("short"))
+    k = F.col("c_custkey") % 4
+    p = F.when(k == 0, F.concat("c_name", F.lit("!"))).when(k == 1, "short1").when(k == 2, "12Letmein99!").otherwise("aB3" * 60)
+    return table(spark, d, "customer").select("c_custkey", F.array_join(S.password_report(p, F.col("c_name"), ["letmein", "password"]), ",").alias("broken"))
 
 
 # incremental change

@@ -57,7 +57,7 @@ _CASES = {
     "f_not": ({"$not": {"meta.lang": "en"}}, "NOT (event_id % 3 = 0 AND event_id % 2 = 0)"),
     "f_path": ({"k.deeper": 1}, "FALSE"),
     "f_parse": ({"k": {"$gte": 20, "$lt": 30}, "flag": True}, f"{_K} >= 20 AND {_K} < 30 AND event_id % 3 = 1 AND event_id % 2 = 0"),
-    "f_mismatch": ({"$or": [{"flag": 1}, {"k": "7"}, {"meta.lang": {"$gt": 3}}]}, "FALSE"),
+    "f_mismatch": ({"$or": [{"flag": 1}, {"k": "7"}, {"meta.lang": {"$gt": 3}}, {"$and": [{"k": {"$ne": "7"}}, {"k": 7}]}]}, f"coalesce({_K} = 7, FALSE)"),
 }
 
 
@@ -82,7 +82,15 @@ def f_array(spark, d):
 def f_promoted(spark, d):
     events = table(spark, d, "events").withColumn("payload", F.parse_json("props"))
     condition = {"user_id": {"$in": [3, 5, 8]}, "k": {"$gt": 50}}
-    return events.filter(compile_filter(condition, F.col("payload"), {"user_id": F.col("user_id")})).select("event_id", "user_id")
+    return events.filter(compile_filter(condition, F.col("payload"), {"user_id": (F.col("user_id"), "number")})).select("event_id", "user_id")
+
+
+@query("f_promoted_types", "SELECT event_id FROM events WHERE user_id = 3")
+def f_promoted_types(spark, d):
+    """Values of other types match nothing and raise nothing; $ne and $nin of them match all."""
+    events = table(spark, d, "events")
+    condition = {"$and": [{"user_id": {"$nin": ["3", True, 4]}}, {"user_id": {"$ne": "x"}}, {"$or": [{"user_id": {"$gt": "soon"}}, {"user_id": {"$in": ["y", 3]}}, {"ts": "soon"}, {"ts": {"$lt": 5}}]}]}
+    return events.filter(compile_filter(condition, F.parse_json("props"), {"user_id": (F.col("user_id"), "number"), "ts": (F.col("ts"), "time")})).select("event_id")
 
 
 @query("f_docset_time", "SELECT o_orderkey FROM orders WHERE o_custkey IN (1, 2, 4, 7, 10, 13) AND o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1997-01-01'")
@@ -158,9 +166,12 @@ def set_diff_invalid(spark, d):
     return _grants(spark, d).select("id", F.array_join(F.array_sort(F.array_except("permissions", F.array(F.lit("kb:manage"), F.lit("doc:read")))), ",").alias("invalid"))
 
 
-@query("perm_implied", f"""SELECT id, CASE id % 3 WHEN 0 THEN 'doc:read,doc:write,kb:manage,kb:query,kb:read,kb:write' WHEN 1 THEN 'doc:read,kb:query,kb:read' ELSE 'doc:read,doc:write' END AS all_permissions FROM {_GRANTS_SQL}""")
+@query("perm_implied", f"""SELECT id, CASE id % 9 WHEN 0 THEN 'kb:manage,kb:query,kb:read,kb:write' WHEN 1 THEN 'kb:query,kb:read,kb:write' WHEN 2 THEN 'kb:query,kb:read' WHEN 3 THEN 'kb:query' WHEN 4 THEN 'pipeline:edit,pipeline:read,pipeline:run' WHEN 5 THEN 'eval:read,eval:run,pipeline:run' WHEN 6 THEN 'function:edit,function:use' WHEN 7 THEN 'model:manage,model:use' ELSE 'kb:create,platform:audit' END AS all_permissions, id % 9 = 8 AS on_platform FROM {_GRANTS_SQL}""")
 def perm_implied(spark, d):
-    return _grants(spark, d).select("id", F.array_join(S.implied(F.col("permissions")), ",").alias("all_permissions"))
+    held = [["kb:manage"], ["kb:write"], ["kb:read"], ["kb:query"], ["pipeline:edit"], ["pipeline:run", "eval:run"], ["function:edit"], ["model:manage"], ["kb:create", "platform:audit"]]
+    table_ = F.array(*[F.array(*map(F.lit, h)) for h in held])
+    mine = _grants(spark, d).select("id", table_[(F.col("id") % 9).cast("int")].alias("p"))
+    return mine.select("id", F.array_join(S.implied(F.col("p")), ",").alias("all_permissions"), F.exists("p", S.is_platform).alias("on_platform"))
 
 
 @query("kb_discovery", f"SELECT c_custkey AS subject, c_name AS name, count(*) AS grants FROM customer JOIN {_GRANTS_SQL} ON subject = c_custkey WHERE {_LIVE} GROUP BY ALL")
@@ -442,10 +453,10 @@ def readmodel_drift(spark, d):
     return both.select("o_orderkey", F.coalesce("points", F.lit(0)).alias("points"), "chunks").filter("points <> chunks")
 
 
-@query("upsert_points", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 0.0 ELSE o_totalprice END AS price FROM orders UNION ALL SELECT -1, 0.0")
+@query("upsert_points", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 1.0 ELSE o_totalprice END AS price FROM orders UNION ALL SELECT -1, 0.0")
 def upsert_points(spark, d):
     old = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"))
-    new = old.filter("o_orderkey % 7 = 0").select("o_orderkey", F.lit(0.0).alias("price")).union(spark.range(1).select(F.lit(-1).cast("long"), F.lit(0.0)))
+    new = old.filter("o_orderkey % 7 = 0").select("o_orderkey", F.explode(F.array(F.lit(0.0), F.lit(1.0))).alias("price")).union(spark.range(1).select(F.lit(-1).cast("long"), F.lit(0.0)))
     return O.upsert(old, new, ["o_orderkey"])
 
 

@@ -60,16 +60,18 @@ class PointStore:
         return json.loads(self.spark.read.option("wholetext", "true").text(path).first()[0]) | {"number": number}
 
     def _put(self, ns: str, manifest: dict[str, Any]) -> None:
-        """The next manifest, written aside and renamed into its number; a number that is taken means another writer."""
+        """The next manifest, created by its number and never overwritten; a number that is taken means another writer."""
         number = manifest.get("number", 0) + 1
         fs, target = self._fs(f"{self._root(ns)}/manifest-{number:08d}.json")
-        _, aside = self._fs(f"{self._root(ns)}/aside-{uuid.uuid4().hex}")
-        out = fs.create(aside, True)
+        fs.mkdirs(target.getParent())
+        try:
+            out = fs.create(target, False)
+        except Exception as e:
+            if fs.exists(target):
+                raise RuntimeError(f"{ns} was changed by another writer") from e
+            raise
         out.write(bytearray(json.dumps({k: v for k, v in manifest.items() if k != "number"}).encode()))
         out.close()
-        if fs.exists(target) or not fs.rename(aside, target):
-            fs.delete(aside, False)
-            raise RuntimeError(f"{ns} was changed by another writer")
 
     # namespaces
 
@@ -106,7 +108,7 @@ class PointStore:
         self._put(ns, manifest | {"live": name, "generations": [*manifest["generations"], name]})
 
     def upsert(self, ns: str, new: DataFrame) -> int:
-        """Inserts or replaces by id (new: id, dense, payload as JSON text); nothing is written if any vector has another dimension."""
+        """Inserts or replaces by id (new: id, dense, payload as JSON text); of rows that repeat an id the one of the greatest payload, then vector, stays. Nothing is written if any vector has another dimension. Returns the rows given."""
         dim = self._manifest(ns)["dim"]
         n, bad = new.agg(F.count("*"), F.count_if(F.coalesce(F.size("dense") != dim, F.lit(True)))).first()
         if bad:
@@ -114,12 +116,13 @@ class PointStore:
         if not n:
             return 0
         v = F.parse_json("payload")
-        rows = new.select("id", "dense", F.try_variant_get(v, "$.document_id", "string").alias("document_id"), F.timestamp_seconds(F.try_variant_get(v, "$.created_at", "double")).alias("created_at"), v.alias("payload"))
+        one = new.groupBy("id").agg(F.max(F.struct("payload", "dense")).alias("one"))
+        rows = one.select("id", "one.*").select("id", "dense", F.try_variant_get(v, "$.document_id", "string").alias("document_id"), F.timestamp_seconds(F.try_variant_get(v, "$.created_at", "double")).alias("created_at"), v.alias("payload"))
         self._replace(ns, self.points(ns).join(rows.select("id"), "id", "left_anti").unionByName(rows))
         return n
 
     def _condition(self, where: Mapping[str, Any] | None) -> Column:
-        return compile_filter(where, F.col("payload"), {"document_id": F.col("document_id"), "created_at": F.col("created_at")})
+        return compile_filter(where, F.col("payload"), {"document_id": (F.col("document_id"), "string"), "created_at": (F.col("created_at"), "time")})
 
     def delete(self, ns: str, ids: list[str] | None = None, where: Mapping[str, Any] | None = None) -> int:
         """Points that have one of the ids and meet the condition, whichever are given."""
