@@ -8,13 +8,15 @@
    labelled documents. They are rounded to 1 / GRID, so documents fall into a number of cells that is bounded whatever
    their number (5151 for three domains).
 3. Nonnegative rates r minimise (x - T)' W (x - T), where x_k is the share of tokens sum_i r_i tokens_i p_ik that domain
-   k is expected to get, T the targets and W the inverse of the domains' second moments sum_i tokens_i p_ik p_il. (If the
-   targets can be met, every W has the same minimum, 0; this one makes the steps short.) It is a projected gradient
-   from r = 1 with steps of 1 and Nesterov's momentum. The gradient at a document is a product with its posteriors, so
-   its rate is a function of its cell: each step is one distributed sum over the cells' token totals, which only
-   2 K + 1 numbers leave.
-4. The fit ends when every domain is within MET of its target, or when the gradient step moves the rates by less than
-   STILL (root mean square over tokens): then they are the nearest that nonnegative rates reach, which `Fit` reports
+   k is expected to get, T the targets and W the inverse of the domains' second moments sum_i tokens_i p_ik p_il; of all
+   rates that do, those nearest to 1 (PULL times their squared distance by tokens is added). It is a projected gradient:
+   a gradient at a document is a product with its posteriors, so steps add up to K numbers, the way, and the rate of a
+   cell is 1 less p times the way, projected to 0 and above. Each step is one distributed sum over the cells' token
+   totals, which only shares, moments and two lengths leave. It is scaled by the inverse moments of what has a rate
+   above 0 (what rests at 0 carries no part of a step), and shortened where the dual function it lowers would not fall
+   enough; that is convex and made of parabolas, so few steps do.
+4. The fit ends when every domain is within MET of its target, or when a step moves the rates by less than STILL (root
+   mean square over tokens): then they are the nearest that nonnegative rates reach, which `Fit` reports
    (met, settled, shares, gap, steps). After STEPS it ends unsettled, and says so.
 5. A document's copies are the whole part of its rate, and one more with the probability of the rest, decided by a
    hash of its id and text.
@@ -46,6 +48,8 @@ BROADCAST_CELLS = 200_000
 #: Tables of so many cells at most are one file.
 ONE_FILE = 200_000
 STEPS, MET, STILL = 400, 1e-3, 1e-4
+#: The weight of rates near 1, and the parts of a step that are tried.
+PULL, SHORTER = 1e-6, (1.0, 0.25, 0.0625, 0.015625, 0.00390625)
 #: Far from the natural shares: poor documents nearly all go, toxic ones are wanted several times.
 TARGETS = {"good": 0.65, "poor": 0.01, "toxic": 0.34}
 
@@ -148,35 +152,47 @@ def posteriors(docs: DataFrame, odds: np.ndarray, curves: list[tuple[float, floa
 
 def fit_rates(cells: DataFrame, names: list[str], targets: list[float]) -> tuple[DataFrame, Fit]:
     """The cells (p_NAME, tokens) with their rates, and how the fit ended; targets: shares of all tokens."""
-    p = [F.col(f"p_{n}") for n in names]
-    moments = cells.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * a * b) for a in p for b in p]).first()
-    total = float(moments[0] or 0)
+    k, p = len(names), [F.col(f"p_{n}") for n in names]
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     want = np.array(targets, float) / sum(targets)
     if not total:
         return cells.withColumn("rate", F.lit(1.0)), Fit(False, True, dict.fromkeys(names, 0.0), float(want.max()), 0)
-    m = np.array([float(x) for x in moments[1:]]).reshape(len(p), len(p)) / total
-    weights = np.linalg.inv(m + 1e-7 * np.trace(m) * np.eye(len(p)))
-    history: list[np.ndarray] = []
-
-    def state() -> Column:
-        """After the steps so far the rate (r), the point ahead of it (y) and the last step (m): a fold of the steps, told by the cell alone."""
-        if not history:
-            return F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"), F.lit(1.0).alias("m"))
-        steps = "from_json('[" + ",".join("[" + ",".join(repr(float(v)) for v in g) + "]" for g in history) + "]', 'array<array<double>>')"
-        slope = " + ".join(f"p_{n} * get(g, {k})" for k, n in enumerate(names))
-        r = f"greatest(0D, s.y - ({slope}))"
-        y = f"greatest(0D, {r} + get(g, {len(names)}) * ({r} - s.r))"
-        return F.expr(f"aggregate({steps}, named_struct('r', 1D, 'y', 1D, 'm', 1D), (s, g) -> named_struct('r', {r}, 'y', {y}, 'm', {r} - s.y))")
-
-    for step in range(STEPS + 1):
-        made = cells.withColumn("_s", state()).selectExpr("*", "_s.r as _r", "_s.y as _y", "_s.m as _m")
-        now = made.agg(*[F.sum(F.col("tokens") * F.col(x) * c) for x in ("_r", "_y") for c in p], F.sum(F.col("tokens") * F.col("_m") * F.col("_m"))).first()
-        shares, ahead = np.array([float(x) for x in now[:-1]]).reshape(2, len(p)) / total
-        gap, move = float(np.abs(shares - want).max()), math.sqrt(float(now[-1]) / total)
-        if gap < MET or move < STILL or step == STEPS:
-            break
-        history.append(np.append(weights @ (ahead - want), step / (step + 3)))
-    return cells.withColumn("rate", state()["r"]), Fit(gap < MET, gap < MET or move < STILL, dict(zip(names, shares.tolist())), gap, step)
+
+    def rate(way: np.ndarray) -> Column:
+        """1 less the steps so far, projected; told by the cell alone."""
+        return F.greatest(F.lit(0.0), F.lit(1.0) - sum((c * float(g) for c, g in zip(p, way)), F.lit(0.0)))
+
+    def measured(way: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
+        """The domains' shares, the second moments of what has a rate above 0, the rates' mean square, and how far they are from those before."""
+        made = cells.withColumns({"_r": rate(way), "_d": rate(way) - rate(before)})
+        moving = F.when(F.col("_r") > 0, F.col("tokens")).otherwise(0)
+        sums = [*[F.col("tokens") * F.col("_r") * c for c in p], *[moving * p[i] * p[j] for i, j in pairs], F.col("tokens") * F.col("_r") * F.col("_r"), F.col("tokens") * F.col("_d") * F.col("_d")]
+        now = [float(x) / total for x in made.agg(*[F.sum(x) for x in sums]).first()]
+        moments = np.zeros((k, k))
+        for (i, j), v in zip(pairs, now[k:]):
+            moments[i, j] = moments[j, i] = v
+        return np.array(now[:k]), moments, now[-2], math.sqrt(now[-1])
+
+    way = np.zeros(k)
+    shares, moments, square, _ = measured(way, way)
+    metric = PULL * (moments + 1e-7 * np.trace(moments) * np.eye(k))
+    height = lambda way, square: 0.5 * square + way @ want + 0.5 * way @ metric @ way
+    settled, steps = False, 0
+    while np.abs(shares - want).max() >= MET and steps < STEPS and not settled:
+        gradient = shares - want - metric @ way
+        step = np.linalg.solve(moments + metric, gradient)
+        was = height(way, square)
+        for part in SHORTER:
+            steps += 1
+            found = measured(way + part * step, way)
+            if height(way + part * step, found[2]) <= was - 1e-4 * part * float(gradient @ step):
+                break
+        way = way + part * step
+        shares, moments, square, move = found
+        settled = move < STILL
+    gap = float(np.abs(shares - want).max())
+    return cells.withColumn("rate", rate(way)), Fit(gap < MET, gap < MET or settled, dict(zip(names, shares.tolist())), gap, steps)
 
 
 def thinned(cells: DataFrame, targets: dict[str, float], thin: tuple[str, ...]) -> dict[str, float]:

@@ -100,6 +100,14 @@ def test_rates_of_zero_where_targets_ask_for_less_than_none(spark):
     assert abs(loss(rate) - loss(r)) < 1e-4 and ended.met and ended.gap < mixing.MET
 
 
+def test_rates_towards_targets_that_few_cells_can_meet(spark):
+    # nearly all good cells hold 2 % of poor, and the target is half of that
+    cells = spark.createDataFrame([(0.98, 0.02, 0.0, 700), (1.0, 0.0, 0.0, 20), (0.1, 0.9, 0.0, 120), (0.0, 0.02, 0.98, 140), (0.0, 0.0, 1.0, 20)], "p_a double, p_b double, p_c double, tokens long")
+    rated, ended = mixing.fit_rates(cells, ["a", "b", "c"], [0.65, 0.01, 0.34])
+    got = {r.p_a: r.rate for r in rated.filter("p_a > 0").collect()}
+    assert ended.met and ended.steps < 40 and got[0.1] == 0 and got[1.0] > got[0.98]
+
+
 def test_posteriors_against_brute_force(spark):
     rows = mixing_rows()
     labelled = spark.createDataFrame([(t, y) for _, t, y in rows], "text string, domain int")
