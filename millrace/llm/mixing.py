@@ -196,14 +196,16 @@ def fit_rates(cells: DataFrame, names: list[str], targets: list[float]) -> tuple
 
 
 def thinned(cells: DataFrame, targets: dict[str, float], thin: tuple[str, ...]) -> dict[str, float]:
-    """targets with each share of a domain of thin lowered to what the cells have of it; the others take the rest as they stand to each other."""
-    sums = cells.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * F.col(f"p_{n}")) for n in thin]).first()
-    whole, total = sum(targets.values()), float(sums[0] or 0)
+    """targets with each share of a domain of thin lowered to what the cells have of it, and raised to what it has in the cells that are mostly of the others: less could be met by dropping those only. The others take the rest as they stand to each other."""
+    others = F.when(sum((F.col(f"p_{n}") for n in thin), F.lit(0.0)) <= 0.5, F.col("tokens")).otherwise(0)
+    sums = cells.agg(F.sum("tokens"), F.sum(others), *[F.sum(x * F.col(f"p_{n}")) for x in (F.col("tokens"), others) for n in thin]).first()
+    whole, total, clean = sum(targets.values()), float(sums[0] or 0), float(sums[1] or 0)
     if not total:
         return targets
-    least = {n: min(targets[n] / whole, float(x) / total) for n, x in zip(thin, sums[1:])}
-    others = sum(t for n, t in targets.items() if n not in least)
-    return {n: least[n] if n in least else (1 - sum(least.values())) * t / others for n, t in targets.items()}
+    has, floor = sums[2 : 2 + len(thin)], sums[2 + len(thin) :]
+    least = {n: min(max(targets[n] / whole, float(f) / clean if clean else 0.0), float(x) / total) for n, x, f in zip(thin, has, floor)}
+    rest = sum(t for n, t in targets.items() if n not in least)
+    return {n: least[n] if n in least else (1 - sum(least.values())) * t / rest for n, t in targets.items()}
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, thin: tuple[str, ...] = ()) -> DataFrame:

@@ -108,6 +108,18 @@ def test_rates_towards_targets_that_few_cells_can_meet(spark):
     assert ended.met and ended.steps < 40 and got[0.1] == 0 and got[1.0] > got[0.98]
 
 
+def test_thinning_never_drops_what_is_mostly_good(spark):
+    rows = [(0.97, 0.03, 0.0, 600), (0.93, 0.05, 0.02, 150), (0.1, 0.9, 0.0, 120), (0.05, 0.0, 0.95, 130)]
+    cells = spark.createDataFrame(rows, "p_good double, p_poor double, p_toxic double, tokens long")
+    want = mixing.thinned(cells, {"good": 0.92, "poor": 0.02, "toxic": 0.06}, ("poor", "toxic"))
+    assert abs(want["poor"] - (600 * 0.03 + 150 * 0.05) / 750) < 1e-9 and want["toxic"] == 0.06 and abs(sum(want.values()) - 1) < 1e-9
+    rates = {r.p_good: r.rate for r in mixing.fit_rates(cells, list(want), list(want.values()))[0].collect()}
+    assert rates[0.97] >= 1 and rates[0.93] >= 1 and rates[0.1] < 0.2 and rates[0.05] < 1
+    clean = spark.createDataFrame([r for r in rows if r[0] > 0.9], cells.schema)
+    same = mixing.thinned(clean, {"good": 0.92, "poor": 0.02, "toxic": 0.06}, ("poor", "toxic"))
+    assert all(abs(r.rate - 1) < 0.02 for r in mixing.fit_rates(clean, list(same), list(same.values()))[0].collect())
+
+
 def test_posteriors_against_brute_force(spark):
     rows = mixing_rows()
     labelled = spark.createDataFrame([(t, y) for _, t, y in rows], "text string, domain int")
