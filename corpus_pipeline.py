@@ -22,7 +22,8 @@ from millrace.llm import decontaminate, linededup, mixing, ngramjoin, quality, s
 
 
 #: The most of poor and of toxic tokens that the mix may have. Where the documents have less, that is the target: they
-#: are thinned out or left as they are, never raised, and the rate of good documents is 1 at least.
+#: are thinned out or left as they are, never raised. Mostly good documents carry some of either posterior: where that is
+#: more, it is the target, so that no good document has to go for it.
 TARGETS = {"good": 0.92, "poor": 0.02, "toxic": 0.06}
 #: The documents' files reach the line runs in so many batches.
 BATCHES = 4
