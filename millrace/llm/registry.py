@@ -1,6 +1,6 @@
 """The queries of this subpackage."""
 
-from millrace.llm import chatformat, decontaminate, htmlmain, langid, linededup, mixing, ngramjoin, quality, tokencounts, toxicity
+from millrace.llm import chatformat, decontaminate, htmlmain, langid, linededup, mixing, ngramjoin, packing, quality, tokencounts, toxicity
 from millrace.llm.oracles import ORACLES
 
 QUERIES = {
@@ -14,6 +14,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8,
     "op9_ngram_jaccard_join": ngramjoin.op9,
     "op10_language_id": langid.op10,
+    "op11_packing": packing.op11,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
