@@ -17,7 +17,6 @@ Other columns of the documents but the text are kept; those with a result's name
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,7 +52,7 @@ def with_end(ids: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarray, np.
 
 
 def pieces(text: Column, most: int = MOST, end: int = END_ID, vocabulary: str = piececodes.BYTE_BPE) -> Column:
-    """struct(doc_tokens, pieces array<struct<start, length, ids>>) of a text column."""
+    """struct(doc_tokens, pieces array<struct<start, length, ids>>) of a text column; ids: unsigned 32-bit numbers, little-endian."""
     if most < 1 or most & (most - 1):
         raise ValueError("the longest sequence must be a power of two")
 
@@ -64,15 +63,15 @@ def pieces(text: Column, most: int = MOST, end: int = END_ID, vocabulary: str =
         ends = np.cumsum(lengths)
         first = np.concatenate([[0], np.cumsum(many)])
         starts = ends - lengths - np.repeat(at[:-1], many)
-        own = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids))
+        own = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer((4 * np.concatenate([[0], ends])).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
         rows = pa.StructArray.from_arrays([pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), own], ["start", "length", "ids"])
         return [pa.array(np.diff(at), pa.int64()), pa.ListArray.from_arrays(pa.array(first, pa.int32()), rows)]
 
-    return shared.text_udf(work, "doc_tokens long, pieces array<struct<start:bigint,length:bigint,ids:array<int>>>")(text)
+    return shared.text_udf(work, "doc_tokens long, pieces array<struct<start:bigint,length:bigint,ids:binary>>")(text)
 
 
 def sequences(docs: DataFrame, text: str = "text", most: int = MOST, end: int = END_ID, vocabulary: str = piececodes.BYTE_BPE) -> DataFrame:
-    """A row for each sequence: the document's columns but its text, doc_tokens, start (tokens of the document before it), length, ids, sequence_id and offset (0: a sequence holds one piece)."""
+    """A row for each sequence: the document's columns but its text, doc_tokens, start (tokens of the document before it), length, ids (see pieces), sequence_id and offset (0: a sequence holds one piece)."""
     kept = [c for c in shared.columns(shared.without(docs, RESULTS).drop(text))]
     each = docs.select(*kept, pieces(F.col(text), most, end, vocabulary).alias("_made"))
     rows = each.select(*[c for c in shared.columns(each.drop("_made"))], F.col("_made.doc_tokens").alias("doc_tokens"), F.inline("_made.pieces"))
@@ -102,19 +101,18 @@ def batches(rows: DataFrame, tokens: int, seed: int = 0) -> DataFrame:
     return found.select("length", "sequence_id", F.floor(at / many).cast("long").alias("batch"), F.pmod(at, many).cast("long").alias("slot"))
 
 
-def _crc32(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for ids in parts:
-        at = ids.offsets.to_numpy()
-        raw = memoryview(np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False), "<u4")).cast("B")
-        yield pa.array([zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(at[:-1].tolist(), at[1:].tolist())], pa.int64())
+def _arrays(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for part in parts:
+        found = [np.frombuffer(x.as_buffer(), "<u4") if x.is_valid else None for x in part]
+        yield pa.array(found, pa.list_(pa.int32()))
 
 
-def ids_crc32(ids: Column) -> Column:
-    """crc32 of the ids as unsigned 32-bit numbers, little-endian."""
-    _crc32.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(_crc32, "long")(ids)
+def as_array(ids: Column) -> Column:
+    """The ids as array<int>."""
+    _arrays.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(_arrays, "array<int>")(ids)
 
 
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = bucketed(sequences(shared.table(spark, sf_dir, "documents").select("doc_id", "text")))
-    return packed.select("doc_id", "start", "length", ids_crc32(F.col("ids")).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -9,13 +9,13 @@ from __future__ import annotations
 import functools
 import itertools
 import os
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Pieces and bytes of pieces that a worker remembers; beyond that it starts anew.
-MOST_PIECES, MOST_BYTES = 1_000_000, 64 << 20
+#: Pieces and bytes of pieces that a worker remembers; beyond that it keeps the most frequent half.
+MOST_PIECES, MOST_BYTES = 400_000, 32 << 20
 #: Pieces that the tokenizer gets as one text.
 RUN = 2000
 #: First bytes of white space beyond ASCII: U+0085, U+00A0; U+1680, U+180E; U+2000 to U+205F; U+3000.
@@ -76,27 +76,40 @@ class _Numbers(dict):
 
 
 class PieceCodes:
-    """Ids of pieces, remembered; encode gives the ids of some pieces, spelt the bytes of each id."""
+    """Ids of pieces, remembered; encode gives the ids of some pieces in a row and how many each has, spelt the bytes of each id."""
 
-    def __init__(self, encode: Callable[[list[bytes]], Iterable[list[int]]], spelt: list[bytes], cuts: Callable[[np.ndarray, np.ndarray], np.ndarray], uncut: tuple[bytes, ...] = ()):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], spelt: list[bytes], cuts: Callable[[np.ndarray, np.ndarray], np.ndarray], uncut: tuple[bytes, ...] = ()):
         self.encode, self.spelt, self.cuts, self.uncut = encode, spelt, cuts, uncut
         self.lengths = np.array([len(x) for x in spelt], np.int64)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.number = _Numbers()
-        self.bytes = 0
-        self.ids, self.at, self.same = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool)
+        self.number, self.bytes = _Numbers(), 0
+        self.ids, self.at, self.same, self.seen = np.zeros(0, np.int32), np.zeros(1, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
 
     def _learn(self) -> None:
         new, self.number.new = self.number.new, []
-        made = list(self.encode(new))
+        ids, many = self.encode(new)
         self.bytes += sum(map(len, new))
-        ids = np.fromiter(itertools.chain.from_iterable(made), np.int32)
         self.ids = np.concatenate([self.ids, ids])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in made], dtype=np.int64)])
-        spelt = map(self.spelt.__getitem__, ids.tolist())
-        self.same = np.concatenate([self.same, np.fromiter((b"".join(itertools.islice(spelt, len(x))) == p for x, p in zip(made, new)), bool, len(new))])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(many)])
+        self.seen = np.concatenate([self.seen, np.zeros(len(new), np.int64)])
+        spelt = list(map(self.spelt.__getitem__, ids.tolist()))
+        if (np.cumsum(self.lengths[ids])[np.cumsum(many) - 1] == np.cumsum([len(p) for p in new])).all() and many.all() and b"".join(spelt) == b"".join(new):
+            same = np.ones(len(new), bool)
+        else:
+            parts = iter(spelt)
+            same = np.fromiter((b"".join(itertools.islice(parts, n)) == p for p, n in zip(new, many.tolist())), bool, len(new))
+        self.same = np.concatenate([self.same, same])
+
+    def _forget(self) -> None:
+        """Keeps the half that was asked for most often, and of those what was asked for again."""
+        most = np.sort(np.argsort(-self.seen, kind="stable")[: max(1, len(self.number) // 2)])
+        kept = most[self.seen[most] > 1]
+        pieces = list(self.number)
+        many = self.at[kept + 1] - self.at[kept]
+        self.ids, self.at = self.ids[spread(self.at[kept], many)], np.concatenate([[0], np.cumsum(many)])
+        self.same, self.seen = self.same[kept], self.seen[kept] // 2
+        self.number = _Numbers()
+        self.number.update(zip([pieces[k] for k in kept.tolist()], range(len(kept))))
+        self.bytes = sum(map(len, self.number))
 
     def starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Where pieces start; texts that hold one of `uncut` are one piece."""
@@ -122,6 +135,7 @@ class PieceCodes:
         number = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
         if self.number.new:
             self._learn()
+        self.seen += np.bincount(number, minlength=len(self.seen))
         lengths = self.at[number + 1] - self.at[number]
         ids = self.ids[spread(self.at[number], lengths)]
         first = np.searchsorted(starts, offsets)
@@ -153,24 +167,25 @@ def byte_level(name: str = BYTE_BPE, special: bool = False) -> PieceCodes:
     spelt = [own.get(k) or bytes(letters[c] for c in (t.id_to_token(k) or "")) for k in range(t.get_vocab_size())]
     lengths = np.array([len(x) for x in spelt])
 
-    def encode(pieces: list[bytes]) -> Iterator[list[int]]:
+    def encode(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Pieces that begin with a space that is a cut are encoded in runs: they cut themselves."""
-        runs, alone = [], []
-        for k, p in enumerate(pieces):
-            (runs if len(p) > 1 and p[0] == 32 and _PLAIN[p[1]] else alone).append(k)
-        out: list[list[int]] = [[]] * len(pieces)
-        for k, x in zip(alone, t.encode_batch_fast([pieces[k].decode() for k in alone], add_special_tokens=False)):
-            out[k] = x.ids
+        own = np.array([len(p) > 1 and p[0] == 32 and bool(_PLAIN[p[1]]) for p in pieces], bool)
+        runs, alone = np.flatnonzero(own), np.flatnonzero(~own)
+        made = [x.ids for x in t.encode_batch_fast([pieces[k].decode() for k in alone.tolist()], add_special_tokens=False)]
+        many, flat = np.zeros(len(pieces), np.int64), [np.fromiter(itertools.chain.from_iterable(made), np.int32)]
+        many[alone] = [len(x) for x in made]
         for i in range(0, len(runs), RUN):
-            mine = runs[i : i + RUN]
-            ids = t.encode_batch_fast([b"".join([pieces[k] for k in mine]).decode()], add_special_tokens=False)[0].ids
-            after = np.concatenate([[0], np.cumsum(lengths[ids])])
-            ends = np.cumsum([len(pieces[k]) for k in mine])
-            at = np.searchsorted(after, np.concatenate([[0], ends])).tolist()
-            assert (after[at[1:]] == ends).all(), "a token crosses a cut"
-            for k, a, b in zip(mine, at[:-1], at[1:]):
-                out[k] = ids[a:b]
-        return iter(out)
+            mine = [pieces[k] for k in runs[i : i + RUN].tolist()]
+            ids = np.array(t.encode_batch_fast([b"".join(mine).decode()], add_special_tokens=False)[0].ids, np.int32)
+            after, ends = np.cumsum(lengths[ids]), np.cumsum([len(p) for p in mine])
+            at = np.searchsorted(after, ends)
+            assert (after[at] == ends).all(), "a token crosses a cut"
+            many[runs[i : i + RUN]] = np.diff(at, prepend=-1)
+            flat.append(ids)
+        order = np.concatenate([alone, runs])
+        first = np.empty(len(pieces), np.int64)
+        first[order] = np.cumsum(many[order]) - many[order]
+        return np.concatenate(flat)[spread(first, many)], many
 
     return PieceCodes(encode, spelt, before_words, tuple(own.values()) if special else ())
 
@@ -191,7 +206,8 @@ def piece_level(name: str = PIECE_BPE) -> PieceCodes:
     def whole(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return np.zeros(len(data), bool)
 
-    def encode(pieces: list[bytes]) -> list[list[int]]:
-        return [lone if p == b" " else x for p, x in zip(pieces, s.encode([p[1:].decode() for p in pieces], num_threads=1))]
+    def encode(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        made = [lone if p == b" " else x for p, x in zip(pieces, s.encode([p[1:].decode() for p in pieces], num_threads=1))]
+        return np.fromiter(itertools.chain.from_iterable(made), np.int32), np.array([len(x) for x in made], np.int64)
 
     return PieceCodes(encode, spelt, whole if crossing else before_spaces, (mark.encode(),))
