@@ -1,6 +1,6 @@
 """The queries of this subpackage."""
 
-from millrace.llm import chatformat, decontaminate, htmlmain, langid, linededup, mixing, ngramjoin, packing, quality, tokencounts, toxicity
+from millrace.llm import alignment, chatformat, decontaminate, htmlmain, langid, linededup, mixing, ngramjoin, packing, quality, tokencounts, toxicity, whitening
 from millrace.llm.oracles import ORACLES
 
 QUERIES = {
@@ -15,6 +15,8 @@ QUERIES = {
     "op9_ngram_jaccard_join": ngramjoin.op9,
     "op10_language_id": langid.op10,
     "op11_packing": packing.op11,
+    "op12_tokenizer_alignment": alignment.op12,
+    "op13_embedding_whitening": whitening.op13,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
