@@ -17,6 +17,8 @@ Other columns of the documents but the text are kept; those with a result's name
 
 from __future__ import annotations
 
+import functools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,8 +53,14 @@ def with_end(ids: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarray, np.
     return out, edges
 
 
+@functools.cache
+def id_bytes(vocabulary: str = piececodes.BYTE_BPE) -> int:
+    """2 where all ids of the vocabulary, and the end's, fit into two bytes, else 4."""
+    return 2 if len(piececodes.byte_level(vocabulary, special=True).spelt) <= 1 << 16 else 4
+
+
 def pieces(text: Column, most: int = MOST, end: int = END_ID, vocabulary: str = piececodes.BYTE_BPE) -> Column:
-    """struct(doc_tokens, pieces array<struct<start, length, ids>>) of a text column; ids: unsigned 32-bit numbers, little-endian."""
+    """struct(doc_tokens, pieces array<struct<start, length, ids>>) of a text column; ids: unsigned numbers of id_bytes each, little-endian."""
     if most < 1 or most & (most - 1):
         raise ValueError("the longest sequence must be a power of two")
 
@@ -63,7 +71,8 @@ def pieces(text: Column, most: int = MOST, end: int = END_ID, vocabulary: str =
         ends = np.cumsum(lengths)
         first = np.concatenate([[0], np.cumsum(many)])
         starts = ends - lengths - np.repeat(at[:-1], many)
-        own = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer((4 * np.concatenate([[0], ends])).astype(np.int32)), pa.py_buffer(ids.astype("<u4"))])
+        width = id_bytes(vocabulary)
+        own = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer((width * np.concatenate([[0], ends])).astype(np.int32)), pa.py_buffer(ids.astype(f"<u{width}"))])
         rows = pa.StructArray.from_arrays([pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), own], ["start", "length", "ids"])
         return [pa.array(np.diff(at), pa.int64()), pa.ListArray.from_arrays(pa.array(first, pa.int32()), rows)]
 
@@ -101,18 +110,25 @@ def batches(rows: DataFrame, tokens: int, seed: int = 0) -> DataFrame:
     return found.select("length", "sequence_id", F.floor(at / many).cast("long").alias("batch"), F.pmod(at, many).cast("long").alias("slot"))
 
 
-def _arrays(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for part in parts:
-        found = [np.frombuffer(x.as_buffer(), "<u4") if x.is_valid else None for x in part]
-        yield pa.array(found, pa.list_(pa.int32()))
+def _unpacked(width: int, make, kind: str):
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for part in parts:
+            yield make([np.frombuffer(x.as_buffer() if x.is_valid else b"", f"<u{width}") for x in part])
+
+    run.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, kind)
 
 
-def as_array(ids: Column) -> Column:
+def as_array(ids: Column, vocabulary: str = piececodes.BYTE_BPE) -> Column:
     """The ids as array<int>."""
-    _arrays.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(_arrays, "array<int>")(ids)
+    return _unpacked(id_bytes(vocabulary), lambda rows: pa.array(rows, pa.list_(pa.int32())), "array<int>")(ids)
+
+
+def ids_crc32(ids: Column, vocabulary: str = piececodes.BYTE_BPE) -> Column:
+    """crc32 of the ids as unsigned 32-bit numbers, little-endian."""
+    return _unpacked(id_bytes(vocabulary), lambda rows: pa.array([zlib.crc32(x.astype("<u4")) for x in rows], pa.int64()), "long")(ids)
 
 
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = bucketed(sequences(shared.table(spark, sf_dir, "documents").select("doc_id", "text")))
-    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return packed.select("doc_id", "start", "length", ids_crc32(F.col("ids")).alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
