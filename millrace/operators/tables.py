@@ -38,11 +38,12 @@ def live_grant(now: Column) -> Column:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str | None = None) -> DataFrame:
-    """Rows of new replace rows of old with the same key; the rest of both stays. Of rows of new that repeat a key the last by order (then by all columns) stays."""
-    rest = [c for c in old.columns if c not in key]
-    by = [F.col(order)] if order else []
-    last = new.groupBy(*key).agg(F.max(F.struct(*by, *[F.col(c).alias(f"_{k}") for k, c in enumerate(rest)])).alias("_row"))
-    rows = last.select(*key, *[F.col(f"_row._{k}").alias(c) for k, c in enumerate(rest)])
+    """Rows of new replace rows of old with the same key; the rest of both stays. Of rows of new that repeat a key the one of the greatest order stays, of those that tie the one whose JSON text is the greatest, so columns of any type (maps, VARIANT) do."""
+    rest = [F.col(c) for c in old.columns if c not in key]
+    whole = F.struct(*rest) if rest else F.lit(0)
+    rank = F.struct(*([F.col(order)] if order else []), F.to_json(F.struct(whole.alias("row"))))
+    rows = new.groupBy(*key).agg(F.max_by(whole, rank).alias("_row"))
+    rows = rows.select(*key, *[F.col(f"_row.{c}") for c in old.columns if c not in key])
     return old.join(rows.select(*key), key, "left_anti").select(*old.columns).unionByName(rows)
 
 
@@ -96,8 +97,6 @@ def fail_route(retryable: list[str], terminal: list[str]) -> Column:
 
 def depth_and_age(tasks: DataFrame, queues: DataFrame, now: Column) -> DataFrame:
     """queue, depth, oldest_seconds of ready tasks; queues without any have depth 0."""
-    if queues is not None:
-        tasks = tasks.filter(allowed(queues, "queue"))
     ready = tasks.filter((F.col("state") == "ready") & (F.col("run_after") <= now)).groupBy("queue").agg(F.count("*").alias("depth"), F.min("created_at").alias("oldest"))
     age = F.round((F.unix_timestamp(now) - F.unix_timestamp("oldest")).cast("double"), 1)
     return queues.join(ready, "queue", "left").select("queue", F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), age.alias("oldest_seconds"))

@@ -55,7 +55,7 @@ _CASES = {
     "f_and": ({"$and": [{"k": {"$gt": 10}}, {"tags": "a"}]}, f"{_K} > 10 AND event_id % 3 = 0"),
     "f_or": ({"$or": [{"k": 5}, {"meta": {"lang": "fr"}}]}, f"{_K} = 5 OR (event_id % 3 = 0 AND event_id % 2 = 1)"),
     "f_not": ({"$not": {"meta.lang": "en"}}, "NOT (event_id % 3 = 0 AND event_id % 2 = 0)"),
-    "f_path": ({"k.deeper": 1}, "FALSE"),
+    "f_path": ({"$or": [{"meta.lang": "fr"}, {"k.deeper": 1}, {"tags.lang": "fr"}]}, "event_id % 3 = 0 AND event_id % 2 = 1"),
     "f_parse": ({"k": {"$gte": 20, "$lt": 30}, "flag": True}, f"{_K} >= 20 AND {_K} < 30 AND event_id % 3 = 1 AND event_id % 2 = 0"),
     "f_mismatch": ({"$or": [{"flag": 1}, {"k": "7"}, {"meta.lang": {"$gt": 3}}, {"$and": [{"k": {"$ne": "7"}}, {"k": 7}]}]}, f"coalesce({_K} = 7, FALSE)"),
 }
@@ -233,6 +233,15 @@ def q_claim(spark, d):
     return O.with_claimed(tasks, O.claim(tasks, _limits(spark, d), _now(), 64), _now(), 60).select("id", "state", "attempt")
 
 
+_TWO_QUEUES_SQL = _CLAIM_SQL.replace("WHERE state = 'ready'", "WHERE queue IN ('1-URGENT', '5-LOW') AND state = 'ready'")
+
+
+@query("q_claim_queues", f"SELECT c.id, c.workspace_id, t.queue FROM ({_TWO_QUEUES_SQL}) c JOIN {_TASKS_SQL} t ON t.id = c.id")
+def q_claim_queues(spark, d):
+    """Of two queues only; the others' tasks take no places."""
+    return O.claim(_tasks(spark, d), _limits(spark, d), _now(), 64, queues=["1-URGENT", "5-LOW"]).select("id", "workspace_id", "queue")
+
+
 @query("join_update_from", f"SELECT count(*) AS changed FROM ({_CLAIM_SQL})")
 def join_update_from(spark, d):
     before, after = _tasks(spark, d).select("id", F.col("state").alias("was")), q_claim(spark, d)
