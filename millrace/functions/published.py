@@ -53,17 +53,17 @@ class Rejected(ValueError):
     """A result that isn't what the slot returns."""
 
 
-class _Late(BaseException):
+class Late(BaseException):
     """Not an Exception, so a function that catches all of these is still stopped."""
 
 
 @contextmanager
-def _within(limits: Limits) -> Iterator[None]:
+def limited(limits: Limits) -> Iterator[None]:
     """Time by a repeated alarm, memory by the address space beyond what the worker has; only the main thread can have alarms."""
     timed = threading.current_thread() is threading.main_thread()
 
     def late(*_: Any) -> None:
-        raise _Late
+        raise Late
 
     with open("/proc/self/statm") as f:
         now = int(f.read().split()[0]) * resource.getpagesize()
@@ -100,10 +100,10 @@ class Call:
         space: dict[str, Any] = {}
         try:
             try:
-                with redirect_stdout(io.StringIO()), _within(self.limits):
+                with redirect_stdout(io.StringIO()), limited(self.limits):
                     exec(compile(self.source, _NAME, "exec"), space)  # noqa: S102  published by a trusted author
                     made = space["run"](*given)
-            except _Late:
+            except Late:
                 return None, f"{TIMEOUT}: more than {self.limits.seconds:g} s"
             except MemoryError:
                 return None, f"{OUT_OF_MEMORY}: more than {self.limits.memory_mb} MB"

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.sources.tables import written
+
 
 def metrics(ranked: DataFrame, relevant: DataFrame, ks: list[int], query_id: str = "query_id", item: str = "doc_id") -> DataFrame:
     """query_id, k, recall, precision, hit_rate, mrr, ndcg of ranked (query, item, rank) against relevant (query, item, gain > 0).
@@ -41,21 +45,51 @@ def compare(a: DataFrame, b: DataFrame, metric: str, by: list[str], small: float
     return both.withColumns({"delta": delta, "relative": F.when(F.col("before") != 0, F.round(delta / F.col("before"), 6)), "verdict": verdict}).orderBy("delta", *by)
 
 
-def bootstrap(compared: DataFrame, rounds: int = 1000, seed: int = 11, groups: int = 8) -> DataFrame:
-    """p_value of "after isn't better": the share of paired resamples with a mean delta of 0 or less; rounds are dealt to groups of tasks."""
-    deltas = np.array([r[0] for r in compared.select("delta").toLocalIterator()], float)
-    spark = compared.sparkSession
-    sent = spark.sparkContext.broadcast(deltas)
-
-    def draw(parts):
-        for rows in parts:
-            x = sent.value
-            out = []
-            for g in rows["id"]:
-                rng = np.random.default_rng([seed, int(g)])
-                means = x[rng.integers(0, len(x), (rounds // groups, len(x)))].mean(axis=1) if len(x) else np.zeros(rounds // groups)
-                out.append((int((means <= 0).sum()), len(means)))
-            yield pd.DataFrame(out, columns=["worse", "drawn"])
-
-    made = spark.range(groups).mapInPandas(draw, "worse long, drawn long")
-    return made.agg((F.sum("worse") / F.sum("drawn")).alias("p_value"), F.sum("drawn").alias("rounds"))
+def bootstrap(compared: DataFrame, rounds: int = 1000, seed: int = 11) -> DataFrame:
+    """p_value of "after isn't better" and rounds: the share of paired resamples with a mean delta of 0 or less.
+
+    Every pair is drawn a Poisson(1) number of times in each round, which depends on its place alone: a task sums its pairs
+    for all rounds at once, and only those sums are shuffled, whatever the number of pairs.
+    """
+
+    def draw(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(rounds), np.zeros(rounds)
+        for part in parts:
+            for delta, own in zip(part.column(0).to_numpy(), part.column(1).to_numpy(zero_copy_only=False)):
+                times = np.random.default_rng([seed, int(own) & (2**63 - 1)]).poisson(1.0, rounds)
+                total, n = total + times * delta, n + times
+        yield pa.RecordBatch.from_arrays([pa.array(range(rounds), pa.int32()), pa.array(total), pa.array(n)], ["round", "total", "n"])
+
+    names = sorted(c for c in compared.columns if c != "delta")
+    pairs = compared.select(F.col("delta").cast("double").alias("delta"), F.xxhash64(*names).alias("own"))
+    sums = pairs.mapInArrow(draw, "round int, total double, n double").groupBy("round").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).filter("n > 0")
+    return sums.agg(F.avg((F.col("total") / F.col("n") <= 0).cast("double")).alias("p_value"), F.count("*").alias("rounds"))
+
+
+#: Versions from this number on are temporary: an experiment's own, which no reader takes for the active one.
+TEMPORARY = 1_000_000
+
+
+def ab_run(tables, kb: str, active: int, run: Callable[[int], DataFrame], relevant: DataFrame, ks: list[int], build: Callable[[int], None] | None = None, trial: Callable[[int], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """metrics of the active version and of a trial. run, trial: the ranked hits (query_id, doc_id, rank) of a version.
+
+    A trial of other chunks or vectors is built beside the active version by `build`, as a temporary version, and is dropped
+    whatever happens; one that differs in the search alone has no build and reads the active version.
+    """
+    if build is None:
+        return metrics(run(active), relevant, ks), metrics((trial or run)(active), relevant, ks)
+    version = max([TEMPORARY - 1, *tables.versions(kb)]) + 1
+    try:
+        build(version)
+        after = written(metrics((trial or run)(version), relevant, ks), "trial")  # worked out while the version is there
+        return metrics(run(active), relevant, ks), after
+    finally:
+        tables.drop(kb, version)
+
+
+def sweep(tables, kb: str) -> list[int]:
+    """Drops temporary versions that a run which was killed has left; which."""
+    left = [v for v in tables.versions(kb) if v >= TEMPORARY]
+    for version in left:
+        tables.drop(kb, version)
+    return left

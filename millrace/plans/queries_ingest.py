@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions import markdown, slots
+from millrace.functions import markdown, models, slots
 from millrace.functions import text as T
-from millrace.operators import ingest, semantic
+from millrace.operators import evaluation, ingest, search, semantic
 from millrace.plans.base import query
+from millrace.plans.graph import Graph
+from millrace.plans.queries_search import _relevant as relevant
 from millrace.sources.tables import shared_folder, table
 from millrace.sources.tableset import TableSet, carried, drift
 from millrace.streaming import stages
@@ -144,3 +146,80 @@ def page_markdown(spark, d):
     """The main content of pages as Markdown."""
     made = table(spark, d, "pages").select("page_id", markdown.normalised(F.col("html")).alias("m"))
     return made.select("page_id", "m.title", (F.length("m.markdown") > 0).alias("has_text"))
+
+
+@query("graph_branch_map", f"""
+WITH c AS (SELECT doc_id, ordinal, content, lang FROM {_chunk_sql(50, 0)} x JOIN documents USING (doc_id) WHERE lang = 'en'
+  UNION ALL SELECT doc_id, ordinal, content, lang FROM {_chunk_sql(80, 20)} x JOIN documents USING (doc_id) WHERE lang <> 'en' AND n_chars > 2000
+  UNION ALL SELECT doc_id, ordinal, content, lang FROM {_chunk_sql(200, 0)} x JOIN documents USING (doc_id) WHERE lang <> 'en' AND n_chars <= 2000)
+SELECT sha256(content) AS content_hash, count(*) AS n FROM c GROUP BY 1
+""")
+def graph_branch_map(spark, d):
+    """Documents take one of three ways by language and length, and meet again."""
+    graph = Graph.from_dict({
+        "nodes": {
+            "docs": {"type": "source"}, "way": {"type": "branch.condition", "when": ["lang = 'en'", "n_chars > 2000"]}, "short": {"type": "chunk", "size": 50}, "lapped": {"type": "chunk", "size": 80, "overlap": 20},
+            "long": {"type": "chunk", "size": 200}, "two": {"type": "merge"}, "all": {"type": "merge"},
+        },
+        "edges": [["docs", "way", 0], ["way", "short", 0, 0], ["way", "lapped", 0, 1], ["way", "long", 0, 2], ["short", "two", 0], ["lapped", "two", 1], ["two", "all", 0], ["long", "all", 1]],
+    })
+    return graph.run(docs=table(spark, d, "documents")).groupBy("content_hash").agg(F.count("*").alias("n"))
+
+
+@query("graph_map", f"""
+WITH l AS (SELECT doc_id, (k - 1)::INTEGER AS item, x[k] AS text FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents))),
+w AS (SELECT doc_id, item, {_TOK} AS w FROM l)
+SELECT doc_id, item, i::INTEGER AS ordinal, sha256(array_to_string(w[i * 12 + 1 : i * 12 + 12], ' ')) AS content_hash
+FROM (SELECT *, unnest(range(0, (len(w) - 1) // 12 + 1)) AS i FROM w WHERE len(w) > 0)
+""")
+def graph_map(spark, d):
+    """A subgraph (chunks of twelve words) over the lines of all documents."""
+    inner = {"nodes": {"line": {"type": "source"}, "cut": {"type": "chunk", "size": 12}}, "edges": [["line", "cut", 0]]}
+    graph = Graph.from_dict({"nodes": {"docs": {"type": "source"}, "lines": {"type": "map", "items": "split(text, '\\n')", "graph": inner}}, "edges": [["docs", "lines", 0]]})
+    return graph.run(docs=table(spark, d, "documents")).select("doc_id", "item", "ordinal", "content_hash")
+
+
+def _nearest(tables: TableSet, queries: DataFrame):
+    """The ten documents with the nearest chunks of a version's points."""
+
+    def run(version: int) -> DataFrame:
+        points = tables.read("points", "all", version).select(F.concat_ws("/", "document_id", F.col("ordinal").cast("string")).alias("vec_id"), F.col("dense").alias("embedding"))
+        hits = search.dense_batch(points, queries, 50)
+        docs = hits.groupBy("query_id", F.substring_index("vec_id", "/", 1).cast("long").alias("doc_id")).agg(F.max("score").alias("score"))
+        return search.rank_by(docs, "query_id", "doc_id").filter("rank <= 10")
+
+    return run
+
+
+@query("eval_ab")
+def eval_ab(spark, d):
+    """Chunks of 100 tokens against a trial with 40, built as a temporary version beside the active one, and dropped."""
+    tables, docs = _tables(spark, "ab"), _documents(spark, d)
+    own, ones = docs.select("document_id", F.coalesce("text", F.lit("")).alias("content")), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+    def build(version: int, size: int) -> None:
+        chunks = _chunks(own.withColumnRenamed("content", "text"), size, 0)
+        points = chunks.select("document_id", "ordinal", "content_hash", slots.hashed_embedding(F.col("content"), 64).alias("dense"))
+        tables.replace("all", version, own, chunks=chunks, points=points)
+
+    build(1, 100)
+    queries = ones.select("query_id", slots.hashed_embedding(F.col("text"), 64).alias("embedding"))
+    before, after = evaluation.ab_run(tables, "all", 1, _nearest(tables, queries), relevant(spark, d), [1, 10], build=lambda v: build(v, 40))
+    return evaluation.compare(before, after, "recall", ["query_id", "k"])
+
+
+@query("model_batches", "SELECT count(*) AS n, count(DISTINCT text) AS embedded, 0 AS failed FROM (SELECT regexp_replace(trim(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), '[\\t\\n\\v\\f\\r ]+', ' ', 'g') AS text FROM documents)")
+def model_batches(spark, d):
+    """Documents embedded in batches by a model that a worker loads once; equal texts once."""
+    rows, fresh = models.embedded(table(spark, d, "documents").select("doc_id", F.col("text").alias("content")), models.Model("letters", _letters, 26))
+    return rows.agg(F.count("*").alias("n"), F.lit(fresh.count()).alias("embedded"), F.count("error").alias("failed"))
+
+
+def _letters():
+    import numpy as np
+
+    def predict(texts: list[str]) -> object:
+        raw = [np.frombuffer(t.lower().encode(), np.uint8) for t in texts]
+        return np.array([np.bincount(x[(x > 96) & (x < 123)] - 97, minlength=26) for x in raw])
+
+    return predict

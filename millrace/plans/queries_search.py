@@ -9,7 +9,7 @@ from millrace.functions import text as T
 from millrace.functions import vectors as V
 from millrace.operators import evaluation, retrieval, search
 from millrace.plans.base import query
-from millrace.sources.tables import table
+from millrace.sources.tables import table, written
 
 _DOUBLES = "embedding::DOUBLE[]"
 _Q0 = "(SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)"
@@ -351,9 +351,14 @@ def _holders(docs: DataFrame, items: DataFrame) -> DataFrame:
     windows = windows.select("doc_id", F.explode(F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice("w", i, F.lit(_WINDOW)), " ")))).alias("key"))
     met = windows.join(keyed, "key").select("doc_id", "query_id", "passage").distinct()
     found = met.join(docs, "doc_id").filter(F.contains("text", "passage")).select("query_id", "doc_id")
-    short = [F.when(F.contains("text", F.lit(r.passage)), F.lit(r.query_id)) for r in words.filter(F.size("w") < _WINDOW + 2).select("query_id", "passage").toLocalIterator()]
-    if short:
-        found = found.unionByName(docs.select(F.explode(F.array_compact(F.array(*short))).alias("query_id"), "doc_id"))
+    few = words.filter((F.size("w") > 2) & (F.size("w") < _WINDOW + 2)).select("query_id", "passage", F.element_at("w", 2).alias("key"))
+    if not few.isEmpty():
+        single = docs.select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("key"))
+        met = single.join(few, "key").select("doc_id", "query_id", "passage")
+        found = found.unionByName(met.join(docs, "doc_id").filter(F.contains("text", "passage")).select("query_id", "doc_id"))
+    least = [F.when(F.contains("text", F.lit(r.passage)), F.lit(r.query_id)) for r in words.filter(F.size("w") < 3).select("query_id", "passage").toLocalIterator()]
+    if least:  # one or two words: there is no whole word to find them by
+        found = found.unionByName(docs.select(F.explode(F.array_compact(F.array(*least))).alias("query_id"), "doc_id"))
     return found
 
 
@@ -361,7 +366,7 @@ def _relevant(spark, d) -> DataFrame:
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
     pairs = _holders(table(spark, d, "documents").select("doc_id", "text"), items)
     graded = pairs.join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return graded.select("query_id", "doc_id", (1 + F.coalesce("quality", F.lit(0))).alias("gain"))
+    return written(graded.select("query_id", "doc_id", (1 + F.coalesce("quality", F.lit(0))).alias("gain")), "relevant")
 
 
 @query("join_golden", f"WITH {_REL_SQL} SELECT query_id, doc_id, gain FROM rel")
@@ -373,8 +378,7 @@ _RUN_SQL = _REL_SQL + """,
 run AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY (doc_id * 7919) % 10007, doc_id) AS rank FROM (SELECT DISTINCT query_id, doc_id FROM (SELECT query_id, doc_id FROM rel UNION ALL SELECT query_id, doc_id + 1 FROM rel UNION ALL SELECT query_id, doc_id + 2 FROM rel)))"""
 
 
-def _run(spark, d) -> DataFrame:
-    rel = _relevant(spark, d)
+def _run(rel: DataFrame) -> DataFrame:
     near = rel.select("query_id", F.explode(F.array(F.col("doc_id"), F.col("doc_id") + 1, F.col("doc_id") + 2)).alias("doc_id")).distinct()
     w = Window.partitionBy("query_id").orderBy((F.col("doc_id") * 7919) % 10007, "doc_id")
     return near.withColumn("rank", F.row_number().over(w))
@@ -388,12 +392,14 @@ h AS (SELECT query_id, k, count(*) AS hits, sum((pow(2, gain) - 1) / log2(rank +
 SELECT query_id, k, round(coalesce(hits, 0)::DOUBLE / n, 6) AS recall, round(coalesce(hits, 0)::DOUBLE / k, 6) AS precision, (coalesce(hits, 0) > 0)::INT::DOUBLE AS hit_rate, round(coalesce(1.0 / first, 0), 6) AS mrr, round(coalesce(dcg / ideal, 0), 6) AS ndcg
 FROM b LEFT JOIN h USING (query_id, k)""")
 def agg_hit_metrics(spark, d):
-    return evaluation.metrics(_run(spark, d), _relevant(spark, d), [1, 3, 5, 10, 20])
+    rel = _relevant(spark, d)
+    return evaluation.metrics(_run(rel), rel, [1, 3, 5, 10, 20])
 
 
 @query("win_first_relevant", f"WITH {_RUN_SQL} SELECT query_id, min(rank) AS first_rank FROM run JOIN rel USING (query_id, doc_id) GROUP BY query_id")
 def win_first_relevant(spark, d):
-    return _run(spark, d).join(_relevant(spark, d), ["query_id", "doc_id"]).groupBy("query_id").agg(F.min("rank").alias("first_rank"))
+    rel = _relevant(spark, d)
+    return _run(rel).join(rel, ["query_id", "doc_id"]).groupBy("query_id").agg(F.min("rank").alias("first_rank"))
 
 
 @query("win_ideal_dcg", f"WITH {_REL_SQL} SELECT query_id, round(sum((pow(2, gain) - 1) / log2(n + 1)), 6) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, doc_id) AS n FROM rel) WHERE n <= 10 GROUP BY query_id")
@@ -406,7 +412,8 @@ def win_ideal_dcg(spark, d):
 @query("eval_compare")
 def eval_compare(spark, d):
     """The run against one that ranks by id."""
-    rel, run = _relevant(spark, d), _run(spark, d)
+    rel = _relevant(spark, d)
+    run = _run(rel)
     other = run.drop("rank").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")))
     return evaluation.compare(evaluation.metrics(run, rel, [5]), evaluation.metrics(other, rel, [5]), "ndcg", ["query_id"])
 

@@ -25,6 +25,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/millrace/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, read from a table in the shared folder: worked out once, however often they are used."""
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def read_files(spark: SparkSession, path: str, kind: str, schema: str | None = None) -> DataFrame:
     """text, csv (with a header), json, parquet, orc; binary gives path, content and length."""
     if kind == "binary":
