@@ -12,7 +12,8 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """node, root (the least node of its component) for every node of edges (a, b); roots and nodes have the edges' type.
 
     Each round every node points to its least neighbour, pointers are followed twice, and the graph shrinks to what the
-    pointers lead to. With nodes in random order (hashes) the edges fall by a constant factor a round.
+    pointers lead to. With nodes in random order (hashes) the edges fall by a constant factor a round; edges that are left after
+    all rounds raise RuntimeError.
     """
     live = shared.written(edges.select("a", "b").filter("a <> b").distinct(), "edges")
     steps: list[DataFrame] = []

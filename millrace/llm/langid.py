@@ -5,8 +5,9 @@ Counts by language and bucket are summed within tasks, then across them; the log
 (languages x buckets, so bounded by the parameter) is broadcast, and texts are scored in numpy.
 
 Edge cases: a null text or one without a letter is `und` with score 0; rows without lang or id are not learned from;
-with nothing learned every text is `und`. Languages that tie are taken in alphabetical order. Columns with a result's
-name are replaced.
+with nothing learned (as of an empty table) every text is `und`. Languages that tie are taken in alphabetical order. Repeated
+rows are learned from and predicted each. A text of any length is counted whole, in memory that follows the text. More than
+MAX_LANGUAGES languages raise ValueError, as the matrix is broadcast. Columns with a result's name are replaced.
 """
 
 from __future__ import annotations

@@ -15,8 +15,8 @@ Runs, their levels and the batches that are in are named by numbered manifests,
 new session finds all, a batch given again changes nothing, and of two writers one is told.
 
 `drop` removes the lines: hashes of ripe keys are broadcast as sorted arrays up to BROADCAST_KEYS (16 bytes each) and
-joined by a shuffle beyond that, where the keys that stand in more than 1 / HOT_SHARE of the documents' lines, so at
-most HOT_SHARE keys, are still broadcast and every other key is small. The result is the same.
+joined by a shuffle beyond that, where the keys that stand in more than 1 / HOT_SHARE of the documents' lines (counted in
+the documents), so at most HOT_SHARE keys, are still broadcast and every other key is small. The result is the same.
 
 Edge cases: a null or empty text is one empty line, which is never dropped (its key is empty). A document counts once
 for a key, however often the line stands in it; repeated rows count each. A text of any length is one list of lines. A key
@@ -86,6 +86,7 @@ class LineRuns:
         self.manifest = shared.Manifest(spark, self.folder)
         first = {"least_docs": least_docs, "ranges": int(spark.conf.get("spark.sql.shuffle.partitions")), "runs": [], "batches": []}
         self.state = first | self.manifest.load()
+        self.named: set[str] = set()
         if self.state["least_docs"] != least_docs:
             raise ValueError(f"these runs count to {self.state['least_docs']} documents")
 
@@ -95,8 +96,14 @@ class LineRuns:
             raise RuntimeError("another writer has changed these runs")
         self.state = state
 
-    def _table(self, run: str) -> DataFrame:
+    def _name(self, run: str) -> str:
+        """The run's name in the session's catalog, which alone knows of the buckets."""
         name = "lines_" + hashlib.md5(f"{self.folder}/{run}".encode()).hexdigest()
+        self.named.add(name)
+        return name
+
+    def _table(self, run: str) -> DataFrame:
+        name = self._name(run)
         if not self.spark.catalog.tableExists(name):
             self.spark.sql(f"CREATE TABLE {name} ({self.SCHEMA}) USING parquet CLUSTERED BY (a, b) SORTED BY (a, b) INTO {self.state['ranges']} BUCKETS LOCATION '{self.folder}/{run}'")
         return self.spark.table(name)
@@ -104,8 +111,7 @@ class LineRuns:
     def _write(self, rows: DataFrame) -> str:
         """A run of rows (a, b, n, ripe) that are dealt by a and b: a file for each range."""
         run = f"run-{self.state['number'] + 1:08d}-{uuid.uuid4().hex}"
-        name = "lines_" + hashlib.md5(f"{self.folder}/{run}".encode()).hexdigest()
-        rows.select("a", "b", "n", "ripe").write.bucketBy(self.state["ranges"], "a", "b").sortBy("a", "b").option("path", f"{self.folder}/{run}").saveAsTable(name)
+        rows.select("a", "b", "n", "ripe").write.bucketBy(self.state["ranges"], "a", "b").sortBy("a", "b").option("path", f"{self.folder}/{run}").saveAsTable(self._name(run))
         return run
 
     def _all(self, runs: list[str]) -> DataFrame:
@@ -149,6 +155,11 @@ class LineRuns:
             level += 1
         return True
 
+    def forget(self) -> None:
+        """Takes the runs' names out of the catalog; their files stay, and a later use names them again."""
+        while self.named:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.named.pop()}")
+
     def novel(self, batch: DataFrame, text: str = "text", least_chars: int = 1) -> DataFrame:
         """The batch's keys (a, b, n) that no run holds."""
         rows = self._counted(batch, text, least_chars)
@@ -210,10 +221,12 @@ def drop(docs: DataFrame, frequent: DataFrame, text: str = "text", broadcast_key
     if frequent.limit(broadcast_keys + 1).count() <= broadcast_keys:
         hot = spark.sparkContext.broadcast(_sorted_halves(frequent))
         return shared.with_fields(docs, shared.text_udf(lambda data, offsets: _cut_all(data, offsets, hot.value), DDL)(F.col(text)), FIELDS)
-    total = frequent.agg(F.sum("n")).first()[0]
+    # the runs stop counting a key when it is ripe, so what is hot is counted in the documents
+    counted = shared.written(key_counts(docs, text).join(frequent.select("a", "b"), ["a", "b"], "left_semi"), "counted")
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     largest = F.col("n") * hot_share > total
-    hot = spark.sparkContext.broadcast(_sorted_halves(frequent.filter(largest)))
-    return _drop_joined(docs, frequent.filter(~largest).select("a", "b"), hot, text)
+    hot = spark.sparkContext.broadcast(_sorted_halves(counted.filter(largest)))
+    return _drop_joined(docs, counted.filter(~largest).select("a", "b"), hot, text)
 
 
 def _drop_joined(docs: DataFrame, frequent: DataFrame, hot, text: str) -> DataFrame:
@@ -238,18 +251,17 @@ def _drop_joined(docs: DataFrame, frequent: DataFrame, hot, text: str) -> DataFr
 
 
 def arrivals(docs: DataFrame, n: int) -> list[DataFrame]:
-    """A table read from files, as up to n tables of some of its files each; anything but a whole table as it is."""
+    """docs as n tables: of some of its files each, if it is a table as read from n files or more (perhaps of some columns only); of some of its texts each, by their hash, if it is read from fewer; anything that is worked out from such a table as it is."""
     plan = docs._jdf.queryExecution().optimizedPlan()
-    while plan.nodeName() == "Project" and plan.children().size() == 1:
+    while plan.nodeName() == "Project" and all(plan.projectList().apply(k).getClass().getSimpleName() == "AttributeReference" for k in range(plan.projectList().size())):
         plan = plan.children().head()
-    files = sorted(docs.inputFiles()) if plan.nodeName() == "LogicalRelation" else []
-    if len(files) < 2:
-        return [docs]
-    whole = docs.sparkSession.read.parquet(*files)
-    if not {*docs.columns} <= {*whole.columns}:
+    if plan.nodeName() != "LogicalRelation":
         return [docs]
-    reader = docs.sparkSession.read.schema(whole.schema)
-    return [reader.parquet(*files[k::n]).select(*shared.columns(docs)) for k in range(min(n, len(files)))]
+    files = sorted(docs.inputFiles())
+    if len(files) < n:
+        return [docs.filter(F.pmod(F.xxhash64(F.col("text")), F.lit(n)) == k) for k in range(n)]
+    reader = docs.sparkSession.read.schema(docs.sparkSession.read.parquet(files[0]).schema)
+    return [reader.parquet(*files[k::n]).select(*shared.columns(docs)) for k in range(n)]
 
 
 def dedup(docs: DataFrame, batches: list[DataFrame] | None = None, least_docs: int = 10, text: str = "text") -> DataFrame:
@@ -257,7 +269,9 @@ def dedup(docs: DataFrame, batches: list[DataFrame] | None = None, least_docs: i
     runs = LineRuns(docs.sparkSession, least_docs=least_docs)
     for batch in batches or [docs]:
         runs.add(batch, text)
-    return drop(docs, runs.frequent(), text)
+    frequent = shared.written(runs.frequent(), "frequent")
+    runs.forget()
+    return drop(docs, frequent, text)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,10 @@ or out as a whole, giving it again changes nothing, and tables that no manifest
 was overtaken works its batch out anew on what is there then.
 
 Texts are counted once, when they come: deletes and revisions take the old counts from the ledger by a join on the id.
-The ledger is laid out in PARTS folders by the id's hash, so a join with few ids reads their parts only; `compact` makes
-one ledger of live rows and one delta of all.
+The ledger is laid out in PARTS folders by the id's hash, so a join with few ids reads their parts only; rows are rebalanced by
+part, so as many tasks write a part as its size asks for. Ledgers have levels: when FANOUT of one level are there, they are
+merged into one of the next (what cancels out goes), and so are deltas, so totals and joins read few tables and a row is
+rewritten a logarithmic number of times. `compact` merges all.
 
 Edge cases: null and empty texts have no tokens but count as documents; null keys are keys of their own; each row of a
 batch counts; a delete or a revision, or both in one batch, takes back all live rows of its id once; an unknown id, or a
@@ -38,8 +40,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 KEYS = ["source", "lang", "tokenizer"]
 LEDGER = "doc_id string, source string, lang string, tokenizer string, docs long, tokens long, part int"
-#: Folders of a ledger.
-PARTS = 32
+#: Folders of a ledger, and ledgers of a level that become one of the next.
+PARTS, FANOUT = 32, 4
 #: Times that an overtaken writer tries again.
 TRIES = 5
 DELTA = "source string, lang string, tokenizer string, docs long, tokens long"
@@ -75,7 +77,7 @@ class TokenTotals:
 
     def _state(self, version: str | None = None) -> dict:
         manifest = shared.Manifest(self.spark, f"{self.folder}/{version}") if version else self.manifest
-        return {"batches": [], "ledgers": [], "deltas": []} | manifest.load()
+        return {"batches": [], "ledgers": [], "deltas": [], "levels": []} | manifest.load()
 
     def _read(self, paths: list[str], schema: str) -> DataFrame:
         if not paths:
@@ -99,7 +101,7 @@ class TokenTotals:
     def _written(self, rows: DataFrame) -> tuple[str, str]:
         """The folders of a ledger and of its sums."""
         ledger, delta = (f"{self.folder}/{self.version}/{kind}-{uuid.uuid4().hex}" for kind in ("ledger", "delta"))
-        rows.withColumn("part", _part()).repartition(PARTS, "part").write.partitionBy("part").parquet(ledger)
+        rows.withColumn("part", _part()).hint("rebalance", F.col("part")).write.partitionBy("part").parquet(ledger)
         mine = self._read([ledger], LEDGER)
         mine.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.parquet(delta)
         return ledger, delta
@@ -116,18 +118,40 @@ class TokenTotals:
             if gone:
                 rows.append(self._taken_back(reduce(DataFrame.union, gone).filter("doc_id IS NOT NULL").distinct(), state))
             counted = self._written(reduce(DataFrame.unionByName, rows or [self.spark.createDataFrame([], LEDGER).drop("part")]))
-            if self.manifest.commit(state, batches=[*state["batches"], batch], ledgers=[*state["ledgers"], counted[0]], deltas=[*state["deltas"], counted[1]]):
+            if self.manifest.commit(state, batches=[*state["batches"], batch], ledgers=[*state["ledgers"], counted[0]], deltas=[*state["deltas"], counted[1]], levels=[*state["levels"], 0]):
+                self._settle()
                 return True
             for path in counted:
                 shared.delete(self.spark, path)
         raise RuntimeError(f"batch {batch} was overtaken {TRIES} times")
 
+    def _merge(self, state: dict, which: list[int], level: int) -> bool:
+        """Some ledgers and their deltas become one; False if another writer was first."""
+        rows = self._read([state["ledgers"][k] for k in which], LEDGER)
+        live = rows.groupBy("doc_id", *KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0")
+        made = self._written(live)
+        stay = [k for k in range(len(state["ledgers"])) if k not in which]
+        new = {name: [*[state[name][k] for k in stay], x] for name, x in (("ledgers", made[0]), ("deltas", made[1]), ("levels", level))}
+        if self.manifest.commit(state, **new):
+            return True
+        for path in made:
+            shared.delete(self.spark, path)
+        return False
+
+    def _settle(self) -> None:
+        """Merges full levels; a writer that is overtaken here leaves it to the next."""
+        level = 0
+        while True:
+            state = self._state()
+            which = [k for k, x in enumerate(state["levels"]) if x == level]
+            if len(which) < FANOUT or not self._merge(state, which, level + 1):
+                return
+            level += 1
+
     def compact(self) -> None:
         """One ledger of the live rows and one delta; what they replace stays on disk for those who read it."""
         state = self._state()
-        live = self._read(state["ledgers"], LEDGER).groupBy("doc_id", *KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0")
-        ledger, delta = self._written(live)
-        if not self.manifest.commit(state, ledgers=[ledger], deltas=[delta]):
+        if state["ledgers"] and not self._merge(state, list(range(len(state["ledgers"]))), max(state["levels"]) + 1):
             raise RuntimeError("another writer has changed this store")
 
     def totals(self) -> DataFrame:
