@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import ipaddress
 import json
+import re
 import uuid
 
 import pandas as pd
@@ -146,15 +147,12 @@ SECRET_MARKERS = (
 )
 
 
-def _is_secret(key: str) -> bool:
-    folded = key.lower().translate({ord("-"): "_", ord(" "): "_"})
-    return any(m in folded for m in SECRET_MARKERS)
+_SECRET = re.compile("|".join(m.replace("_", "[-_ ]") for m in SECRET_MARKERS), re.IGNORECASE)
 
 
-def _scrub(x):
-    if isinstance(x, dict):
-        return {k: "[redacted]" if _is_secret(k) else _scrub(v) for k, v in x.items()}
-    return [_scrub(v) for v in x] if isinstance(x, list) else x
+def _hidden(pairs: list[tuple[str, object]]) -> dict:
+    """An object as it is read, innermost first."""
+    return {k: "[redacted]" if _SECRET.search(k) else v for k, v in pairs}
 
 
 @F.pandas_udf(StringType())
@@ -165,7 +163,7 @@ def redacted(texts: pd.Series) -> pd.Series:
         if t is None:
             return None
         try:
-            return json.dumps(_scrub(json.loads(t)), separators=(",", ":"))
+            return json.dumps(json.loads(t, object_pairs_hook=_hidden), separators=(",", ":"))
         except ValueError:
             return t
 
@@ -184,7 +182,7 @@ def password_report(password: Column, username: Column | None = None, common: li
     password (also once what isn't a letter is cut off its ends), the username in it (of three characters or more)."""
     lower = F.lower(password)
     has = sum((password.rlike(c).cast("int") for c in PASSWORD_CLASSES), F.lit(0))
-    bare = F.regexp_replace(lower, "^[^a-z]+|[^a-z]+$", "")
+    bare = F.regexp_extract(lower, "(?s)[a-z](?:.*[a-z])?", 0)  # from its first letter to its last
     known = (lower.isin(common) | bare.isin([c for c in common if c])) if common else F.lit(False)
     rules = [("TOO_SHORT", F.length(password) < least), ("TOO_LONG", F.length(password) > most), ("INSUFFICIENT_CHARACTER_CLASSES", has < classes), ("COMMON_PASSWORD", known)]
     if username is not None:

@@ -47,23 +47,6 @@ def upsert_runtime(spark, d):
     return running.join(stored, "workspace_id", "left").select("workspace_id", "running", F.coalesce("stored", F.lit(4)).alias("concurrency_limit"))
 
 
-@query("doc_state", "SELECT doc_id, CASE WHEN n_chars > 1000 THEN 'indexed' WHEN n_chars > 200 THEN 'embedding' ELSE 'parsing' END AS state, CASE WHEN n_chars > 1000 THEN 100 ELSE least(100, n_chars // 10) END AS progress FROM documents")
-def doc_state(spark, d):
-    n = F.col("n_chars")
-    state = F.when(n > 1000, "indexed").when(n > 200, "embedding").otherwise("parsing")
-    return table(spark, d, "documents").select("doc_id", state.alias("state"), F.when(n > 1000, F.lit(100).cast("long")).otherwise(F.least(F.lit(100), F.floor(n / 10))).alias("progress"))
-
-
-@query("doc_delete", "SELECT doc_id, source = 'src3' AS deleted, CASE WHEN source = 'src4' THEN 2 ELSE 1 END AS revision FROM documents")
-def doc_delete(spark, d):
-    return table(spark, d, "documents").select("doc_id", (F.col("source") == "src3").alias("deleted"), F.when(F.col("source") == "src4", 2).otherwise(1).alias("revision"))
-
-
-@query("chunk_purge", "SELECT conv_id, count(*) AS purged FROM conversations WHERE conv_id % 3 = 0 GROUP BY 1")
-def chunk_purge(spark, d):
-    return table(spark, d, "conversations").filter("conv_id % 3 = 0").groupBy("conv_id").agg(F.count("*").alias("purged"))
-
-
 _VERSIONS_SQL = "(SELECT o_custkey AS kb_id, o_orderkey AS version, CASE o_orderstatus WHEN 'O' THEN 'active' WHEN 'P' THEN 'building' ELSE 'retired' END AS state, o_orderdate AS started_at FROM orders)"
 
 
@@ -72,16 +55,6 @@ def _versions(spark, d):
     return table(spark, d, "orders").select(F.col("o_custkey").alias("kb_id"), F.col("o_orderkey").alias("version"), state.alias("state"), F.col("o_orderdate").alias("started_at"))
 
 
-@query("kb_runtime", f"SELECT kb_id, max(version) AS active_version FROM {_VERSIONS_SQL} WHERE state = 'active' GROUP BY 1")
-def kb_runtime(spark, d):
-    return _versions(spark, d).filter("state = 'active'").groupBy("kb_id").agg(F.max("version").alias("active_version"))
-
-
-@query("iv_start", f"SELECT kb_id, max(version) + 1 AS next_version, bool_or(state = 'building') AS blocked FROM {_VERSIONS_SQL} GROUP BY 1")
-def iv_start(spark, d):
-    return _versions(spark, d).groupBy("kb_id").agg((F.max("version") + 1).alias("next_version"), F.bool_or(F.col("state") == "building").alias("blocked"))
-
-
 @query("iv_activate", f"SELECT kb_id, version, CASE WHEN state = 'building' AND version = newest THEN 'active' WHEN state = 'active' AND newest IS NOT NULL THEN 'retired' ELSE state END AS state FROM (SELECT *, max(CASE WHEN state = 'building' THEN version END) OVER (PARTITION BY kb_id) AS newest FROM {_VERSIONS_SQL})")
 def iv_activate(spark, d):
     v = _versions(spark, d)
@@ -100,34 +73,6 @@ def iv_expired(spark, d):
     return _versions(spark, d).filter((F.col("state") == "retired") & (F.col("started_at") + F.expr("INTERVAL 24 HOURS") < F.to_timestamp_ntz(F.lit("1996-01-01")))).select("kb_id", "version")
 
 
-@query("kb_duplicate", "SELECT n_nationkey + 100 AS kb_id, n_name || ' (copy)' AS name, n_regionkey AS workspace_id FROM nation")
-def kb_duplicate(spark, d):
-    return table(spark, d, "nation").select((F.col("n_nationkey") + 100).alias("kb_id"), F.concat("n_name", F.lit(" (copy)")).alias("name"), F.col("n_regionkey").alias("workspace_id"))
-
-
-@query("kb_update", "SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 = 0 THEN 'renamed' END, c_name) AS name, c_custkey % 3 = 0 AS changed FROM customer")
-def kb_update(spark, d):
-    new = F.when(F.col("c_custkey") % 3 == 0, F.lit("renamed"))
-    return table(spark, d, "customer").select("c_custkey", F.coalesce(new, "c_name").alias("name"), new.isNotNull().alias("changed"))
-
-
-@query("binding_guard", "SELECT s_suppkey, EXISTS (SELECT 1 FROM customer WHERE c_nationkey = s_nationkey AND c_acctbal > 9000) AS in_use FROM supplier")
-def binding_guard(spark, d):
-    used = table(spark, d, "customer").filter("c_acctbal > 9000").select(F.col("c_nationkey").alias("s_nationkey")).distinct().withColumn("u", F.lit(True))
-    return table(spark, d, "supplier").join(used, "s_nationkey", "left").select("s_suppkey", F.coalesce("u", F.lit(False)).alias("in_use"))
-
-
-@query("version_bump", "SELECT user_id, 1 + count(*) AS config_version FROM events WHERE event_type = 'purchase' GROUP BY 1")
-def version_bump(spark, d):
-    return table(spark, d, "events").filter("event_type = 'purchase'").groupBy("user_id").agg((F.count("*") + 1).alias("config_version"))
-
-
-@query("settings_patch", "SELECT event_id, coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT), 10) AS k, json_extract(props, '$.k') IS NULL AS defaulted FROM events")
-def settings_patch(spark, d):
-    k = F.try_variant_get(F.parse_json(F.coalesce("props", F.lit("{}"))), "$.k", "long")
-    return table(spark, d, "events").select("event_id", F.coalesce(k, F.lit(10)).alias("k"), k.isNull().alias("defaulted"))
-
-
 @query("audit_append", "SELECT event_id, strftime(ts, '%Y-%m') AS month, sha256(coalesce(props, '')) AS after_hash FROM events")
 def audit_append(spark, d):
     return table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM").alias("month"), F.sha2(F.coalesce("props", F.lit("")), 256).alias("after_hash"))
@@ -142,13 +87,6 @@ def key_auth(spark, d):
     return asked.join(keys, "h").select("event_id", "subject")
 
 
-@query("grant_validate", f"SELECT id, CASE WHEN list_contains(permissions, 'kb:manage') AND subject % 2 = 0 THEN 'not held' WHEN list_contains(permissions, 'doc:write') AND subject % 3 = 0 THEN 'not valid here' ELSE 'ok' END AS verdict FROM {_GRANTS_SQL}")
-def grant_validate(spark, d):
-    p = lambda x: F.array_contains("permissions", x)
-    verdict = F.when(p("kb:manage") & (F.col("subject") % 2 == 0), "not held").when(p("doc:write") & (F.col("subject") % 3 == 0), "not valid here").otherwise("ok")
-    return _grants(spark, d).select("id", verdict.alias("verdict"))
-
-
 @query("break_glass", "SELECT c_custkey, length(trim(c_name)) >= 20 AS reason_ok, TIMESTAMP '1998-09-01' + INTERVAL 60 MINUTE AS expires_at FROM customer")
 def break_glass(spark, d):
     return table(spark, d, "customer").select("c_custkey", (F.length(F.trim("c_name")) >= 20).alias("reason_ok"), (_now() + F.expr("INTERVAL 60 MINUTES")).alias("expires_at"))
