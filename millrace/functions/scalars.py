@@ -41,19 +41,40 @@ def decode_id(prefix: str, public: str) -> str | None:
 
 
 def public_id(prefix: str):
-    @F.pandas_udf("string")
-    def run(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: None if x is None else encode_id(prefix, x))
+    """A column function of UUIDs as text: prefix_ and 26 glyphs, four of them from each 20 bits of the number."""
 
-    return run
+    def of(ids: Column) -> Column:
+        digits = F.lpad(F.lower(F.regexp_replace(ids, "-", "")), 35, "0")
+        parts = [F.conv(F.substring(digits, k + 1, 5), 16, 10).cast("int") for k in range(0, 35, 5)]
+        glyphs = [F.substr(F.lit(GLYPHS.lower()), (F.shiftright(n, 5 * k) % 32) + 1, F.lit(1)) for n in parts for k in (3, 2, 1, 0)]
+        return F.when(F.length(digits) == 35, F.concat(F.lit(f"{prefix}_"), *glyphs[2:]))
 
+    return of
 
-def internal_id(prefix: str):
-    @F.pandas_udf("string")
-    def run(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: None if x is None else decode_id(prefix, x))
 
-    return run
+def internal_id(prefix: str):
+    """A column function back: the UUID, or null for another prefix, length or glyph, or a number beyond 128 bits."""
+    value = {c: k for k, c in enumerate(GLYPHS)}
+
+    def of(public: Column) -> Column:
+        body = F.upper(F.substr(public, F.lit(len(prefix) + 2)))
+        good = F.startswith(public, F.lit(f"{prefix}_")) & body.rlike(f"^[{GLYPHS}]{{26}}$")
+        places = F.create_map(*[F.lit(x) for pair in value.items() for x in pair])
+        glyphs = F.transform(F.split(F.concat(F.lit("00"), body), ""), lambda c: places[c])
+        parts = [sum((F.get(glyphs, F.lit(k + j)) * (1 << 5 * (3 - j)) for j in range(4)), F.lit(0)) for k in range(0, 28, 4)]
+        digits = F.lower(F.concat(*[F.lpad(F.hex(n.cast("long")), 5, "0") for n in parts]))
+        cut = [(4, 8), (12, 4), (16, 4), (20, 4), (24, 12)]
+        made = F.concat_ws("-", *[F.substring(digits, at, n) for at, n in cut])
+        return F.when(good & F.startswith(digits, F.lit("000")), made)
+
+    return of
+
+
+def uuid7(ms: Column, key: Column) -> Column:
+    """A time-ordered UUID (version 7) of an epoch in milliseconds; what is random in it comes from the md5 of a key, so a row that is worked out again gets the same id."""
+    time, random = F.lpad(F.lower(F.hex(ms.cast("long"))), 12, "0"), F.md5(key.cast("string").cast("binary"))
+    variant = F.substr(F.lit("89ab"), (F.conv(F.substring(random, 4, 1), 16, 10).cast("int") % 4) + 1, F.lit(1))
+    return F.concat_ws("-", F.substring(time, 1, 8), F.substring(time, 9, 4), F.concat(F.lit("7"), F.substring(random, 1, 3)), F.concat(variant, F.substring(random, 5, 3)), F.substring(random, 8, 12))
 
 
 def encode_cursor(**place) -> str:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from millrace.functions import text as T
+from millrace.sources.tables import written
 
 SEPARATORS = ["\n\n", "\n", ". ", " "]
 _SCHEMA = "ordinal int, content string, heading string, parent int"
@@ -167,12 +168,14 @@ def url_hash(url: Column) -> Column:
 
 
 def frontier(seeds: DataFrame, links: DataFrame, scope: str, max_depth: int, max_pages: int) -> DataFrame:
-    """url, depth of what a breadth-first crawl reaches: seeds (url), links (url, to); one join a level, new hashes only."""
-    seen = seeds.select(normal_url(F.col("url")).alias("url")).filter(F.col("url").rlike(scope)).distinct().withColumn("depth", F.lit(0))
-    edge = links.select(normal_url(F.col("url")).alias("url"), normal_url(F.col("to")).alias("to")).filter(F.col("to").rlike(scope)).distinct()
-    layer = seen
+    """url, depth of what a breadth-first crawl reaches: seeds (url), links (url, to); one join a level, new urls only. Each layer is written, so the plan of a level is one join however deep it lies."""
+    seen = layer = written(seeds.select(normal_url(F.col("url")).alias("url")).filter(F.col("url").rlike(scope)).distinct().withColumn("depth", F.lit(0)), "layer")
+    edge = written(links.select(normal_url(F.col("url")).alias("url"), normal_url(F.col("to")).alias("to")).filter(F.col("to").rlike(scope)).distinct(), "edges")
     for depth in range(1, max_depth + 1):
-        layer = layer.select("url").join(edge, "url").select(F.col("to").alias("url")).distinct().join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth))
+        new = layer.select("url").join(edge, "url").select(F.col("to").alias("url")).distinct().join(seen.select("url"), "url", "left_anti")
+        layer = written(new.withColumn("depth", F.lit(depth)), "layer")
+        if layer.isEmpty():
+            break
         seen = seen.unionByName(layer)
     return seen.orderBy("depth", "url").limit(max_pages)
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions import text as T
 from millrace.operators.search import rank_by
+from millrace.sources.tables import written
 
 
 def best_per(hits: DataFrame, key: str, id_col: str, query_id: str = "query_id") -> DataFrame:
@@ -72,6 +77,56 @@ def rank_changes(before: DataFrame, after: DataFrame, id_col: str, query_id: str
     return a.join(b, [query_id, id_col], "full_outer").withColumn("change", F.col("rank_before") - F.col("rank_after"))
 
 
+class Trace:
+    """The outputs of a query's stages by name, each written as it is kept, so the next stage and the explanation read it and nothing is worked out twice."""
+
+    def __init__(self) -> None:
+        self.stages: dict[str, DataFrame] = {}
+
+    def keep(self, name: str, hits: DataFrame) -> DataFrame:
+        self.stages[name] = written(hits, f"stage-{name}")
+        return self.stages[name]
+
+    def explained(self, id_col: str, drops: dict[str, str], query_id: str = "query_id") -> DataFrame:
+        """query_id, id, the rank in each stage (null where it isn't), and dropped_by: the first of the stages in drops (with what they are called) that an id didn't come through, null for what is returned."""
+        rows = [x.select(query_id, id_col, F.lit(name).alias("stage"), "rank") for name, x in self.stages.items()]
+        ranks = reduce(DataFrame.unionByName, rows).groupBy(query_id, id_col).agg(*[F.min(F.when(F.col("stage") == s, F.col("rank"))).alias(s) for s in self.stages])
+        why = F.lit(None).cast("string")
+        for stage, name in reversed(drops.items()):
+            why = F.when(F.col(stage).isNull(), name).otherwise(why)
+        return ranks.withColumn("dropped_by", why)
+
+
+def union_targets(targets: dict[str, Callable[[], DataFrame]], strict: bool = False) -> tuple[DataFrame, dict[str, str]]:
+    """(the hits of all targets with their list, the failures by target): each target is searched and its hits written; one that fails in planning or running is left out, unless strict."""
+    found, failed = [], {}
+    for name, run in targets.items():
+        try:
+            found.append(written(run(), "target").withColumn("list", F.lit(name)))
+        except Exception as e:
+            if strict:
+                raise
+            failed[name] = type(e).__name__
+    if not found:
+        raise RuntimeError(f"no target could be searched: {failed}")
+    return reduce(DataFrame.unionByName, found), failed
+
+
+def compress(hits: DataFrame, terms: DataFrame, text: str = "content", query_id: str = "query_id") -> DataFrame:
+    """hits with only those sentences of the text that hold a term of the query, in order; hits without one are left as they are. terms: query_id, terms (lower-cased words)."""
+    asked = hits.join(F.broadcast(terms.select(query_id, F.col("terms").alias("_terms"))), query_id, "left")
+    own = F.filter(T.sentences(F.col(text)), lambda s: F.arrays_overlap(T.tokens(s), F.col("_terms")))
+    kept = F.when(F.size(own) > 0, F.array_join(F.transform(own, F.trim), " ")).otherwise(F.col(text))
+    return asked.withColumn(text, kept).drop("_terms")
+
+
+def route(queries: DataFrame, profiles: DataFrame, most: int = 1, query_id: str = "query_id") -> DataFrame:
+    """query_id, target, score, rank: the targets whose profile weighs a query's distinct words most. queries: query_id, query; profiles: target, term, weight."""
+    words = queries.select(query_id, F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("term"))
+    scored = words.join(profiles, "term").groupBy(query_id, "target").agg(F.round(F.sum("weight"), 6).alias("score"))
+    return rank_by(scored, query_id, "target").filter(F.col("rank") <= most)
+
+
 def citations(hits: DataFrame, query_id: str = "query_id") -> DataFrame:
     return hits.withColumn("citation", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("]")))
 

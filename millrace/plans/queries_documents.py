@@ -103,7 +103,7 @@ def fn_nfkc(spark, d):
     return _docs(spark, d).select("doc_id", F.sha2(T.nfkc(F.col("text")), 256).alias("h"))
 
 
-@query("fn_truncate")
+@query("fn_truncate", f"SELECT doc_id, least(50, len({_TOK})) AS n FROM documents")
 def fn_truncate(spark, d):
     return _docs(spark, d).select("doc_id", T.token_count(T.truncated(F.col("text"), 50)).alias("n"))
 
@@ -115,14 +115,30 @@ def fn_redact(spark, d):
     return table(spark, d, "events").select("event_id", S.redacted(made).alias("detail"))
 
 
-@query("fn_public_id")
+@query("fn_uuid7", """
+WITH m AS (SELECT event_id, lpad(lower(to_hex(epoch_us(ts) // 1000)), 12, '0') AS t, md5(event_id::VARCHAR) AS r FROM events)
+SELECT event_id, t[1:8] || '-' || t[9:12] || '-7' || r[1:3] || '-' || ['8', '9', 'a', 'b'][(instr('0123456789abcdef', r[4:4]) - 1) % 4 + 1] || r[5:7] || '-' || r[8:19] AS id FROM m
+""")
+def fn_uuid7(spark, d):
+    """Time-ordered ids of events, the same whenever they are worked out."""
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    return table(spark, d, "events").select("event_id", S.uuid7(ms, F.col("event_id")).alias("id"))
+
+
+@query("fn_public_id", """
+SELECT doc_id, 'doc_' || array_to_string(list_transform(range(25, -1, -1), lambda k: '0123456789abcdefghjkmnpqrstvwxyz'[(((28672::UHUGEINT << 64) + (1::UHUGEINT << 63) + doc_id::UHUGEINT >> (5 * k)::UHUGEINT) & 31::UHUGEINT)::INT + 1]), '') AS public, TRUE AS round_trip FROM documents
+""")
 def fn_public_id(spark, d):
     made = F.concat(F.lit("00000000-0000-7000-8000-"), F.lpad(F.hex("doc_id"), 12, "0"))
     public = _docs(spark, d).select("doc_id", F.lower(made).alias("u")).withColumn("public", S.public_id("doc")(F.col("u")))
     return public.select("doc_id", "public", (S.internal_id("doc")(F.col("public")) == F.col("u")).alias("round_trip"))
 
 
-@query("fn_blocked_address")
+@query("fn_blocked_address", """
+WITH a AS (SELECT event_id, (event_id % 256) * 16777216 + (user_id % 256) * 65536 + 1 AS n FROM events),
+b AS (SELECT unnest([[0, 8], [167772160, 8], [1681915904, 10], [2130706432, 8], [2851995648, 16], [2886729728, 12], [3221225472, 24], [3232235520, 16], [3323068416, 15], [3758096384, 4], [4026531840, 4]]) AS x)
+SELECT event_id, EXISTS (SELECT 1 FROM b WHERE n >= x[1] AND n < x[1] + pow(2, 32 - x[2])) AS blocked, n >= 268435456 AND n < 536870912 AS allowed FROM a
+""")
 def fn_blocked_address(spark, d):
     ip = F.concat_ws(".", (F.col("event_id") % 256).cast("string"), (F.col("user_id") % 256).cast("string"), F.lit("0"), F.lit("1"))
     return table(spark, d, "events").select("event_id", S.blocked_address(ip).alias("blocked"), S.allowed_address(ip, ["16.0.0.0/4"]).alias("allowed"))

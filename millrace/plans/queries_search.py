@@ -136,12 +136,17 @@ def count_points(spark, d):
     return _points(spark, d).filter("label >= 3").groupBy("label").agg(F.count("*").alias("n"))
 
 
-@query("sparse_dot", "SELECT vec_id, round(embedding[1]::DOUBLE * 0.5 + embedding[5]::DOUBLE * 2 + embedding[10]::DOUBLE, 6) AS score FROM embeddings WHERE round(embedding[1]::DOUBLE * 0.5 + embedding[5]::DOUBLE * 2 + embedding[10]::DOUBLE, 6) > 0 ORDER BY score DESC, vec_id LIMIT 20")
+@query("sparse_dot", """
+WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0),
+s AS (SELECT query_id, vec_id, round(list_sum(list_transform(range(1, len(q) + 1), lambda i: CASE WHEN abs(q[i]) >= 0.2 AND abs(embedding[i]) >= 0.1 THEN q[i] * embedding[i]::DOUBLE ELSE 0 END)), 6) AS score FROM embeddings, q)
+SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE score > 0) WHERE rank <= 20
+""")
 def sparse_dot(spark, d):
-    indices = F.transform(F.sequence(F.lit(0), F.lit(30), F.lit(1)), lambda i: i)
-    points = _points(spark, d).select("vec_id", indices.alias("indices"), F.slice("embedding", 1, 31).alias("values"))
-    scored = points.select("vec_id", F.round(V.sparse_dot(F.col("indices"), F.col("values"), {0: 0.5, 4: 2.0, 9: 1.0}), 6).alias("score"))
-    return search.top_k(scored.filter("score > 0"), 20, "vec_id")
+    """Sparse vectors (the large entries of all dimensions): terms of points and queries meet by a join, weights are summed by pair."""
+    each = _points(spark, d).select("vec_id", F.posexplode(F.transform("embedding", lambda c: c.cast("double"))).alias("term", "weight"))
+    terms = each.filter(F.abs("weight") >= 0.1)
+    asked = each.filter((F.col("vec_id") % 50 == 0) & (F.abs("weight") >= 0.2)).select(F.col("vec_id").alias("query_id"), "term", F.col("weight").alias("asked"))
+    return search.sparse_batch(terms, asked, 20).select("query_id", "vec_id", "score")
 
 
 _TOK = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"
@@ -293,10 +298,28 @@ _CHANGES = """, a AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY q
 SELECT query_id, doc_id, h.rank AS rank_before, x.rank AS rank_after, h.rank - x.rank AS change FROM h FULL JOIN (SELECT * FROM a WHERE rank <= 20) x USING (query_id, doc_id)"""
 
 
-@query("explain", _HITS_SQL + _CHANGES)
+@query("explain", _HYBRID_SQL + f""",
+fu AS ({_FUSED.format(w="1.0")}),
+re AS (SELECT fu.query_id, fu.doc_id, round(fu.score / ln(2 + n_chars), 6) AS score, len({_TOK}) AS tokens FROM fu JOIN documents USING (doc_id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM re),
+t AS (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank) AS total FROM k WHERE score >= 0.001)
+SELECT fu.query_id, fu.doc_id, d.rank AS dense, l.rank AS sparse, fu.rank AS fused, k.rank AS reranked, t.rank AS kept, CASE WHEN b.rank IS NOT NULL THEN b.rank END AS "returned",
+  CASE WHEN k.rank IS NULL THEN 'rerank' WHEN t.rank IS NULL THEN 'threshold' WHEN b.rank IS NULL THEN 'budget' END AS dropped_by
+FROM fu LEFT JOIN lists d ON d.list = 'dense' AND d.doc_id = fu.doc_id LEFT JOIN lists l ON l.list = 'lexical' AND l.doc_id = fu.doc_id LEFT JOIN k ON k.doc_id = fu.doc_id
+LEFT JOIN t ON t.doc_id = fu.doc_id LEFT JOIN (SELECT * FROM t WHERE total <= 20000) b ON b.doc_id = fu.doc_id
+""")
 def explain(spark, d):
-    after, _ = retrieval.rerank(_with_docs(spark, d), lambda: F.round(F.col("score") / F.log(2 + F.col("n_chars")), 6), "doc_id")
-    return retrieval.rank_changes(_hits(spark, d), after.filter("rank <= 20"), "doc_id")
+    """The rank of every candidate in each stage, and the stage that dropped it."""
+    lists = written(_lists(spark, d), "lists")
+    docs = table(spark, d, "documents").select("doc_id", "n_chars", T.token_count(F.col("text")).alias("token_count"))
+    trace = retrieval.Trace()
+    trace.keep("dense", lists.filter("list = 'dense'"))
+    trace.keep("sparse", lists.filter("list = 'lexical'"))
+    fused = trace.keep("fused", search.rrf(lists, "doc_id"))
+    ranked = trace.keep("reranked", retrieval.rerank(docs.join(F.broadcast(fused), "doc_id"), lambda: F.round(F.col("score") / F.log(2 + F.col("n_chars")), 6), "doc_id")[0])
+    kept = trace.keep("kept", retrieval.threshold(ranked, 0.001))
+    trace.keep("returned", retrieval.token_budget(kept, 20_000))
+    return trace.explained("doc_id", {"reranked": "rerank", "kept": "threshold", "returned": "budget"})
 
 
 @query("win_rank_change", _HITS_SQL + "SELECT query_id, doc_id, change FROM (" + _CHANGES.split("SELECT query_id, doc_id, h.rank", 1)[0].lstrip(", ").replace("a AS (", "SELECT query_id, doc_id, h.rank - a.rank AS change FROM h JOIN (", 1).rstrip().removesuffix(")") + ") a USING (query_id, doc_id))")
@@ -310,10 +333,15 @@ def mcp_search(spark, d):
     return retrieval.citations(_with_docs(spark, d).filter("rank <= 20 AND lang = 'en'")).select("query_id", "doc_id", "rank", "citation", "lang")
 
 
-@query("dify_shape", _HITS_SQL + "SELECT query_id, doc_id, score, source AS title, left(text, 40) AS content FROM h JOIN documents USING (doc_id)")
+@query("dify_shape", _HITS_SQL + """
+SELECT query_id, list(sha256(text) ORDER BY rank) AS contents, list(source ORDER BY rank) AS titles, list(score ORDER BY rank) AS scores FROM h JOIN documents USING (doc_id) WHERE rank <= 5 AND score >= 0.5 GROUP BY query_id
+""")
 def dify_shape(spark, d):
-    docs = table(spark, d, "documents").join(F.broadcast(_hits(spark, d)), "doc_id")
-    return docs.select("query_id", "doc_id", "score", F.col("source").alias("title"), F.substring("text", 1, 40).alias("content"))
+    """records of each query, best first, above a threshold: content (whole; its digest here), title and score."""
+    docs = table(spark, d, "documents").join(F.broadcast(_hits(spark, d).filter("rank <= 5 AND score >= 0.5")), "doc_id")
+    record = F.struct("rank", F.sha2("text", 256).alias("content"), F.col("source").alias("title"), "score")
+    made = docs.groupBy("query_id").agg(F.array_sort(F.collect_list(record)).alias("records"))
+    return made.select("query_id", F.col("records.content").alias("contents"), F.col("records.title").alias("titles"), F.col("records.score").alias("scores"))
 
 
 @query("highlights", "SELECT doc_id, term, instr(lower(text), term) - 1 AS start_at, instr(lower(text), term) - 1 + length(term) AS end_at FROM documents, (VALUES ('idiot'), ('clown')) AS t(term) WHERE contains(lower(text), term)")
@@ -421,3 +449,62 @@ def eval_compare(spark, d):
 @query("agg_bootstrap")
 def agg_bootstrap(spark, d):
     return evaluation.bootstrap(eval_compare(spark, d))
+
+
+_SENTENCE = "(?s)[^.!?。！？；]*[.!?。！？；]|[^.!?。！？；]+$"
+
+
+@query("compress", _HITS_SQL + f""",
+cs AS (SELECT query_id, doc_id, text, unnest(regexp_extract_all(text, '{_SENTENCE}')) AS s, generate_subscripts(regexp_extract_all(text, '{_SENTENCE}'), 1) AS k FROM h JOIN documents USING (doc_id)),
+ct AS (SELECT query_id, doc_id, text, k, trim(CASE WHEN k > 1 THEN regexp_replace(s, '^\\s+', '') ELSE s END) AS s FROM cs),
+ch AS (SELECT ct.*, list_has_any(regexp_extract_all(lower(s), '[\\p{{L}}\\p{{N}}]+'), (SELECT list(term) FROM q WHERE q.query_id = ct.query_id)) AS hit FROM ct WHERE s <> '')
+SELECT query_id, doc_id, sha256(coalesce(string_agg(s, ' ' ORDER BY k) FILTER (WHERE hit), any_value(text))) AS content FROM ch GROUP BY 1, 2
+""")
+def compress(spark, d):
+    """Of each hit the sentences that hold a term of its query."""
+    terms = spark.createDataFrame([*_QUERIES.items()], "query_id int, terms array<string>")
+    hits = table(spark, d, "documents").select("doc_id", F.col("text").alias("content")).join(F.broadcast(_hits(spark, d)), "doc_id")
+    return retrieval.compress(hits, terms).select("query_id", "doc_id", F.sha2("content", 256).alias("content"))
+
+
+_PROFILE_SQL = f"p AS (SELECT lang AS target, term, round(count(*)::DOUBLE / any_value(n), 6) AS weight FROM (SELECT lang, unnest(list_distinct({_TOK})) AS term FROM documents) JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY 1) USING (lang) GROUP BY 1, 2 HAVING count(*) >= 20)"
+
+
+@query("route", f"""
+WITH {_PROFILE_SQL}, w AS (SELECT item_id AS query_id, unnest(list_distinct({_TOK})) AS term FROM benchmark),
+s AS (SELECT query_id, target, round(sum(weight), 6) AS score FROM w JOIN p USING (term) GROUP BY 1, 2)
+SELECT query_id, target, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, target) AS rank FROM s) WHERE rank <= 2
+""")
+def route(spark, d):
+    """The two bases (one a language) whose usual words weigh most in each benchmark passage."""
+    docs = table(spark, d, "documents")
+    sizes = docs.groupBy("lang").agg(F.count("*").alias("n"))
+    held = docs.select("lang", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("held")).filter("held >= 20")
+    profiles = held.join(F.broadcast(sizes), "lang").select(F.col("lang").alias("target"), "term", F.round(F.col("held") / F.col("n"), 6).alias("weight"))
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return retrieval.route(queries, profiles, 2).select("query_id", "target", "rank")
+
+
+@query("union_targets", _BM25_SQL + """, d2 AS (SELECT query_id, doc_id, score, lang, row_number() OVER (PARTITION BY query_id, lang ORDER BY score DESC, doc_id) AS rank FROM r JOIN documents USING (doc_id) WHERE score > 0)
+SELECT lang AS list, query_id, doc_id, rank, ['broken'] AS failed FROM d2 WHERE rank <= 5 AND lang IN ('de', 'en')""")
+def union_targets(spark, d):
+    """Two bases and one that fails: the hits of the two, and the failure is told. The whole corpus' statistics weigh the terms of each."""
+    docs = table(spark, d, "documents").select("doc_id", "lang")
+    hits = written(search.bm25(table(spark, d, "documents"), _QUERIES, 1_000_000).join(docs, "doc_id"), "all")
+
+    def best(lang: str):
+        return lambda: search.rank_by(hits.filter(F.col("lang") == lang).select("query_id", "doc_id", "score"), "query_id", "doc_id").filter("rank <= 5")
+
+    found, failed = retrieval.union_targets({"en": best("en"), "broken": lambda: hits.select(F.raise_error(F.lit("down")).cast("int").alias("query_id"), "doc_id", "score", F.lit(1).alias("rank")), "de": best("de")})
+    return found.select("list", "query_id", "doc_id", "rank", F.array(*map(F.lit, sorted(failed))).alias("failed"))
+
+
+@query("rewrite_multi", _BM25_SQL.replace("q AS (SELECT * FROM (VALUES (1, 'the'), (1, 'idiot'), (2, 'der'), (2, 'und'), (3, 'pathetic'), (3, 'clown')) AS t(query_id, term))", "q AS (SELECT * FROM (VALUES (10, 'the'), (10, 'idiot'), (11, 'idiot'), (20, 'pathetic'), (20, 'clown'), (21, 'clown')) AS t(query_id, term))") + """,
+l AS (SELECT query_id // 10 AS query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0),
+z AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rank)), 6) AS score FROM l WHERE rank <= 30 GROUP BY 1, 2)
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM z""")
+def rewrite_multi(spark, d):
+    """Each query also without its commonest word; the lists of the rewritings are fused."""
+    forms = {10: ["the", "idiot"], 11: ["idiot"], 20: ["pathetic", "clown"], 21: ["clown"]}
+    lists = search.bm25(table(spark, d, "documents"), forms, 30)
+    return search.rrf(lists.select(F.floor(F.col("query_id") / 10).cast("int").alias("query_id"), F.col("query_id").cast("string").alias("list"), "doc_id", "rank"), "doc_id")

@@ -111,23 +111,6 @@ def obj_keys(spark, d):
     return table(spark, d, "documents").select("doc_id", F.concat_ws("/", F.lit("ws"), "source", F.lit("kb"), "lang", F.lit("doc"), F.col("doc_id").cast("string"), F.lit("original")).alias("key"))
 
 
-@query("rewrite_multi", "SELECT item_id, k, q FROM (SELECT item_id, unnest([0, 1, 2]) AS k, unnest([text, lower(text), split_part(text, '.', 1)]) AS q FROM benchmark)")
-def rewrite_multi(spark, d):
-    more = F.array(F.col("text"), F.lower("text"), F.split_part("text", F.lit("."), F.lit(1)))
-    return table(spark, d, "benchmark").select("item_id", F.posexplode(more).alias("k", "q"))
-
-
-@query("route", "SELECT item_id, CASE WHEN regexp_matches(text, '[ßäöü]') THEN 'de' WHEN regexp_matches(text, '[çèêé]') THEN 'fr' WHEN regexp_matches(text, '[ñíó]') THEN 'es' ELSE 'en' END AS target FROM benchmark")
-def route(spark, d):
-    t = F.col("text")
-    return table(spark, d, "benchmark").select("item_id", F.when(t.rlike("[ßäöü]"), "de").when(t.rlike("[çèêé]"), "fr").when(t.rlike("[ñíó]"), "es").otherwise("en").alias("target"))
-
-
-@query("compress", "SELECT doc_id, length(array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')[1:30], ' ')) AS n FROM documents")
-def compress(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.length(F.array_join(F.slice(T.tokens(F.col("text")), 1, 30), " ")).alias("n"))
-
-
 @query("golden_generate", "SELECT doc_id, split_part(text, chr(10), 1) AS query, FALSE AS reviewed FROM documents ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT 100")
 def golden_generate(spark, d):
     some = table(spark, d, "documents").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(100)

@@ -5,7 +5,7 @@ orders stand for tasks (priority, state and age), events for an audit and usage
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import scalars as S
@@ -242,10 +242,12 @@ def q_claim_queues(spark, d):
     return O.claim(_tasks(spark, d), _limits(spark, d), _now(), 64, queues=["1-URGENT", "5-LOW"]).select("id", "workspace_id", "queue")
 
 
-@query("join_update_from", f"SELECT count(*) AS changed FROM ({_CLAIM_SQL})")
+@query("join_update_from", f"SELECT t.id, c.id IS NOT NULL AS changed, CASE WHEN c.id IS NULL THEN lease_until ELSE TIMESTAMP '{NOW}' + INTERVAL 60 SECOND END AS lease_until FROM {_TASKS_SQL} t LEFT JOIN ({_CLAIM_SQL}) c USING (id)")
 def join_update_from(spark, d):
-    before, after = _tasks(spark, d).select("id", F.col("state").alias("was")), q_claim(spark, d)
-    return after.join(before, "id").filter("state <> was").agg(F.count("*").alias("changed"))
+    """The rows of one table changed by those of another that they join to: what was claimed gets a lease."""
+    tasks = _tasks(spark, d)
+    after = O.with_claimed(tasks, O.claim(tasks, _limits(spark, d), _now(), 64), _now(), 60).select("id", F.col("state").alias("after"), "lease_until")
+    return after.join(tasks.select("id", "state"), "id").select("id", (F.col("after") != F.col("state")).alias("changed"), "lease_until")
 
 
 @query("agg_claim_counter", f"SELECT workspace_id, count(*) AS n FROM {_TASKS_SQL} WHERE state = 'running' GROUP BY workspace_id")
@@ -338,9 +340,12 @@ def agg_state_total(spark, d):
     return table(spark, d, "orders").rollup("o_orderstatus").agg(F.count("*").alias("n")).select(F.coalesce("o_orderstatus", F.lit("(all)")).alias("state"), "n")
 
 
-@query("agg_admins", "SELECT count(*) AS n FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 0")
+@query("agg_admins", f"SELECT count(DISTINCT subject) AS n FROM {_GRANTS_SQL} JOIN customer ON c_custkey = subject WHERE list_contains(permissions, 'kb:manage') AND revoked_at IS NULL AND (expires_at IS NULL OR expires_at > TIMESTAMP '{NOW}') AND c_acctbal > 0")
 def agg_admins(spark, d):
-    return table(spark, d, "customer").filter("c_mktsegment = 'BUILDING' AND c_acctbal > 0").agg(F.count("*").alias("n"))
+    """Active users with a live grant that makes them administrators: the last one must not go."""
+    live = _grants(spark, d).filter(F.array_contains("permissions", "kb:manage") & O.live_grant(_now())).select("subject")
+    active = table(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("subject"))
+    return active.join(live, "subject", "left_semi").agg(F.count_distinct("subject").alias("n"))
 
 
 @query("agg_counter_delta", "SELECT c_custkey, greatest(0, 20 - coalesce(n, 0)) AS left_over FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey")
@@ -520,8 +525,9 @@ def agg_quota(spark, d):
 
 @query("agg_latency_pct", "SELECT event_type, round(quantile_cont(value, 0.5), 4) AS p50, round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.99), 4) AS p99 FROM events GROUP BY 1")
 def agg_latency_pct(spark, d):
-    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return table(spark, d, "events").groupBy("event_type").agg(p.alias("p")).select("event_type", *[F.round(F.col("p")[k], 4).alias(n) for k, n in enumerate(("p50", "p95", "p99"))])
+    """Exact percentiles; equal values are counted first, so a group brings its distinct values together and not its rows."""
+    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)), F.col("n"))
+    return table(spark, d, "events").groupBy("event_type", "value").agg(F.count("*").alias("n")).groupBy("event_type").agg(p.alias("p")).select("event_type", *[F.round(F.col("p")[k], 4).alias(n) for k, n in enumerate(("p50", "p95", "p99"))])
 
 
 @query("agg_histogram", "SELECT event_type, CASE WHEN value <= 1 THEN 1.0 WHEN value <= 5 THEN 5.0 WHEN value <= 20 THEN 20.0 WHEN value <= 100 THEN 100.0 END::DOUBLE AS le, count(*) AS n FROM events GROUP BY ALL")
@@ -529,9 +535,15 @@ def agg_histogram(spark, d):
     return O.histogram(table(spark, d, "events"), "value", [1, 5, 20, 100], ["event_type"])
 
 
-@query("cache_hit_rate", "SELECT event_type, round(avg((event_id % 3 = 0)::INT), 6) AS rate FROM events GROUP BY 1")
+@query("cache_hit_rate", """
+WITH e AS (SELECT event_type, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM events)
+SELECT event_type, count(*) AS lookups, count(*) FILTER (WHERE ts <= before + INTERVAL 6 HOUR) AS hits, round(count(*) FILTER (WHERE ts <= before + INTERVAL 6 HOUR)::DOUBLE / count(*), 6) AS rate FROM e GROUP BY 1
+""")
 def cache_hit_rate(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.avg(F.when(F.col("event_id") % 3 == 0, 1).otherwise(0)), 6).alias("rate"))
+    """Lookups by key (user and kind) in a cache that keeps an entry for six hours after its last use."""
+    before = F.lag("ts").over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
+    e = table(spark, d, "events").withColumn("hit", F.coalesce(F.col("ts") <= before + F.expr("INTERVAL 6 HOURS"), F.lit(False)))
+    return e.groupBy("event_type").agg(F.count("*").alias("lookups"), F.count_if("hit").alias("hits")).withColumn("rate", F.round(F.col("hits") / F.col("lookups"), 6))
 
 
 @query("use_counter", "SELECT user_id, count(*) AS use_count, max(ts) AS last_used_at FROM events GROUP BY 1")
@@ -550,10 +562,18 @@ def part_drop(spark, d):
     return table(spark, d, "orders").filter(S.month_start(F.col("o_orderdate").cast("date"), 1) >= F.to_date(F.lit("1994-06-15"))).select("o_orderkey")
 
 
-@query("session_valid", "SELECT event_id FROM events JOIN customer ON c_custkey = user_id WHERE event_id % 4 <> 0 AND c_acctbal > 0")
+@query("session_valid", f"""
+SELECT o_orderkey AS session_id, CASE WHEN c_custkey IS NULL OR c_acctbal <= 0 THEN 'USER_INACTIVE' WHEN o_orderkey % 5 = 0 THEN 'REVOKED' WHEN o_orderdate + INTERVAL 1200 DAY <= TIMESTAMP '{NOW}' THEN 'EXPIRED'
+  WHEN o_orderkey % 3 <> c_custkey % 3 THEN 'CREDENTIALS_CHANGED' ELSE 'ok' END AS verdict FROM orders LEFT JOIN customer ON c_custkey = o_custkey
+""")
 def session_valid(spark, d):
-    users = table(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("user_id"))
-    return table(spark, d, "events").filter("event_id % 4 <> 0").join(users, "user_id", "left_semi").select("event_id")
+    """Orders stand for sessions: of an active user, not revoked, not expired, made under the user's present credentials."""
+    o, c = table(spark, d, "orders"), table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), (F.col("c_custkey") % 3).alias("credential_version"), "c_acctbal")
+    verdict = (
+        F.when(F.col("credential_version").isNull() | (F.col("c_acctbal") <= 0), "USER_INACTIVE").when(F.col("o_orderkey") % 5 == 0, "REVOKED")
+        .when(F.col("o_orderdate").cast("timestamp_ntz") + F.expr("INTERVAL 1200 DAYS") <= _now(), "EXPIRED").when(F.col("o_orderkey") % 3 != F.col("credential_version"), "CREDENTIALS_CHANGED").otherwise("ok")
+    )
+    return o.join(c, "o_custkey", "left").select(F.col("o_orderkey").alias("session_id"), verdict.alias("verdict"))
 
 
 @query("proj_audit", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS at, coalesce(props, '{}') AS detail FROM events")
