@@ -167,7 +167,7 @@ def url_hash(url: Column) -> Column:
     return F.sha2(normal_url(url), 256)
 
 
-def frontier(seeds: DataFrame, links: DataFrame, scope: str, max_depth: int, max_pages: int) -> DataFrame:
+def frontier(seeds: DataFrame, links: DataFrame, scope: str, max_depth: int, max_pages: int | None = None) -> DataFrame:
     """url, depth of what a breadth-first crawl reaches: seeds (url), links (url, to); one join a level, new urls only. Each layer is written, so the plan of a level is one join however deep it lies."""
     seen = layer = written(seeds.select(normal_url(F.col("url")).alias("url")).filter(F.col("url").rlike(scope)).distinct().withColumn("depth", F.lit(0)), "layer")
     edge = written(links.select(normal_url(F.col("url")).alias("url"), normal_url(F.col("to")).alias("to")).filter(F.col("to").rlike(scope)).distinct(), "edges")
@@ -177,7 +177,7 @@ def frontier(seeds: DataFrame, links: DataFrame, scope: str, max_depth: int, max
         if layer.isEmpty():
             break
         seen = seen.unionByName(layer)
-    return seen.orderBy("depth", "url").limit(max_pages)
+    return seen if max_pages is None else seen.orderBy("depth", "url").limit(max_pages)
 
 
 def recrawl(known: DataFrame, fetched: DataFrame) -> DataFrame:

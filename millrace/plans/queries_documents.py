@@ -259,12 +259,16 @@ def antijoin_gone(spark, d):
     return crawl_recrawl(spark, d).filter("outcome = 'gone'").select("url_hash")
 
 
-@query("src_crawl")
+@query("src_crawl", f"""
+WITH RECURSIVE e AS (SELECT DISTINCT a.url, b.url AS "to" FROM {_URLS} a JOIN {_URLS} b ON b.page_id BETWEEN a.page_id + 1 AND a.page_id + 3),
+w(url, depth) AS (SELECT DISTINCT url, 0 FROM {_URLS} WHERE page_id % 50 = 0 UNION SELECT e."to", depth + 1 FROM w JOIN e ON e.url = w.url WHERE depth < 4)
+SELECT url, min(depth)::INTEGER AS depth FROM w GROUP BY 1
+""")
 def src_crawl(spark, d):
-    """A crawl over the pages' own hosts: every page links to the pages with the next ids."""
+    """A crawl over the pages' own hosts, from every fiftieth page on: every page links to the pages with the next ids."""
     p = table(spark, d, "pages").select("page_id", "url")
     links = p.select("url", F.explode(F.sequence(F.col("page_id") + 1, F.col("page_id") + 3)).alias("next")).join(p.select(F.col("page_id").alias("next"), F.col("url").alias("to")), "next").select("url", "to")
-    return ingest.frontier(p.filter("page_id = 0"), links, "^https?://", 4, 100_000)
+    return ingest.frontier(p.filter("page_id % 50 = 0"), links, "^https?://", 4)
 
 
 @query("parse_html")

@@ -437,7 +437,14 @@ def win_ideal_dcg(spark, d):
     return ranked.groupBy("query_id").agg(F.round(F.sum((F.pow(F.lit(2.0), "gain") - 1) / F.log2(F.col("n") + 1)), 6).alias("ideal"))
 
 
-@query("eval_compare")
+@query("eval_compare", f"""
+WITH {_RUN_SQL}, other AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS rank FROM run),
+i AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, doc_id) AS n FROM rel), ideal AS (SELECT query_id, sum((pow(2, gain) - 1) / log2(n + 1)) AS ideal FROM i WHERE n <= 5 GROUP BY 1),
+x AS (SELECT 'a' AS w, * FROM run UNION ALL SELECT 'b' AS w, * FROM other), g AS (SELECT w, query_id, sum((pow(2, gain) - 1) / log2(rank + 1)) AS dcg FROM x JOIN rel USING (query_id, doc_id) WHERE rank <= 5 GROUP BY 1, 2),
+m AS (SELECT query_id, round(coalesce(a.dcg / ideal, 0), 6) AS before, round(coalesce(b.dcg / ideal, 0), 6) AS after FROM ideal LEFT JOIN (SELECT * FROM g WHERE w = 'a') a USING (query_id) LEFT JOIN (SELECT * FROM g WHERE w = 'b') b USING (query_id))
+SELECT query_id, before, after, round(after - before, 6) AS delta, CASE WHEN before <> 0 THEN round(round(after - before, 6) / before, 6) END AS relative,
+  CASE WHEN round(after - before, 6) > 1e-9 THEN 'improved' WHEN round(after - before, 6) < -1e-9 THEN 'regressed' ELSE 'unchanged' END AS verdict FROM m
+""")
 def eval_compare(spark, d):
     """The run against one that ranks by id."""
     rel = _relevant(spark, d)

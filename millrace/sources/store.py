@@ -1,7 +1,8 @@
-"""Point stores: namespaces of versioned Parquet generations below a folder, with a manifest that names the live one.
+"""Point stores: namespaces of Parquet generations below a folder, with a manifest that names the live files of each bucket.
 
-Tables aren't changed in place. An upsert or delete writes a new generation beside the old and then renames the next
-numbered manifest into place, so readers see one or the other; of two writers at once the second is told.
+Tables aren't changed in place. Points lie in BUCKETS buckets by a hash of their id; an upsert or delete writes the buckets
+that it touches anew, beside the old ones, and then creates the next numbered manifest, so readers see all of it or nothing
+and other buckets stay as they are; of two writers at once the second is told.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,8 @@ from millrace.functions.filters import compile_filter
 from millrace.operators import search
 
 _NAME = re.compile(r"[a-z0-9_]{1,63}\Z")
+#: A change of one point rewrites one of so many buckets.
+BUCKETS = 16
 SCHEMA = "id string, dense array<float>, document_id string, created_at timestamp, payload variant"
 CAPABILITIES = {"dense": True, "lexical": True, "sparse": True, "filter": True, "max_top_k": search.MAX_TOP_K, "metrics": ["cosine", "dot", "l2"]}
 
@@ -31,6 +34,14 @@ class DimensionError(ValueError):
     pass
 
 
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("id"), F.lit(BUCKETS)).cast("int")
+
+
+def _touched(rows: DataFrame) -> list[int]:
+    return [r[0] for r in rows.select(_bucket().alias("b")).distinct().collect()]  # at most BUCKETS
+
+
 class PointStore:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -80,7 +91,7 @@ class PointStore:
         try:
             had = self._manifest(ns)
         except NamespaceNotFound:
-            self._put(ns, {"dim": dim, "metric": metric, "options": options, "live": None, "generations": []})
+            self._put(ns, {"dim": dim, "metric": metric, "options": options, "live": {}, "generations": 0})
             return
         if (had["dim"], had["metric"]) != (dim, metric):
             raise ValueError(f"{ns} has dimension {had['dim']} and metric {had['metric']}")
@@ -97,15 +108,26 @@ class PointStore:
 
     # points
 
+    def _read(self, ns: str, folders: list[str]) -> DataFrame:
+        return self.spark.read.schema(SCHEMA).parquet(*[f"{self._root(ns)}/{f}" for f in folders]) if folders else self.spark.createDataFrame([], SCHEMA)
+
     def points(self, ns: str) -> DataFrame:
-        live = self._manifest(ns)["live"]
-        return self.spark.read.schema(SCHEMA).parquet(f"{self._root(ns)}/{live}") if live else self.spark.createDataFrame([], SCHEMA)
+        return self._read(ns, sorted(self._manifest(ns)["live"].values()))
 
-    def _replace(self, ns: str, rows: DataFrame) -> None:
+    def _replace(self, ns: str, touched: list[int], new: Callable[[DataFrame], DataFrame]) -> None:
+        """The touched buckets with the rows that new makes of theirs."""
         manifest = self._manifest(ns)
-        name = f"generation-{len(manifest['generations']) + 1:06d}-{uuid.uuid4().hex[:8]}"
-        rows.write.parquet(f"{self._root(ns)}/{name}")
-        self._put(ns, manifest | {"live": name, "generations": [*manifest["generations"], name]})
+        live, number = dict(manifest["live"]), manifest["generations"] + 1
+        name = f"generation-{number:06d}-{uuid.uuid4().hex[:8]}"
+        rows = new(self._read(ns, sorted({live[str(b)] for b in touched if str(b) in live})))
+        rows.withColumn("_bucket", _bucket()).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self._root(ns)}/{name}")
+        fs, p = self._fs(f"{self._root(ns)}/{name}")
+        made = {f.getPath().getName() for f in fs.listStatus(p)}
+        for b in touched:
+            live.pop(str(b), None)
+            if f"_bucket={b}" in made:
+                live[str(b)] = f"{name}/_bucket={b}"
+        self._put(ns, manifest | {"live": live, "generations": number})
 
     def upsert(self, ns: str, new: DataFrame) -> int:
         """Inserts or replaces by id (new: id, dense, payload as JSON text); of rows that repeat an id the one of the greatest payload, then vector, stays. Nothing is written if any vector has another dimension. Returns the rows given."""
@@ -118,7 +140,7 @@ class PointStore:
         v = F.parse_json("payload")
         one = new.groupBy("id").agg(F.max(F.struct("payload", "dense")).alias("one"))
         rows = one.select("id", "one.*").select("id", "dense", F.try_variant_get(v, "$.document_id", "string").alias("document_id"), F.timestamp_seconds(F.try_variant_get(v, "$.created_at", "double")).alias("created_at"), v.alias("payload"))
-        self._replace(ns, self.points(ns).join(rows.select("id"), "id", "left_anti").unionByName(rows))
+        self._replace(ns, _touched(rows), lambda old: old.join(rows.select("id"), "id", "left_anti").unionByName(rows))
         return n
 
     def _condition(self, where: Mapping[str, Any] | None) -> Column:
@@ -134,10 +156,10 @@ class PointStore:
         if where is not None:
             gone = gone & self._condition(where)
         gone = F.coalesce(gone, F.lit(False))
-        before = self.points(ns)
-        n = before.filter(gone).count()
+        hits = self.points(ns).filter(gone)
+        n = hits.count()
         if n:
-            self._replace(ns, before.filter(~gone))
+            self._replace(ns, _touched(hits), lambda old: old.filter(~gone))
         return n
 
     def fetch(self, ns: str, ids: list[str]) -> DataFrame:

@@ -189,3 +189,19 @@ def test_claims_of_two_queues(spark):
     some = O.claim(tasks, limits, now, 10, queues=["embed", "crawl"]).collect()
     assert [r.id for r in some] == [10, 8, 6, 4]
     assert O.claim(tasks, limits, now, 10, queues=[]).collect() == []
+
+
+def test_a_point_rewrites_its_bucket_alone(spark, folder):
+    from millrace.sources.store import PointStore
+
+    store = PointStore(spark, folder)
+    store.ensure("ns", 2)
+    rows = spark.createDataFrame([(f"p{k}", [1.0, float(k)], '{"k":%d}' % k) for k in range(80)], "id string, dense array<float>, payload string")
+    store.upsert("ns", rows)
+    before = store._manifest("ns")["live"]
+    store.upsert("ns", rows.filter("id = 'p7'").withColumn("payload", F.lit('{"k":-7}')))
+    after = store._manifest("ns")["live"]
+    assert len(before) == len(after) > 10 and sum(before[b] != after[b] for b in before) == 1
+    assert store.count("ns") == 80 and store.count("ns", {"k": -7}) == 1
+    assert store.delete("ns", ids=["p1", "none"]) == 1 and store.delete("ns", where={"k": {"$gte": 40}}) == 40 and store.count("ns") == 39
+    assert store.delete("ns", where={}) == 39 and store.points("ns").count() == 0 and store._manifest("ns")["live"] == {}
