@@ -27,6 +27,11 @@ def truncated(text: Column, most: int) -> Column:
     return F.regexp_extract(F.coalesce(text, F.lit("")), rf"^(?s)(?:[^\p{{L}}\p{{N}}]*[\p{{L}}\p{{N}}]+){{0,{most}}}", 0)
 
 
+def scanned(chars: Column, pages: Column, least: int = 100) -> Column:
+    """Whether a document has so few letters a page that it must be pictures of text; without pages it isn't."""
+    return F.coalesce((pages > 0) & (chars < pages * least), F.lit(False))
+
+
 def slug(name: Column, fallback: str = "kb", most: int = 200) -> Column:
     made = F.substring(F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, most)
     return F.when(F.coalesce(made, F.lit("")) == "", F.lit(fallback)).otherwise(made)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions import scalars as S
 from millrace.functions import text as T
 
 # What can't be changed once a base has an active version, and what asks for a rebuild when it changes.
@@ -197,3 +198,51 @@ def duplicate(bases: DataFrame, requests: DataFrame) -> DataFrame:
     taken = bases.select("workspace_id", "slug", F.lit(True).alias("_taken")).distinct()
     free = named.join(taken, ["workspace_id", "slug"], "left").withColumn("slug", F.when(F.col("_taken"), F.concat("slug", F.lit("-"), F.substring(F.sha2(F.col("new_id").cast("string"), 256), 1, 8))).otherwise(F.col("slug")))
     return free.withColumns({"kb_id": F.col("new_id"), "active_index_version": F.lit(None).cast(bases.schema["active_index_version"].dataType), "config_version": F.lit(1)}).select(*bases.columns)
+
+
+#: The least characters of a reason, and what such a grant holds (fixed values).
+LEAST_REASON, BREAK_GLASS = 20, ["kb:read", "kb:query"]
+
+
+def open_break_glass(requests: DataFrame, actors: DataFrame, now: Column, minutes: int = 60) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(grants, audit rows, request_id and outcome) of requests (request_id, actor, kb_id, reason): only administrators, with a reason worth the name, for a bounded time. actors: actor, is_admin, kind."""
+    asked = requests.join(actors, "actor", "left").withColumn("reason", F.trim("reason"))
+    admin = F.coalesce(F.col("is_admin") & (F.col("kind") == "user"), F.lit(False))
+    outcome = F.when(~admin, "PERMISSION_DENIED").when(F.coalesce(F.length("reason"), F.lit(0)) < LEAST_REASON, "BREAK_GLASS_REASON_REQUIRED").otherwise("opened")
+    told = asked.withColumn("outcome", outcome)
+    expires = now + F.make_dt_interval(mins=F.lit(minutes))
+    grants = told.filter("outcome = 'opened'").select(
+        "request_id", F.col("actor").alias("subject"), F.col("kb_id").alias("resource"), F.array(*map(F.lit, BREAK_GLASS)).alias("permissions"), F.col("actor").alias("granted_by"), "reason", F.lit(True).alias("is_break_glass"), expires.alias("expires_at")
+    )
+    audit = grants.select(F.lit("break_glass.open").alias("action"), F.col("subject").alias("actor"), F.col("resource").alias("resource_id"), F.to_json(F.struct("reason", F.col("expires_at").cast("string").alias("expires_at"))).alias("detail"))
+    return grants, audit, told.select("request_id", "outcome")
+
+
+def admin_permissions(admins: DataFrame, bases: DataFrame, grants: DataFrame, policy: str) -> DataFrame:
+    """What administrators hold on the bases of their workspace: actor, kb_id, permissions (sorted), readable.
+
+    They manage every base. Its content is theirs to read by the policy: always; on_grant or break_glass: only by a live
+    grant of their own. admins: actor, workspace_id; bases: kb_id, workspace_id; grants: subject, resource, permissions.
+    """
+    if policy not in ("always", "on_grant", "break_glass"):
+        raise ValueError(f"no content policy {policy!r}")
+    own = grants.select(F.col("subject").alias("actor"), F.col("resource").alias("kb_id"), F.explode("permissions").alias("p")).groupBy("actor", "kb_id").agg(F.collect_set("p").alias("held"))
+    both = admins.join(bases.select("kb_id", "workspace_id"), "workspace_id").join(own, ["actor", "kb_id"], "left")
+    given = F.array(F.lit("kb:manage"), *([F.lit("kb:query"), F.lit("kb:read")] if policy == "always" else []))
+    held = F.coalesce("held", F.expr("cast(array() as array<string>)"))
+    made = both.select("actor", "kb_id", F.array_sort(F.array_union(given, held)).alias("permissions"))
+    return made.withColumn("readable", F.array_contains("permissions", "kb:read"))
+
+
+def append_audit(rows: DataFrame, path: str, at: str = "at") -> None:
+    """Appends audit rows (before, after and detail as JSON text) below a folder for each month, with the values of secret keys hidden in before and after."""
+    clean = rows.withColumns({c: S.redacted(F.col(c)) for c in ("before", "after")}).withColumn("month", F.date_format(at, "yyyy-MM"))
+    clean.withColumn("detail", F.coalesce("detail", F.lit("{}"))).hint("rebalance", F.col("month")).write.mode("append").partitionBy("month").parquet(path)
+
+
+def set_progress(tasks: DataFrame, reports: DataFrame) -> DataFrame:
+    """tasks (id, progress_done, progress_total) after reports (id, at, done, total; a null total: as it is), the latest of each, with percent kept within 0 and 100."""
+    last = reports.groupBy("id").agg(F.max_by(F.struct("done", "total"), "at").alias("_r"))
+    rows = tasks.join(last, "id", "left").withColumns({"progress_done": F.coalesce("_r.done", "progress_done"), "progress_total": F.coalesce("_r.total", "progress_total")}).drop("_r")
+    share = F.floor(100 * F.col("progress_done") / F.col("progress_total"))
+    return rows.withColumn("percent", F.when(F.col("progress_total") > 0, F.least(F.lit(100), F.greatest(F.lit(0), share))).cast("int"))

@@ -51,12 +51,14 @@ def agg_sum_tokens(spark, d):
     return _docs(spark, d).groupBy("lang").agg(F.count("*").alias("docs"), F.sum(T.token_count(F.col("text"))).alias("tokens"))
 
 
-@query("agg_count_chunks", "SELECT source, count(*) AS n FROM documents GROUP BY 1")
-def agg_count_chunks(spark, d):
-    return _docs(spark, d).groupBy("source").agg(F.count("*").alias("n"))
+_CHUNKS_SQL = f"""WITH w AS (SELECT doc_id, {_TOK} AS w FROM documents), c AS (SELECT doc_id, i AS ordinal, w[i * 80 + 1 : i * 80 + 100] AS p FROM (SELECT doc_id, w, unnest(range(0, greatest(0, len(w) - 20 - 1) // 80 + 1)) AS i FROM w WHERE len(w) > 0))"""
 
 
-_CHUNKS_SQL = f"""WITH w AS (SELECT doc_id, {_TOK} AS w FROM documents), c AS (SELECT doc_id, i AS ordinal, w[i * 80 + 1 : i * 80 + 100] AS p FROM (SELECT doc_id, w, unnest(range(0, greatest(0, len(w) - 20 - 1) // 80 + 1)) AS i FROM w WHERE len(w) > 0))"""
+@query("agg_count_chunks", _CHUNKS_SQL + " SELECT source, count(DISTINCT doc_id) AS documents, count(*) AS chunks, sum(len(p))::BIGINT AS tokens FROM c JOIN documents USING (doc_id) GROUP BY 1")
+def agg_count_chunks(spark, d):
+    """Documents, chunks and tokens of each source."""
+    chunks = ingest.fixed_chunks(_docs(spark, d), 100, 20).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("token_count").alias("t"))
+    return chunks.join(_docs(spark, d).select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count("*").alias("documents"), F.sum("n").alias("chunks"), F.sum("t").alias("tokens"))
 
 
 @query("chunk_fixed", _CHUNKS_SQL + " SELECT doc_id, ordinal, len(p) AS token_count, sha256(array_to_string(p, ' ')) AS content_hash FROM c")
@@ -115,6 +117,12 @@ def fn_redact(spark, d):
     return table(spark, d, "events").select("event_id", S.redacted(made).alias("detail"))
 
 
+@query("fn_scanned", "SELECT doc_id, n_chars < 100 * (1 + doc_id % 30) AS scanned FROM documents")
+def fn_scanned(spark, d):
+    """Documents as if they had so many pages: fewer than a hundred letters a page are a scan."""
+    return _docs(spark, d).select("doc_id", T.scanned(F.col("n_chars"), 1 + F.col("doc_id") % 30).alias("scanned"))
+
+
 @query("fn_uuid7", """
 WITH m AS (SELECT event_id, lpad(lower(to_hex(epoch_us(ts) // 1000)), 12, '0') AS t, md5(event_id::VARCHAR) AS r FROM events)
 SELECT event_id, t[1:8] || '-' || t[9:12] || '-7' || r[1:3] || '-' || ['8', '9', 'a', 'b'][(instr('0123456789abcdef', r[4:4]) - 1) % 4 + 1] || r[5:7] || '-' || r[8:19] AS id FROM m

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.operators import knowledge as K
 from millrace.plans.base import query
 from millrace.plans.queries_tables import NOW, _now
-from millrace.sources.tables import table
+from millrace.sources.tables import shared_folder, table
 
 _BASES_SQL = f"""(SELECT c_custkey AS kb_id, c_nationkey AS workspace_id, c_name AS name, 'base-' || c_custkey % 40 AS slug, c_custkey % 4 AS embedding_model_id, 'cosine' AS metric, c_nationkey % 5 AS binding_id,
   '{{"size":512}}' AS chunk_config, 1 AS config_version, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey % 7 + 1 END AS active_index_version, c_custkey % 20 AS owner,
@@ -285,3 +285,61 @@ def settings_patch(spark, d):
     rows = table(spark, d, "events").select("event_id", patch.alias("patch"))
     new = F.parse_json(K.merged(F.lit('{"k":10,"dark":false}'), F.col("patch"), ["k", "dark"]))
     return rows.select("event_id", F.try_variant_get(new, "$.k", "long").alias("k"), F.try_variant_get(new, "$.dark", "boolean").alias("dark"), F.array_contains(F.json_object_keys("patch"), "k").alias("restart"))
+
+
+@query("break_glass", f"""
+WITH r AS (SELECT o_orderkey AS request_id, o_custkey AS actor, trim(CASE WHEN o_orderkey % 4 = 0 THEN '  too short  ' ELSE 'incident ' || o_orderkey || ' needs a look' END) AS reason FROM orders)
+SELECT request_id, CASE WHEN c_custkey IS NULL OR c_custkey % 5 <> 0 OR c_custkey % 3 = 0 THEN 'PERMISSION_DENIED' WHEN length(reason) < 20 THEN 'BREAK_GLASS_REASON_REQUIRED' ELSE 'opened' END AS outcome,
+  CASE WHEN c_custkey % 5 = 0 AND c_custkey % 3 <> 0 AND length(reason) >= 20 THEN TIMESTAMP '{NOW}' + INTERVAL 60 MINUTE END AS expires_at
+FROM r LEFT JOIN customer ON c_custkey = actor
+""")
+def break_glass(spark, d):
+    """Administrators open bases for an hour, with a reason; each opening is a grant and an audit row."""
+    k, c = F.col("o_orderkey"), F.col("c_custkey")
+    reason = F.when(k % 4 == 0, "  too short  ").otherwise(F.concat(F.lit("incident "), k.cast("string"), F.lit(" needs a look")))
+    asked = table(spark, d, "orders").select(k.alias("request_id"), F.col("o_custkey").alias("actor"), (k % 7).alias("kb_id"), reason.alias("reason"))
+    actors = table(spark, d, "customer").select(c.alias("actor"), (c % 5 == 0).alias("is_admin"), F.when(c % 3 == 0, "key").otherwise("user").alias("kind"))
+    grants, _, told = K.open_break_glass(asked, actors, _now())
+    return told.join(grants.select("request_id", "expires_at"), "request_id", "left")
+
+
+@query("content_policy", f"""
+WITH a AS (SELECT c_custkey AS actor, c_nationkey AS workspace_id FROM customer WHERE c_custkey % 50 = 0), g AS (SELECT DISTINCT o_custkey AS actor, o_orderkey % 200 AS kb_id FROM orders WHERE o_orderkey % 3 = 0)
+SELECT a.actor, b.kb_id, CASE WHEN g.actor IS NULL THEN ['kb:manage'] ELSE ['kb:manage', 'kb:query', 'kb:read'] END AS permissions, g.actor IS NOT NULL AS readable
+FROM a JOIN {_BASES_SQL} b USING (workspace_id) LEFT JOIN g ON g.actor = a.actor AND g.kb_id = b.kb_id
+""")
+def content_policy(spark, d):
+    """Administrators manage all bases of their workspace and read those that a grant opens to them."""
+    admins = table(spark, d, "customer").filter("c_custkey % 50 = 0").select(F.col("c_custkey").alias("actor"), F.col("c_nationkey").alias("workspace_id"))
+    grants = table(spark, d, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("subject"), (F.col("o_orderkey") % 200).alias("resource"), F.array(F.lit("kb:read"), F.lit("kb:query")).alias("permissions"))
+    return K.admin_permissions(admins, _bases(spark, d), grants, "break_glass")
+
+
+@query("audit_append", """
+SELECT strftime(ts, '%Y-%m') AS month, event_id, '{"token":"[redacted]","k":' || event_id % 7 || '}' AS before, '{"list":[{"api-key":"[redacted]"}],"name":"n' || event_id % 5 || '"}' AS after, coalesce(props, '{}') AS detail FROM events
+""")
+def audit_append(spark, d):
+    """Events as changes: appended twice (the second half later) to month folders, secrets hidden, and read again."""
+    k = F.col("event_id")
+    rows = table(spark, d, "events").select(
+        "event_id", F.col("ts").alias("at"), F.concat(F.lit('{"token":"t'), k.cast("string"), F.lit('","k":'), (k % 7).cast("string"), F.lit("}")).alias("before"),
+        F.concat(F.lit('{"list":[{"api-key":'), k.cast("string"), F.lit('}],"name":"n'), (k % 5).cast("string"), F.lit('"}')).alias("after"), F.col("props").alias("detail"),
+    )
+    path = shared_folder(spark, "audit")
+    for half in (0, 1):
+        K.append_audit(rows.filter(k % 2 == half), path)
+    back = spark.read.schema("event_id long, before string, after string, detail string, month string").parquet(path)
+    return back.select("month", "event_id", "before", "after", "detail")
+
+
+@query("q_progress", """
+WITH r AS (SELECT l_orderkey AS id, arg_max(struct_pack(done := l_linenumber * 30, total := CASE WHEN l_linenumber % 2 = 0 THEN 100 END), l_linenumber) AS r FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) GROUP BY 1)
+SELECT o_orderkey AS id, coalesce(r.done, 0)::BIGINT AS progress_done, coalesce(r.total, 50)::BIGINT AS progress_total, least(100, greatest(0, floor(100.0 * coalesce(r.done, 0) / coalesce(r.total, 50))))::INTEGER AS percent
+FROM orders LEFT JOIN r ON id = o_orderkey
+""")
+def q_progress(spark, d):
+    """Lines of orders as reports of their tasks: the last counts, a total that isn't given stays."""
+    tasks = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit(0).cast("long").alias("progress_done"), F.lit(50).cast("long").alias("progress_total"))
+    n = F.col("l_linenumber").cast("long")
+    reports = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), n.alias("at"), (n * 30).alias("done"), F.when(n % 2 == 0, F.lit(100).cast("long")).alias("total"))
+    return K.set_progress(tasks, reports).select("id", "progress_done", "progress_total", "percent")

@@ -477,6 +477,13 @@ def compress(spark, d):
 _PROFILE_SQL = f"p AS (SELECT lang AS target, term, round(count(*)::DOUBLE / any_value(n), 6) AS weight FROM (SELECT lang, unnest(list_distinct({_TOK})) AS term FROM documents) JOIN (SELECT lang, count(*) AS n FROM documents GROUP BY 1) USING (lang) GROUP BY 1, 2 HAVING count(*) >= 20)"
 
 
+def _profiles(docs: DataFrame) -> DataFrame:
+    """target (a language), term, weight: the share of its documents that hold the term, for terms in twenty documents or more."""
+    sizes = docs.groupBy("lang").agg(F.count("*").alias("n"))
+    held = docs.select("lang", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("held")).filter("held >= 20")
+    return held.join(F.broadcast(sizes), "lang").select(F.col("lang").alias("target"), "term", F.round(F.col("held") / F.col("n"), 6).alias("weight"))
+
+
 @query("route", f"""
 WITH {_PROFILE_SQL}, w AS (SELECT item_id AS query_id, unnest(list_distinct({_TOK})) AS term FROM benchmark),
 s AS (SELECT query_id, target, round(sum(weight), 6) AS score FROM w JOIN p USING (term) GROUP BY 1, 2)
@@ -484,12 +491,8 @@ SELECT query_id, target, rank FROM (SELECT *, row_number() OVER (PARTITION BY qu
 """)
 def route(spark, d):
     """The two bases (one a language) whose usual words weigh most in each benchmark passage."""
-    docs = table(spark, d, "documents")
-    sizes = docs.groupBy("lang").agg(F.count("*").alias("n"))
-    held = docs.select("lang", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("held")).filter("held >= 20")
-    profiles = held.join(F.broadcast(sizes), "lang").select(F.col("lang").alias("target"), "term", F.round(F.col("held") / F.col("n"), 6).alias("weight"))
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return retrieval.route(queries, profiles, 2).select("query_id", "target", "rank")
+    return retrieval.route(queries, _profiles(table(spark, d, "documents")), 2).select("query_id", "target", "rank")
 
 
 @query("union_targets", _BM25_SQL + """, d2 AS (SELECT query_id, doc_id, score, lang, row_number() OVER (PARTITION BY query_id, lang ORDER BY score DESC, doc_id) AS rank FROM r JOIN documents USING (doc_id) WHERE score > 0)
@@ -515,3 +518,30 @@ def rewrite_multi(spark, d):
     forms = {10: ["the", "idiot"], 11: ["idiot"], 20: ["pathetic", "clown"], 21: ["clown"]}
     lists = search.bm25(table(spark, d, "documents"), forms, 30)
     return search.rrf(lists.select(F.floor(F.col("query_id") / 10).cast("int").alias("query_id"), F.col("query_id").cast("string").alias("list"), "doc_id", "rank"), "doc_id")
+
+
+@query("fn_language", f"""
+WITH {_PROFILE_SQL}, w AS (SELECT doc_id AS query_id, unnest(list_distinct({_TOK})) AS term FROM documents),
+s AS (SELECT query_id, target, round(sum(weight), 6) AS score FROM w JOIN p USING (term) GROUP BY 1, 2)
+SELECT query_id AS doc_id, target AS language FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, target) AS rank FROM s) WHERE rank = 1
+""")
+def fn_language(spark, d):
+    """The language whose usual words weigh most in a document, by profiles that are a table, so any others may take their place."""
+    docs = table(spark, d, "documents")
+    return retrieval.route(docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")), _profiles(docs)).select(F.col("query_id").alias("doc_id"), F.col("target").alias("language"))
+
+
+@query("golden_generate", f"""
+WITH d AS (SELECT doc_id, text FROM documents WHERE regexp_matches(coalesce(text, ''), '[\\p{{L}}\\p{{N}}]') ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT 100),
+cs AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_SENTENCE}')) AS s, generate_subscripts(regexp_extract_all(text, '{_SENTENCE}'), 1) AS k FROM d),
+ct AS (SELECT doc_id, k, trim(CASE WHEN k > 1 THEN regexp_replace(s, '^\\s+', '') ELSE s END) AS s FROM cs),
+cn AS (SELECT *, len(list_distinct(regexp_extract_all(lower(s), '[\\p{{L}}\\p{{N}}]+'))) AS n FROM ct WHERE s <> '')
+SELECT doc_id, s AS query, FALSE AS reviewed FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, k) AS o FROM cn) WHERE o = 1
+""")
+def golden_generate(spark, d):
+    """For a sample of a hundred documents the sentence of the most different words as a query that should find it; none counts until it is reviewed."""
+    docs = table(spark, d, "documents").select("doc_id", "text").filter(F.coalesce("text", F.lit("")).rlike(T.TOKEN))
+    some = docs.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(100)
+    each = some.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("k", "s"))
+    best = each.groupBy("doc_id").agg(F.min_by(F.trim("s"), F.struct(-F.size(F.array_distinct(T.tokens(F.col("s")))), F.col("k"))).alias("query"))
+    return best.select("doc_id", "query", F.lit(False).alias("reviewed"))

@@ -28,11 +28,6 @@ def q_heartbeat(spark, d):
     return _tasks(spark, d).select("id", F.when(F.col("state") == "running", _now() + F.expr("INTERVAL 60 SECONDS")).otherwise(F.col("lease_until")).alias("lease_until"))
 
 
-@query("q_progress", f"SELECT id, least(100, greatest(0, priority * 30 - 10)) AS progress FROM {_TASKS_SQL} WHERE state = 'running'")
-def q_progress(spark, d):
-    return _tasks(spark, d).filter("state = 'running'").select("id", F.least(F.lit(100), F.greatest(F.lit(0), F.col("priority") * 30 - 10)).alias("progress"))
-
-
 @query("q_retry", f"SELECT id, CASE WHEN state = 'done' AND error_code = 'TIMEOUT' THEN 'ready' ELSE state END AS state, CASE WHEN state = 'done' AND error_code = 'TIMEOUT' THEN 0 ELSE attempt END AS attempt FROM {_TASKS_SQL}")
 def q_retry(spark, d):
     again = (F.col("state") == "done") & (F.col("error_code") == "TIMEOUT")
@@ -73,11 +68,6 @@ def iv_expired(spark, d):
     return _versions(spark, d).filter((F.col("state") == "retired") & (F.col("started_at") + F.expr("INTERVAL 24 HOURS") < F.to_timestamp_ntz(F.lit("1996-01-01")))).select("kb_id", "version")
 
 
-@query("audit_append", "SELECT event_id, strftime(ts, '%Y-%m') AS month, sha256(coalesce(props, '')) AS after_hash FROM events")
-def audit_append(spark, d):
-    return table(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM").alias("month"), F.sha2(F.coalesce("props", F.lit("")), 256).alias("after_hash"))
-
-
 @query("key_auth", f"SELECT e.event_id, g.subject FROM events e JOIN (SELECT id, subject, sha256('key' || id) AS h FROM {_GRANTS_SQL} WHERE revoked_at IS NULL AND (expires_at IS NULL OR expires_at > TIMESTAMP '{NOW}')) g ON sha256('key' || e.event_id) = g.h")
 def key_auth(spark, d):
     from millrace.operators.tables import live_grant
@@ -87,11 +77,6 @@ def key_auth(spark, d):
     return asked.join(keys, "h").select("event_id", "subject")
 
 
-@query("break_glass", "SELECT c_custkey, length(trim(c_name)) >= 20 AS reason_ok, TIMESTAMP '1998-09-01' + INTERVAL 60 MINUTE AS expires_at FROM customer")
-def break_glass(spark, d):
-    return table(spark, d, "customer").select("c_custkey", (F.length(F.trim("c_name")) >= 20).alias("reason_ok"), (_now() + F.expr("INTERVAL 60 MINUTES")).alias("expires_at"))
-
-
 @query("session_expire", "SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR")
 def session_expire(spark, d):
     e = table(spark, d, "events")
@@ -111,12 +96,6 @@ def obj_keys(spark, d):
     return table(spark, d, "documents").select("doc_id", F.concat_ws("/", F.lit("ws"), "source", F.lit("kb"), "lang", F.lit("doc"), F.col("doc_id").cast("string"), F.lit("original")).alias("key"))
 
 
-@query("golden_generate", "SELECT doc_id, split_part(text, chr(10), 1) AS query, FALSE AS reviewed FROM documents ORDER BY md5(doc_id::VARCHAR), doc_id LIMIT 100")
-def golden_generate(spark, d):
-    some = table(spark, d, "documents").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(100)
-    return some.select("doc_id", F.split_part("text", F.lit("\n"), F.lit(1)).alias("query"), F.lit(False).alias("reviewed"))
-
-
 @query("proj_views", "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS kind, round(c_acctbal, 2) AS balance, n_name AS nation FROM customer JOIN nation ON n_nationkey = c_nationkey")
 def proj_views(spark, d):
     made = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
