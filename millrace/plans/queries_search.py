@@ -334,14 +334,14 @@ def mcp_search(spark, d):
 
 
 @query("dify_shape", _HITS_SQL + """
-SELECT query_id, list(sha256(text) ORDER BY rank) AS contents, list(source ORDER BY rank) AS titles, list(score ORDER BY rank) AS scores FROM h JOIN documents USING (doc_id) WHERE rank <= 5 AND score >= 0.5 GROUP BY query_id
+SELECT query_id, list(doc_id ORDER BY rank) AS doc_ids, list(sha256(text) ORDER BY rank) AS contents, list(source ORDER BY rank) AS titles, list(score ORDER BY rank) AS scores FROM h JOIN documents USING (doc_id) GROUP BY query_id
 """)
 def dify_shape(spark, d):
-    """records of each query, best first, above a threshold: content (whole; its digest here), title and score."""
-    docs = table(spark, d, "documents").join(F.broadcast(_hits(spark, d).filter("rank <= 5 AND score >= 0.5")), "doc_id")
-    record = F.struct("rank", F.sha2("text", 256).alias("content"), F.col("source").alias("title"), "score")
+    """records of each query, all hits, best first: id, content (whole; its digest here), title and score."""
+    docs = table(spark, d, "documents").join(F.broadcast(_hits(spark, d)), "doc_id")
+    record = F.struct("rank", "doc_id", F.sha2("text", 256).alias("content"), F.col("source").alias("title"), "score")
     made = docs.groupBy("query_id").agg(F.array_sort(F.collect_list(record)).alias("records"))
-    return made.select("query_id", F.col("records.content").alias("contents"), F.col("records.title").alias("titles"), F.col("records.score").alias("scores"))
+    return made.select("query_id", F.col("records.doc_id").alias("doc_ids"), F.col("records.content").alias("contents"), F.col("records.title").alias("titles"), F.col("records.score").alias("scores"))
 
 
 @query("highlights", "SELECT doc_id, term, instr(lower(text), term) - 1 AS start_at, instr(lower(text), term) - 1 + length(term) AS end_at FROM documents, (VALUES ('idiot'), ('clown')) AS t(term) WHERE contains(lower(text), term)")

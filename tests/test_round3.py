@@ -14,3 +14,12 @@ def test_titles_of_pages_are_as_their_source_has_them(spark, folder):
     spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{folder}/pages.parquet")
     got = {r.page_id: r.title for r in queries_ingest.page_markdown(spark, folder).collect()}
     assert got == {0: "a && b&amp", 1: "t = &quot;0b", 2: "x", 3: None, 4: None}
+
+
+def test_records_of_a_search_hold_all_hits(spark):
+    hits = {}
+    for r in queries_search._hits(spark, SF).collect():
+        hits.setdefault(r.query_id, []).append((r["rank"], r.doc_id, r.score))
+    assert max(map(len, hits.values())) > 5
+    got = {r.query_id: list(zip(r.doc_ids, r.scores)) for r in queries_search.dify_shape(spark, SF).collect()}
+    assert got == {q: [(d, s) for _, d, s in sorted(h)] for q, h in hits.items()}
