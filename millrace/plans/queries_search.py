@@ -142,11 +142,11 @@ s AS (SELECT query_id, vec_id, round(list_sum(list_transform(range(1, len(q) + 1
 SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s WHERE score > 0) WHERE rank <= 20
 """)
 def sparse_dot(spark, d):
-    """Sparse vectors (the large entries of all dimensions): terms of points and queries meet by a join, weights are summed by pair."""
-    each = _points(spark, d).select("vec_id", F.posexplode(F.transform("embedding", lambda c: c.cast("double"))).alias("term", "weight"))
-    terms = each.filter(F.abs("weight") >= 0.1)
-    asked = each.filter((F.col("vec_id") % 50 == 0) & (F.abs("weight") >= 0.2)).select(F.col("vec_id").alias("query_id"), "term", F.col("weight").alias("asked"))
-    return search.sparse_batch(terms, asked, 20).select("query_id", "vec_id", "score")
+    """Sparse vectors (the large entries of all dimensions): the queries' terms go to the points, weights are summed by pair."""
+    each = _points(spark, d).select("vec_id", F.transform(V.doubles(F.col("embedding")), lambda c, i: F.struct(i.alias("term"), c.alias("weight"))).alias("t"))
+    terms = each.select("vec_id", F.filter("t", lambda x: F.abs(x["weight"]) >= 0.1).alias("t")).select("vec_id", F.col("t.term").alias("terms"), F.col("t.weight").alias("weights"))
+    asked = each.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.explode("t").alias("x")).select("query_id", "x.term", F.col("x.weight").alias("asked")).filter(F.abs("asked") >= 0.2)
+    return search.sparse_points(terms, asked, 20).select("query_id", "vec_id", "score")
 
 
 _TOK = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+')"

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from millrace.operators import search
 from millrace.plans import queries_ingest, queries_search
 
 SF = "/root/testdata/sf0.001"
@@ -23,3 +27,31 @@ def test_records_of_a_search_hold_all_hits(spark):
     assert max(map(len, hits.values())) > 5
     got = {r.query_id: list(zip(r.doc_ids, r.scores)) for r in queries_search.dify_shape(spark, SF).collect()}
     assert got == {q: [(d, s) for _, d, s in sorted(h)] for q, h in hits.items()}
+
+
+def _joins(df):
+    """How often a plan joins points with queries."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Join")
+
+
+def test_sparse_search_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    points = [(k, f"t{t}", float(rng.integers(-9, 9))) for k in range(300) for t in rng.integers(0, 40, 12).tolist()]
+    asked = [(q, f"t{t}", float(rng.integers(-3, 9))) for q in range(30) for t in rng.integers(0, 50, 5).tolist()]
+    found = {}
+    for q, t, a in asked:
+        for k, u, w in points:
+            if t == u:
+                found[q, k] = found.get((q, k), 0.0) + a * w
+    best = {}
+    for (q, k), s in found.items():
+        if s > 0:
+            best.setdefault(q, []).append((-s, k))
+    expected = {(q, k, -s, r) for q, x in best.items() for r, (s, k) in enumerate(sorted(x)[:7], 1)}
+    frames = spark.createDataFrame(points, "vec_id long, term string, weight double"), spark.createDataFrame(asked, "query_id int, term string, asked double")
+    for scores, block in ((1 << 20, 1 << 20), (200, 20)):
+        monkeypatch.setattr(search, "TILE_SCORES", scores)
+        monkeypatch.setattr(search, "TERM_BLOCK", block)
+        made = search.sparse_batch(*frames, 7)
+        assert _joins(made) == 0  # pairs are never rows: queries go to the points
+        assert {tuple(r) for r in made.collect()} == expected
