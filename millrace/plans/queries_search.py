@@ -110,7 +110,7 @@ def normalize_vec(spark, d):
 
 @query("quantize", _dense_sql(_COS))
 def quantize(spark, d):
-    return search.quantized(_points(spark, d), _vector(spark, d), k=10, oversample=10.0)
+    return search.quantized(_points(spark, d), _vector(spark, d), k=10)
 
 
 #: Cells that a query of ann_index reads, of 32; README has the recall.

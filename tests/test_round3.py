@@ -29,6 +29,17 @@ def test_records_of_a_search_hold_all_hits(spark):
     assert got == {q: [(d, s) for _, d, s in sorted(h)] for q, h in hits.items()}
 
 
+def test_int8_search_finds_the_best_among_many_near_copies(spark):
+    rng = np.random.default_rng(5)
+    q = rng.normal(size=16)
+    rows = [(k, [float(x) for x in q + rng.normal(size=16) * 0.003]) for k in range(1500)]
+    rows += [(1500, [0.0] * 16), (1501, [float(x) for x in -q])]
+    points = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert search.quantized(points, q, 10).collect() == search.dense(points, q, 10).collect()
+    few = points.filter("vec_id >= 1495")
+    assert search.quantized(few, q, 10).collect() == search.dense(few, q, 10).collect()
+
+
 def _joins(df):
     """How often a plan joins points with queries."""
     return df._jdf.queryExecution().executedPlan().toString().count("Join")
