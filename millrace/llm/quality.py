@@ -4,9 +4,10 @@ A text is compressed with zstandard whole and in chunks of a fixed size (the res
 bytes). Each ratio (bytes before over bytes after) must lie in a band that depends on the length of what was compressed:
 repetitive or decorated text lies above it, incompressible text (encoded or random) below.
 
-The bands are learned from labelled good texts, at most SAMPLE_ROWS of them (by a hash of the text): for each half octave
+The bands are learned from all distinct labelled good texts: for each half octave
 of length the median ratio, and above and below it, by octave, WIDE times the distance from the median line to the
-quantiles EDGE and 1 - EDGE of its texts. An octave of fewer than LEAST_ROWS texts takes the plain limits of WHOLE, which
+quantiles EDGE and 1 - EDGE of its texts. Quantiles are read off counts of ratios in steps of GRAIN, so that what reaches the driver is bounded by the
+steps that occur, whatever the number of texts. An octave of fewer than LEAST_ROWS texts takes the plain limits of WHOLE, which
 fit ordinary prose. Letters of two or three bytes hold more bytes for the same words, so upper limits grow with the bytes a
 code point beyond those of the learning rows.
 
@@ -21,7 +22,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import shared, textnum
@@ -38,7 +39,8 @@ WHOLE = (
     (0, 0.4, 1.2), (64, 0.7, 1.7), (128, 0.9, 2.4), (256, 1.1, 2.4), (512, 1.2, 2.4), (1024, 1.3, 2.6),
     (2048, 1.35, 2.7), (4096, 1.4, 2.8), (8192, 1.4, 2.9), (16384, 1.4, 3.2), (65536, 1.4, 3.6),
 )
-SAMPLE_ROWS = 20_000
+#: The steps in which ratios (by their logarithm to 2: 0.017 %) and distances from the median line are counted.
+GRAIN = 1 / 4096
 LEAST_ROWS = 40
 EDGE, WIDE = 0.002, 1.3
 LEAST_CHUNK = 512
@@ -111,8 +113,16 @@ def _compressor(state: dict, bands: Bands):
     return state.get("z") or state.setdefault("z", zstandard.ZstdCompressor(level=bands.level, write_content_size=False, write_checksum=False))
 
 
-def fit_bands(good: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS, bands: Bands = Bands()) -> Bands:
-    """The bands of good texts."""
+def quantile(steps: np.ndarray, counts: np.ndarray, share: float) -> float:
+    """The quantile, between neighbours by a line as numpy has it, of values in rising steps that stand so often."""
+    ends = np.cumsum(counts)
+    at = share * (ends[-1] - 1)
+    low, high = (float(steps[np.searchsorted(ends, x, "right")]) for x in (np.floor(at), np.ceil(at)))
+    return low + (high - low) * (at - np.floor(at))
+
+
+def fit_bands(good: DataFrame, text: str = "text", bands: Bands = Bands()) -> Bands:
+    """The bands of good texts, each distinct one counted once."""
     state: dict = {}
 
     def work(data: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
@@ -120,30 +130,46 @@ def fit_bands(good: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROW
         texts = [raw[i:j] for i, j in zip(offsets[:-1], offsets[1:])]
         return [pa.array([len(t) for t in texts], pa.int64()), pa.array([len(t) / len(z.compress(t)) if t else 1.0 for t in texts])]
 
-    some = good.filter(F.length(text) > 0).select(F.col(text).alias("t"))
-    n = some.count()
-    part = F.pmod(F.xxhash64(F.lit(3), "t"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_rows / max(n, 1)))
-    found = some.filter(part).distinct().select(shared.text_udf(work, "size long, ratio double")(F.col("t")).alias("m")).select("m.*").toArrow()  # a bounded sample of two numbers a row
-    at, ratio = np.log2(np.maximum(found["size"].to_numpy(), 1)), found["ratio"].to_numpy()
-    if len(at) < LEAST_ROWS:
+    some = good.filter(F.length(text) > 0).select(F.xxhash64(F.lit(3), text).alias("h"), F.xxhash64(F.lit(4), text).alias("i"), shared.text_udf(work, "size long, ratio double")(F.col(text)).alias("m"))
+    one = some.select("h", "i", "m.*").groupBy("h", "i", "size").agg(F.min("ratio").alias("ratio"))  # equal texts have equal ratios
+    rows = shared.written(one.select(F.log2("size").alias("at"), "ratio"), "ratios")
+
+    def counted(value: Column, knots: np.ndarray, width: float) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Steps of value, rising, and their counts, of the texts within width of each knot: sums over the rows, of which the driver gets the steps that occur."""
+        near = F.filter(F.array(*[F.lit(float(k)) for k in knots]), lambda k: F.abs(F.col("at") - k) <= width)
+        found = rows.select(F.explode(near).alias("knot"), value.alias("step")).groupBy("knot", "step").agg(F.count("*").alias("n")).toArrow()
+        knot, step, n = (found[c].to_numpy() for c in ("knot", "step", "n"))
+        order = np.argsort(step, kind="stable")
+        own = [order[knot[order] == k] for k in knots]
+        return [(step[x], n[x]) for x in own]
+
+    n, first, last = rows.agg(F.count("*"), F.min("at"), F.max("at")).first()
+    if n < LEAST_ROWS:
         return bands
-    knots = np.arange(np.floor(at.min() * 2) / 2, at.max() + STEP, STEP)
-    near = [ratio[np.abs(at - k) <= STEP / 2] for k in knots]
-    own = np.array([len(x) >= LEAST_ROWS // 4 for x in near])
+    knots = np.arange(np.floor(first * 2) / 2, last + STEP, STEP)
+    near = counted(F.rint(F.log2("ratio") / GRAIN), knots, STEP / 2)
+    own = np.array([c.sum() >= LEAST_ROWS // 4 for _, c in near])
     if own.sum() < 2:
         return bands
-    knots, middle = knots[own], np.array([np.median(x) for x, o in zip(near, own) if o])
-    rest = ratio - np.interp(at, knots, middle)
+    knots, middle = knots[own], np.array([2 ** (quantile(x, c, 0.5) * GRAIN) for (x, c), o in zip(near, own) if o])
     low, high = np.full(len(knots), np.nan), np.full(len(knots), np.nan)
-    for i, k in enumerate(knots):
-        x = rest[np.abs(at - k) <= 0.5]
-        if len(x) >= LEAST_ROWS:
-            down, up = np.quantile(x, [EDGE, 1 - EDGE])
+    for i, (x, c) in enumerate(counted(F.rint((F.col("ratio") - _line(knots, middle)) / GRAIN), knots, 0.5)):
+        if c.sum() >= LEAST_ROWS:
+            down, up = quantile(x, c, EDGE) * GRAIN, quantile(x, c, 1 - EDGE) * GRAIN
             low[i], high[i] = middle[i] + WIDE * down, middle[i] + WIDE * up
     told = ~np.isnan(low)
     if not told.any():
         return bands
-    return replace(bands, knots=tuple(knots[told]), low=tuple(low[told]), high=tuple(high[told]))
+    return replace(bands, knots=tuple(map(float, knots[told])), low=tuple(map(float, low[told])), high=tuple(map(float, high[told])))
+
+
+def _line(knots: np.ndarray, values: np.ndarray) -> Column:
+    """The values at knots, and between them by a line, of the column at; the first and last value hold beyond."""
+    out, at = F.lit(float(values[-1])), F.col("at")
+    for k in range(len(knots) - 2, -1, -1):
+        slope = float((values[k + 1] - values[k]) / (knots[k + 1] - knots[k]))
+        out = F.when(at < float(knots[k + 1]), float(values[k]) + (at - float(knots[k])) * slope).otherwise(out)
+    return F.when(at < float(knots[0]), float(values[0])).otherwise(out)
 
 
 def good_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from millrace.llm import quality
 from millrace.operators import search
 from millrace.plans import queries_ingest, queries_search
 
@@ -82,3 +83,20 @@ def test_inverted_lists_give_the_best_of_the_probed_cells(spark):
     made = index.search_batch(points.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 5, 3)
     assert _joins(made) == 0
     assert {(r.query_id, r.vec_id, r["rank"]) for r in made.collect()} == expected
+
+
+def test_bands_come_from_all_good_texts(spark):
+    import zstandard
+
+    rng = np.random.default_rng(8)
+    letters = np.array(list("abcdefghijklmnop "))
+    texts = ["".join(rng.choice(letters[: rng.integers(6, 17)], int(rng.integers(64, 260)))) for _ in range(21_000)]
+    got = quality.fit_bands(spark.createDataFrame([(t,) for t in texts + texts[:500]], "text string").repartition(4))
+    z = zstandard.ZstdCompressor(level=got.level, write_content_size=False, write_checksum=False)
+    at, ratio = np.log2([len(t) for t in texts]), np.array([len(t) / len(z.compress(t.encode())) for t in texts])
+    knots = np.array(got.knots)
+    middle = np.array([np.median(ratio[np.abs(at - k) <= quality.STEP / 2]) for k in knots])
+    rest = ratio - np.interp(at, knots, middle)
+    for k, m, low, high in zip(knots, middle, got.low, got.high):
+        down, up = np.quantile(rest[np.abs(at - k) <= 0.5], [quality.EDGE, 1 - quality.EDGE])
+        assert abs(low - m - quality.WIDE * down) < 0.002 and abs(high - m - quality.WIDE * up) < 0.002
