@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from millrace.llm import quality
-from millrace.operators import search
+from millrace.operators import knowledge, search
 from millrace.plans import queries_ingest, queries_search
 
 SF = "/root/testdata/sf0.001"
@@ -100,3 +100,19 @@ def test_bands_come_from_all_good_texts(spark):
     for k, m, low, high in zip(knots, middle, got.low, got.high):
         down, up = np.quantile(rest[np.abs(at - k) <= 0.5], [quality.EDGE, 1 - quality.EDGE])
         assert abs(low - m - quality.WIDE * down) < 0.002 and abs(high - m - quality.WIDE * up) < 0.002
+
+
+def test_pairs_of_administrators_and_bases_are_made_in_place(spark, monkeypatch):
+    admins = spark.createDataFrame([(1, 5), (2, 5), (3, 6)], "actor long, workspace_id int")
+    bases = spark.createDataFrame([(10, 5), (11, 5), (12, 6)], "kb_id long, workspace_id int")
+    grants = spark.createDataFrame([(1, 10, ["kb:read"]), (1, 12, ["kb:read"]), (9, 10, ["kb:read"]), (3, 12, ["kb:query"])], "subject long, resource long, permissions array<string>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most, merges in ((500_000, 0), (0, 1)):
+            monkeypatch.setattr(knowledge, "BROADCAST_ROWS", most)
+            made = knowledge.admin_permissions(admins, bases, grants, "break_glass")
+            assert ("SortMergeJoin" in made._jdf.queryExecution().executedPlan().toString()) == bool(merges)
+            got = {(r.actor, r.kb_id): (r.permissions, r.readable) for r in made.collect()}
+            assert got == {(1, 10): (["kb:manage", "kb:read"], True), (1, 11): (["kb:manage"], False), (2, 10): (["kb:manage"], False), (2, 11): (["kb:manage"], False), (3, 12): (["kb:manage", "kb:query"], False)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
