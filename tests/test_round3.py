@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.llm import quality
 from millrace.operators import knowledge, search
 from millrace.plans import queries_ingest, queries_search
+from millrace.streaming import stages
 
 SF = "/root/testdata/sf0.001"
 
@@ -116,3 +117,19 @@ def test_pairs_of_administrators_and_bases_are_made_in_place(spark, monkeypatch)
             assert got == {(1, 10): (["kb:manage", "kb:read"], True), (1, 11): (["kb:manage"], False), (2, 10): (["kb:manage"], False), (2, 11): (["kb:manage"], False), (3, 12): (["kb:manage", "kb:query"], False)}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_new_documents_leave_older_folders_and_passed_states_write_nothing(spark, folder):
+    tables = stages.open_tables(spark, f"{folder}/set", buckets=2)
+
+    def docs(ids):
+        row = [(i, "a b", "registered", None, None, 1) for i in ids]
+        return spark.createDataFrame(row, "document_id string, content string, state string, stage string, error string, revision int")
+
+    for ids in (["a", "b", "c", "d"], ["e", "f", "g", "h"]):
+        new = docs(ids)
+        tables.replace("kb", 1, new, documents=new)
+    assert max(map(len, tables.state()["folders"]["documents"].values())) == 2 and tables.read("documents").count() == 8
+    stages.run_chain(tables, "kb", 1, {"parsed": lambda d: ({}, None), "chunked": lambda d: ({}, None)})
+    assert tables.state()["number"] == 2 + 3 and {r.state for r in tables.read("documents").collect()} == {"indexed"}
+    assert tables.read("documents").count() == 8
