@@ -397,9 +397,11 @@ def join_classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", th
     # only groups beyond a block have a number of blocks to be told
     large = groups.groupBy("root").agg(F.count("*").alias("size")).filter(F.col("size") > SET_BLOCK)
     members = groups.select(F.col("node").alias("cls"), "root").join(classes.select("cls", F.col("_one._id").alias("_id"), F.col("_one._print").alias("_print")), "cls")
+    members = shared.written(members, "members")
     # a class is one (id, print); rows that repeat it have the same text, and one of them stays
     same = F.col("m._print").eqNullSafe(F.col("s._print")) & F.col("m._id").eqNullSafe(F.col("s._id"))
-    texts = members.alias("m").join(source.alias("s"), same).select("root", "cls", "_text").dropDuplicates(["cls"])
+    few = source.join(shared.small(members.select("_print").distinct()), "_print", "left_semi")  # a text of words has a print; texts of other prints aren't shuffled
+    texts = members.alias("m").join(few.alias("s"), same).select("root", "cls", "_text").dropDuplicates(["cls"])
     sets = texts.select("root", "cls", runs_of(run)(F.col("_text"))["runs"].alias("runs"))
     sized = salted(sets, large, "root", "cls").withColumn("size", F.coalesce("size", F.lit(1)))
     dealt = block_pairs(sized, "root", "size", SET_BLOCK).select("root", "i", "j", "side", "cls", "runs")
@@ -422,10 +424,6 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **more)
     return out.select(F.col("_id").alias(doc_id), *own)
 
 
-def has_words(text: Column) -> Column:
-    return F.coalesce(text.rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), F.lit(False))
-
-
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **more) -> DataFrame:
     """docs less all but the row of least id in each group; of rows that repeat that id with the same text one stays, rows without words stay as they are."""
     rows, groups = join_classes(docs, text, doc_id, **more)
@@ -438,10 +436,14 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **more
         """128 bits of id and print, never null: the keys of the join and of the repeated rows."""
         return [F.xxhash64(F.lit(1), _id, print_).alias(one), F.xxhash64(F.lit(2), print_, F.lit(3), _id).alias(two)]
 
-    stays = linked.union(alone).select(*places(F.col("_one._id"), F.col("_one._print")))
+    stays = linked.union(alone).select(*places(F.col("_one._id"), F.col("_one._print"))).withColumn("_stays", F.lit(True))
+    # all other documents stay as they are: few keys meet the texts, not a key for each text
+    keys = rows.filter("cls is not null").select(*places(F.col("_id"), F.col("_print"))).groupBy(one, two).agg(F.count("*").alias("_n")).join(stays, [one, two], "left")
+    odd = shared.written(keys.filter("_stays IS NULL OR _n > 1"), "odd")
     tagged = docs.select(*shared.columns(docs), *places(F.col(doc_id), F.xxhash64(F.col(text))))
-    kept = tagged.filter(has_words(F.col(text))).join(stays, [one, two], "left_semi").dropDuplicates([one, two])
-    return kept.select(*shared.columns(docs)).unionByName(docs.filter(~has_words(F.col(text))))
+    kept = tagged.join(shared.small(odd.select(one, two)), [one, two], "left_anti")
+    again = tagged.join(shared.small(odd.filter("_stays").select(one, two)), [one, two], "left_semi").dropDuplicates([one, two])
+    return kept.select(*shared.columns(docs)).unionByName(again.select(*shared.columns(docs)))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -210,5 +210,14 @@ def with_label(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_i
     return docs.drop(label).join(F.broadcast(one) if small else one, key)
 
 
+#: Keys of one or two numbers: up to so many are broadcast (some 50 MB), more are joined by a shuffle.
+BROADCAST_KEYS = 500_000
+
+
+def small(keys: DataFrame) -> DataFrame:
+    """A written table of keys, to be broadcast in a join if there are few."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
