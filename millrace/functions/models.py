@@ -7,16 +7,19 @@ fails or returns something else is an error in each of its rows, and other batch
 
 from __future__ import annotations
 
+import uuid
+from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml.functions import predict_batch_udf
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from millrace.functions import text as T
+from millrace.functions.batches import by_pieces
 from millrace.functions.published import OUT_OF_MEMORY, OUTPUT_INVALID, RUNTIME_ERROR, TIMEOUT, Late, Limits, limited
 
 _MADE = StructType([StructField("vector", ArrayType(DoubleType())), StructField("error", StringType())])
@@ -48,38 +51,55 @@ def _settled(made: object, n: int, model: Model) -> np.ndarray:
     return np.divide(x, size, out=x.copy(), where=size > 0) if model.normalize else x
 
 
+#: Models that a worker holds, by the call of `vectors` that they are for; the oldest go.
+_LOADED: OrderedDict[str, Callable[[list[str]], object]] = OrderedDict()
+MOST_LOADED = 3
+
+
+def _loaded(key: str, model: Model) -> Callable[[list[str]], object]:
+    if key not in _LOADED:
+        _LOADED[key] = model.load()
+        while len(_LOADED) > MOST_LOADED:
+            _LOADED.popitem(last=False)
+    return _LOADED[key]
+
+
+def _rows(x: np.ndarray, error: str) -> pa.Array:
+    n, dimension = x.shape
+    flat = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * dimension, np.ascontiguousarray(x, float).ravel())
+    return pa.StructArray.from_arrays([flat, pa.array([error] * n, pa.string())], ["vector", "error"])
+
+
 def vectors(model: Model, text: Column, query: bool = False) -> Column:
     """struct(vector, error) of a text; a null text is an empty one."""
 
-    def make():
-        predict = model.load()
-
-        def run(texts: np.ndarray) -> dict[str, np.ndarray]:
-            given = [t or "" for t in texts.tolist()]
-            try:
-                with limited(model.limits):
-                    made = predict(given)
-                return {"vector": _settled(made, len(given), model), "error": np.full(len(given), "", object)}
-            except Late:
-                error = f"{TIMEOUT}: more than {model.limits.seconds:g} s"
-            except MemoryError:
-                error = f"{OUT_OF_MEMORY}: more than {model.limits.memory_mb} MB"
-            except (ValueError, TypeError) as e:
-                error = f"{OUTPUT_INVALID}: {e}"
-            except Exception as e:  # noqa: BLE001  a model may fail in any way
-                error = f"{RUNTIME_ERROR}: {type(e).__name__}: {e}"
-            return {"vector": np.zeros((len(given), model.dimension)), "error": np.full(len(given), error, object)}
-
-        return run
+    key = uuid.uuid4().hex
+
+    @by_pieces(_MADE, model.batch)
+    def made(texts: list) -> pa.Array:
+        given, predict = [t or "" for t in texts], _loaded(key, model)
+        try:
+            with limited(model.limits):
+                found = predict(given)
+            return _rows(_settled(found, len(given), model), "")
+        except Late:
+            error = f"{TIMEOUT}: more than {model.limits.seconds:g} s"
+        except MemoryError:
+            error = f"{OUT_OF_MEMORY}: more than {model.limits.memory_mb} MB"
+        except (ValueError, TypeError) as e:
+            error = f"{OUTPUT_INVALID}: {e}"
+        except Exception as e:  # noqa: BLE001  a model may fail in any way
+            error = f"{RUNTIME_ERROR}: {type(e).__name__}: {e}"
+        return _rows(np.zeros((len(given), model.dimension)), error)
 
     given = F.coalesce(text, F.lit(""))
     if model.max_tokens:
         given = T.truncated(given, model.max_tokens)
     if query and model.prefix:
         given = F.concat(F.lit(model.prefix), given)
-    made = predict_batch_udf(make, return_type=_MADE, batch_size=model.batch)(given)
-    good = made["error"] == ""
-    return F.struct(F.when(good, made["vector"]).alias("vector"), F.when(~good, made["error"]).alias("error"))
+    found = made(given)
+    good = found["error"] == ""
+    return F.struct(F.when(good, found["vector"]).alias("vector"), F.when(~good, found["error"]).alias("error"))
 
 
 def embedded(rows: DataFrame, model: Model, text: str = "content", cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

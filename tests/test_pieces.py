@@ -21,3 +21,10 @@ def test_html_is_parsed_in_pieces(spark):
     pages = spark.createDataFrame([(k, f'<title>t{k}</title><p>a {k}</p><a href="u{k}">b</a>' if k % 7 else None) for k in range(150)], "page_id int, html string").coalesce(1)
     for r in pages.select("page_id", ingest.parse_html(F.col("html")).alias("p")).collect():
         assert tuple(r.p) == ((f"t{r.page_id}", f"t{r.page_id}\na {r.page_id}\nb", [f"u{r.page_id}"]) if r.page_id % 7 else (None, "", []))
+
+
+def test_a_model_is_given_pieces_of_its_batch(spark):
+    model = models.Model("sizes", lambda: lambda texts: [[float(len(texts)), 1.0] for _ in texts], 2, batch=7, normalize=False)
+    rows = spark.range(100, numPartitions=1).select(models.vectors(model, F.col("id").cast("string")).alias("m"))
+    assert f", {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}" in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted({tuple(r.m.vector) for r in rows.collect()}) == [(2.0, 1.0), (7.0, 1.0)]
