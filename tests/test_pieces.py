@@ -28,3 +28,9 @@ def test_a_model_is_given_pieces_of_its_batch(spark):
     rows = spark.range(100, numPartitions=1).select(models.vectors(model, F.col("id").cast("string")).alias("m"))
     assert f", {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}" in rows._jdf.queryExecution().executedPlan().toString()
     assert sorted({tuple(r.m.vector) for r in rows.collect()}) == [(2.0, 1.0), (7.0, 1.0)]
+
+
+def test_normal_forms_are_made_in_pieces(spark):
+    assert T.nfkc.evalType == PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF
+    rows = spark.createDataFrame([(k, None if k % 5 == 0 else f" ﬁ\t{k} ") for k in range(150)], "k int, t string").coalesce(1)
+    assert {r.k: r.x for r in rows.select("k", T.nfkc(F.col("t")).alias("x")).collect()} == {k: None if k % 5 == 0 else f"fi {k}" for k in range(150)}
