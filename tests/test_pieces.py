@@ -34,3 +34,15 @@ def test_normal_forms_are_made_in_pieces(spark):
     assert T.nfkc.evalType == PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF
     rows = spark.createDataFrame([(k, None if k % 5 == 0 else f" ﬁ\t{k} ") for k in range(150)], "k int, t string").coalesce(1)
     assert {r.k: r.x for r in rows.select("k", T.nfkc(F.col("t")).alias("x")).collect()} == {k: None if k % 5 == 0 else f"fi {k}" for k in range(150)}
+
+
+def test_embeddings_are_made_in_pieces_as_one_by_one(spark):
+    texts = [None, "", "!?", "One two two THREE", *(" ".join(f"w{j}" for j in range(k)) for k in range(150))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").coalesce(1).select("k", slots.hashed_embedding(F.col("t"), 16).alias("v"))
+    assert "ArrowEvalPython" in rows._jdf.queryExecution().executedPlan().toString() and f", {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}" in rows._jdf.queryExecution().executedPlan().toString()
+    for r in rows.collect():
+        v = np.zeros(16)
+        for w in set(slots._TOKEN.findall((texts[r.k] or "").lower())):
+            v[zlib.crc32(w.encode()) % 16] += 1.0 if zlib.crc32(w.encode()) >> 16 & 1 else -1.0
+        size = np.sqrt((v * v).sum())
+        assert r.v == list(v / size if size else v)
