@@ -120,10 +120,18 @@ def compress(hits: DataFrame, terms: DataFrame, text: str = "content", query_id:
     return asked.withColumn(text, kept).drop("_terms")
 
 
+#: Profiles of up to so many rows go to the queries.
+BROADCAST_TERMS = 500_000
+
+
 def route(queries: DataFrame, profiles: DataFrame, most: int = 1, query_id: str = "query_id") -> DataFrame:
     """query_id, target, score, rank: the targets whose profile weighs a query's distinct words most. queries: query_id, query; profiles: target, term, weight."""
     words = queries.select(query_id, F.explode(F.array_distinct(T.tokens(F.col("query")))).alias("term"))
-    scored = words.join(profiles, "term").groupBy(query_id, "target").agg(F.round(F.sum("weight"), 6).alias("score"))
+    profiles = written(profiles, "profiles")
+    few = profiles.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    # where words meet by term, a task has words of all queries, and sums of all queries before its shuffle; so words stay with their query, or go back to it
+    met = words.join(F.broadcast(profiles), "term") if few else words.join(profiles, "term").repartition(query_id)
+    scored = met.groupBy(query_id, "target").agg(F.round(F.sum("weight"), 6).alias("score"))
     return rank_by(scored, query_id, "target").filter(F.col("rank") <= most)
 
 

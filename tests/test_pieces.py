@@ -46,3 +46,18 @@ def test_embeddings_are_made_in_pieces_as_one_by_one(spark):
             v[zlib.crc32(w.encode()) % 16] += 1.0 if zlib.crc32(w.encode()) >> 16 & 1 else -1.0
         size = np.sqrt((v * v).sum())
         assert r.v == list(v / size if size else v)
+
+
+def test_words_are_summed_with_their_query(spark, monkeypatch):
+    queries = spark.createDataFrame([(k, f"a b{k % 3} c") for k in range(50)], "query_id int, query string")
+    profiles = spark.createDataFrame([("x", "a", 0.5), ("x", "b1", 0.25), ("y", "b2", 0.9), ("y", "b1", 0.2)], "target string, term string, weight double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most in (500_000, 0):
+            monkeypatch.setattr(retrieval, "BROADCAST_TERMS", most)
+            made = retrieval.route(queries, profiles)
+            plan = made._jdf.queryExecution().executedPlan().toString()
+            assert ("BroadcastHashJoin" in plan) == (most > 0) and ("REPARTITION_BY_COL" in plan) == (most == 0)
+            assert {r.query_id: (r.target, r.score) for r in made.collect()} == {k: (("x", 0.5), ("x", 0.75), ("y", 0.9))[k % 3] for k in range(50)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
