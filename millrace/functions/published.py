@@ -173,7 +173,7 @@ def _table(call: Call, given: Callable[..., tuple], ddl: str):
             for x in made or []:
                 yield (*x, None)
 
-    return F.udtf(Rows, returnType=ddl, useArrow=True)
+    return F.udtf(Rows, returnType=ddl, useArrow=False)  # rows come and go by 100, not by an Arrow batch of 10 000
 
 
 def parsed(docs: DataFrame, source: str, data: str, mime: str | None = None, context: dict | None = None, limits: Limits = Limits()) -> DataFrame:

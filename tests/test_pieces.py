@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 from pyspark.util import PythonEvalType
 
-from millrace.functions import batches, models, slots
+from millrace.functions import batches, models, published, slots
 from millrace.functions import text as T
 from millrace.operators import ingest, retrieval
 
@@ -61,3 +61,11 @@ def test_words_are_summed_with_their_query(spark, monkeypatch):
             assert {r.query_id: (r.target, r.score) for r in made.collect()} == {k: (("x", 0.5), ("x", 0.75), ("y", 0.9))[k % 3] for k in range(50)}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_table_functions_get_rows_by_the_hundred(spark):
+    docs = spark.createDataFrame([(k, f"a{k} b") for k in range(300)], "doc_id int, text string").coalesce(1)
+    made = published.chunked(docs, "def run(document, config):\n    return document['text'].split(' ')\n")
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPythonUDTF" in plan and "ArrowEvalPythonUDTF" not in plan
+    assert {(r.doc_id, r.ordinal, r.content) for r in made.collect()} == {x for k in range(300) for x in ((k, 0, f"a{k}"), (k, 1, "b"))}
