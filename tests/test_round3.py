@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from millrace.llm import quality
@@ -133,3 +136,33 @@ def test_new_documents_leave_older_folders_and_passed_states_write_nothing(spark
     stages.run_chain(tables, "kb", 1, {"parsed": lambda d: ({}, None), "chunked": lambda d: ({}, None)})
     assert tables.state()["number"] == 2 + 3 and {r.state for r in tables.read("documents").collect()} == {"indexed"}
     assert tables.read("documents").count() == 8
+
+
+def _search_task(spark, monkeypatch, queries: int, k: int):
+    """What a task of a batch search runs on its points: Arrow batches in, each query's k best out."""
+    vectors = np.random.default_rng(9).normal(size=(queries, 8))
+    asked = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())], "query_id long, embedding array<double>")
+    tasks, kind = [], type(asked)
+    send = kind.mapInArrow
+    with monkeypatch.context() as m:
+        m.setattr(kind, "mapInArrow", lambda df, run, schema: tasks.append(run) or send(df, run, schema))
+        search.dense_batch(asked.withColumnRenamed("query_id", "vec_id"), asked, k)
+    return tasks[0]
+
+
+def _points_batch(n: int) -> pa.RecordBatch:
+    x = pa.array(np.random.default_rng(10).normal(size=n * 8))
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * 8, x)], ["vec_id", "v"])
+
+
+def test_memory_of_a_search_task_does_not_grow_with_queries_and_points(spark, monkeypatch):
+    peaks = []
+    for queries, points in ((150, 8000), (3000, 8000), (3000, 24_000)):
+        run, part = _search_task(spark, monkeypatch, queries, 20), _points_batch(points)
+        tracemalloc.start()
+        try:
+            assert sum(b.num_rows for b in run(iter([part]))) == queries * 20
+            peaks.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        finally:
+            tracemalloc.stop()
+    assert max(peaks) < 80 and peaks[1] < peaks[0] + 20 and peaks[2] < peaks[1] + 10, peaks
