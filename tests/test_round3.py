@@ -166,3 +166,8 @@ def test_memory_of_a_search_task_does_not_grow_with_queries_and_points(spark, mo
         finally:
             tracemalloc.stop()
     assert max(peaks) < 80 and peaks[1] < peaks[0] + 20 and peaks[2] < peaks[1] + 10, peaks
+
+
+def test_a_search_task_gives_its_rows_in_pieces(spark, monkeypatch):
+    sizes = [b.num_rows for b in _search_task(spark, monkeypatch, 3000, 50)(iter([_points_batch(2000)]))]
+    assert sum(sizes) == 3000 * 50 and max(sizes) <= 131_072
