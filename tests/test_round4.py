@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import zlib
 from pathlib import Path
 
+import numpy as np
+
 from millrace.operators import knowledge
-from millrace.plans import queries_ingest, queries_search
+from millrace.plans import queries_documents, queries_ingest, queries_search
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,3 +57,16 @@ def test_permissions_are_worked_out_by_grant_and_not_by_pair(spark):
         expected[1, 10] = sorted({*least, "kb:read", "kb:write"}), True
         rows = made.collect()
         assert len(rows) == len(expected) and {(r.actor, r.kb_id): (r.permissions, r.readable) for r in rows} == expected
+
+
+def test_embeddings_of_documents_are_given_and_not_their_lengths_alone(spark, folder):
+    texts = {k: t for k, t in enumerate([*([None, "", " !? "] * 50), "One two two THREE", *(" ".join(f"w{j}" for j in range(k)) for k in range(100))])}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    rows = queries_documents.embed_docs(spark, folder).collect()  # 64 texts without a word at once
+    assert sorted(r.doc_id for r in rows) == list(texts)
+    for r in rows:
+        v = np.zeros(16)
+        for w in {*re.findall(r"[^\W_]+", (texts[r.doc_id] or "").lower())}:
+            v[zlib.crc32(w.encode()) % 16] += 1.0 if zlib.crc32(w.encode()) >> 16 & 1 else -1.0
+        size = np.sqrt((v * v).sum())
+        assert r.embedding == list(v / size if size else v) and r.norm == (1.0 if size else 0.0)
