@@ -6,10 +6,13 @@ import re
 import zlib
 from pathlib import Path
 
+import duckdb
 import numpy as np
+from pyspark.util import PythonEvalType
 
+from millrace.functions import markdown
 from millrace.operators import knowledge
-from millrace.plans import queries_documents, queries_ingest, queries_search
+from millrace.plans import base, queries_documents, queries_ingest, queries_search
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,3 +73,26 @@ def test_embeddings_of_documents_are_given_and_not_their_lengths_alone(spark, fo
             v[zlib.crc32(w.encode()) % 16] += 1.0 if zlib.crc32(w.encode()) >> 16 & 1 else -1.0
         size = np.sqrt((v * v).sum())
         assert r.embedding == list(v / size if size else v) and r.norm == (1.0 if size else 0.0)
+
+
+def test_pages_are_given_as_markdown_and_by_the_sql_too(spark, folder):
+    odd = {
+        900_001: None, 900_002: "", 900_003: "plain", 900_004: "<html><head><title>t</title></head><body><nav>n</nav><p>a &amp; b</p><p>c</body></html>",
+        900_005: "<article><h1>h</h1><p><b>x\n y.<br><p># no</p><p>1. n*o</p><p>2.5</p><p></p><p>&amp;lt; &quot;q&quot; &am</p></article><footer>f</footer>", 900_006: "<article> </article>",
+    }
+    rows = [(r.page_id, r.html) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()] + list(odd.items())
+    spark.createDataFrame(rows, "page_id long, html string").coalesce(1).write.parquet(f"{folder}/pages.parquet")
+    made = queries_ingest.page_markdown(spark, folder)
+    got = {tuple(r) for r in made.collect()}
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet/*.parquet'")
+        assert got == set(c.execute(base.ORACLES["page_markdown"]).fetchall())
+    text = {r[0]: r[2] for r in got}
+    assert all(text[k] == markdown.page_markdown(html)[1] for k, html in rows) and text[900_005] == '# h\n\n**x y.**\n\n\\# no\n\n1\\. n\\*o\n\n2.5\n\n&lt; "q" &am'
+    assert sorted(k for k, _, _, full in got if not full) == [900_001, 900_002, 900_006]
+    assert f", {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}" in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_markdown_keeps_captions_and_what_stands_between_items():
+    assert markdown.page_markdown("<table><caption>the <b>cap</b></caption><tr><td>a</td></tr></table>")[1] == "the **cap**\n\n| a |\n| --- |"
+    assert markdown.page_markdown("<ul> lead <li>a</li><ul><li>b</li></ul> <li>c</li></ul>")[1] == "- lead\n- a\n  - b\n- c"
