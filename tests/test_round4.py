@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.util import PythonEvalType
 
 from millrace.functions import markdown
-from millrace.operators import knowledge
+from millrace.operators import ingest, knowledge
 from millrace.plans import base, queries_documents, queries_ingest, queries_search
 
 SF = "/root/testdata/sf0.001"
@@ -96,3 +96,10 @@ def test_pages_are_given_as_markdown_and_by_the_sql_too(spark, folder):
 def test_markdown_keeps_captions_and_what_stands_between_items():
     assert markdown.page_markdown("<table><caption>the <b>cap</b></caption><tr><td>a</td></tr></table>")[1] == "the **cap**\n\n| a |\n| --- |"
     assert markdown.page_markdown("<ul> lead <li>a</li><ul><li>b</li></ul> <li>c</li></ul>")[1] == "- lead\n- a\n  - b\n- c"
+
+
+def test_texts_are_cut_into_words_once_for_chunks_and_windows(spark):
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, None), (3, " .! "), (4, "f")], "doc_id long, text string")
+    for df in (ingest.fixed_chunks(docs, 2, 0), ingest.fixed_chunks(docs, 3, 1)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all") == 1
+    assert {(r.doc_id, r.ordinal, r.content) for r in ingest.fixed_chunks(docs, 2, 0).collect()} == {(1, 0, "a b"), (1, 1, "c d"), (1, 2, "e"), (4, 0, "f")}
